@@ -237,7 +237,7 @@ def routes_from_properties(outputs: DataFrame) -> DataFrame:
     bad = F.coalesce(F.size(values), F.lit(0)) != 2
     return out.select(
         *kept,
-        (F.col("_pos") + 1).alias("route_no"),
+        (F.col("_pos") + 1).cast("bigint").alias("route_no"),
         F.when(~bad, values[0]).alias("event_name_match"),
         F.when(~bad, values[1]).alias("target"),
         F.when(bad, F.lit("EINVAL")).alias("error_code"),

@@ -19,7 +19,7 @@ def _terminated(text: Column) -> Column:
 def split_lines(files: DataFrame, text: str = "text", keys: Sequence[str] = ()) -> DataFrame:
     """One row per line: the key columns, ``line_no`` from 1, and ``line``."""
     out = files.select(*keys, F.posexplode(_terminated(F.col(text))).alias("_pos", "line"))
-    return out.select(*keys, (F.col("_pos") + 1).alias("line_no"), "line")
+    return out.select(*keys, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def scan_lines(files: DataFrame, text: str = "text", keys: Sequence[str] = ()) -> DataFrame:
@@ -36,7 +36,7 @@ def scan_lines(files: DataFrame, text: str = "text", keys: Sequence[str] = ()) -
     out = files.select(*keys, F.posexplode(found).alias("_pos", "_l"))
     return out.select(
         *keys,
-        (F.col("_pos") + 1).alias("line_no"),
+        (F.col("_pos") + 1).cast("bigint").alias("line_no"),
         F.col("_l")["byte_offset"].alias("byte_offset"),
         F.col("_l")["line"].alias("line"),
     )
