@@ -18,18 +18,17 @@ def write_tables(routed: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
-    """The rows back, with ``database`` and ``table`` from the folder names, as strings."""
-    return spark.read.option("basePath", path).schema(_stored(spark, path)).parquet(path)
+    """The rows back, with ``database`` and ``table`` from the folder names, as text.
 
-
-def _stored(spark: SparkSession, path: str) -> str:
-    """The stored schema with string partition columns: a database called 1 is no number."""
-    names = {"database", "table"}
-    found = spark.read.parquet(path).schema
+    An empty name is stored as a null partition and read as empty again.
+    """
+    names = ("database", "table")
     fields = [
-        f"`{f.name}` {'string' if f.name in names else f.dataType.simpleString()}" for f in found
+        f"`{f.name}` {'string' if f.name in names else f.dataType.simpleString()}"
+        for f in spark.read.parquet(path).schema
     ]
-    return ", ".join(fields)
+    stored = spark.read.schema(", ".join(fields)).parquet(path)
+    return stored.fillna("", subset=list(names))
 
 
 def write_lines(events: DataFrame, path: str, mode: str = "errorifexists") -> None:
