@@ -270,20 +270,25 @@ class LogTailStreamReader(DataSourceStreamReader):
         self.limit = int(limit) if limit else None
         if self.limit is not None and not self.folder:
             raise ValueError("maxBytesPerBatch needs progressPath, to go on from after a restart")
-        # The last planned end: what the next one is measured from.
+        # The last planned end, which the next one is measured from, and where the
+        # query began.
         self.known = load_progress(self.folder, self.pattern)
+        self.began = self.known
 
-    def initialOffset(self) -> Positions:
-        return self.known
+    def initialOffset(self) -> dict:
+        # Spark asks again when it repeats the first batch, and progress has moved
+        # by then. So this says nothing, and every offset carries where it all began.
+        return {}
 
-    def latestOffset(self) -> Positions:
-        return find_end(self.pattern, self.known, self.limit)
+    def latestOffset(self) -> dict:
+        return {"began": self.began, "end": find_end(self.pattern, self.known, self.limit)}
 
-    def partitions(self, start: Positions, end: Positions) -> list[InputPartition]:
-        self.known = {**self.known, **end}
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.began = end.get("began", {})
+        self.known = {**self.known, **end.get("end", {})}
         if self.folder:
             save_progress(self.folder, self.pattern, self.known)
-        return _ranges(start, end, self.split_bytes)
+        return _ranges(start.get("end", self.began), end.get("end", {}), self.split_bytes)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is not None:
