@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 BLOCK = 128
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+def bind(value: Column, use: Callable[[Column], Column] | str) -> Column:
     """``use(value)`` with ``value`` computed once per row.
 
     Inside a lambda Spark computes an outer expression anew for every element;
-    as the argument of a one-element ``transform`` it is computed once.
+    as the argument of a one-element ``transform`` it is computed once. ``use`` may
+    also be a lambda in SQL, which is much quicker to build when it is long.
     """
+    if isinstance(use, str):
+        return F.call_function("transform", F.array(value), F.expr(use))[0]
     return F.transform(F.array(value), use)[0]
 
 

@@ -3,114 +3,94 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from sluiceway.functions.arrays import bind
 
-# Doubles from here on are whole numbers.
-_WHOLE_FROM = float(2**53)
 # A fraction below this is zero at up to six digits.
-_TINY = 2.0**-30
+_TINY = "pow(2D, -30)"
+# Doubles from here on are whole numbers.
+_WHOLE_FROM = "pow(2D, 53)"
 # Above what the shortest form of a value that is not coarse can be off, in digits.
-_CLOSE = 1e-3
-
-_LONG = "decimal(38,0)"
+_CLOSE = "1e-3D"
 
 
-def _exact(part: Column, digits: int) -> Column:
-    """A fraction in [0, 1) times 10**digits, rounded half to even on its exact value.
+def _exact(part: str, digits: int) -> str:
+    """SQL of a fraction in [0, 1) times 10**digits, rounded half to even on its exact value.
 
     A double is a whole number over a power of two; with both in decimal integers
     nothing is lost.
     """
-    power = F.lit(54) - F.floor(F.log2(part)).cast("int")
-    above = (part * F.pow(F.lit(2.0), power)).cast("bigint").cast("decimal(18,0)")
-    below = F.pow(F.lit(2.0), power - 40).cast("bigint").cast("decimal(15,0)") * F.lit(2**40).cast(
-        "decimal(13,0)"
+    power = f"(54 - cast(floor(log2({part})) AS int))"
+    above = f"cast(cast({part} * pow(2D, {power}) AS bigint) AS decimal(18, 0))"
+    below = (
+        f"(cast(cast(pow(2D, {power} - 40) AS bigint) AS decimal(15, 0))"
+        f" * cast({2**40} AS decimal(13, 0)))"
     )
-    number = above * F.lit(10**digits).cast(f"decimal({digits + 1},0)")
-    quotient = F.call_function("div", number, below)
-    twice = (number % below).cast(_LONG) * 2
-    up = (twice > below) | ((twice == below) & (quotient % 2 == 1))
-    return quotient + F.when(up, 1).otherwise(0)
-
-
-def _slow_fixed(value: Column, digits: int) -> Column:
-    def text(v: Column) -> Column:
-        size = F.abs(v)
-        minus = F.when((v < 0) | (v.cast("string") == "-0.0"), "-").otherwise("")
-
-        def assembled(fraction: Column) -> Column:
-            carried = F.floor(size) + F.when(fraction >= 10**digits, 1).otherwise(0)
-            rest = F.lpad((fraction % 10**digits).cast("string"), digits, "0")
-            return F.concat(minus, carried.cast("string"), F.lit("."), rest)
-
-        part = size - F.floor(size)
-        fraction = F.when(part < _TINY, F.lit(0).cast("bigint")).otherwise(_exact(part, digits))
-        return (
-            F.when(F.isnan(v), F.lit("nan"))
-            .when(size == float("inf"), F.concat(minus, F.lit("inf")))
-            .when(size >= _WHOLE_FROM, F.printf(F.lit(f"%.{digits}f"), v))
-            .otherwise(bind(fraction, assembled))
-        )
-
-    return bind(value, text)
+    number = f"({above} * cast({10**digits} AS decimal({digits + 1}, 0)))"
+    twice = f"cast({number} % {below} AS decimal(38, 0)) * 2"
+    odd = f"({number} div {below}) % 2 = 1"
+    up = f"({twice} > {below} OR ({twice} = {below} AND {odd}))"
+    return f"CASE WHEN {part} < {_TINY} THEN 0L ELSE {number} div {below} + if({up}, 1, 0) END"
+
+
+def _fixed(v: str, digits: int) -> str:
+    """SQL of the text of the double ``v``, a name."""
+    # Where the value is clear of a half, and finer than the digits shown, Spark's
+    # own way of rounding the shortest decimal form gives the same.
+    coarse = "pow(2D, 33)" if digits <= 2 else "pow(2D, 20)"
+    scaled = f"abs({v}) * {10**digits}D"
+    clear = f"abs({v}) < {coarse} AND abs({scaled} % 1D - 0.5D) > {_CLOSE}"
+    minus = f"if({v} < 0 OR cast({v} AS string) = '-0.0', '-', '')"
+    fraction = _exact(f"(abs({v}) - floor(abs({v})))", digits)
+    carried = f"cast(floor(abs({v})) + if(f >= {10**digits}, 1, 0) AS string)"
+    rest = f"lpad(cast(f % {10**digits} AS string), {digits}, '0')"
+    return f"""CASE
+        WHEN {clear} THEN printf('%.{digits}f', {v})
+        WHEN isnan({v}) THEN 'nan'
+        WHEN abs({v}) = double('inf') THEN concat({minus}, 'inf')
+        WHEN abs({v}) >= {_WHOLE_FROM} THEN printf('%.{digits}f', {v})
+        ELSE transform(array({fraction}), f -> concat({minus}, {carried}, '.', {rest}))[0] END"""
 
 
 def fixed(value: Column, digits: int) -> Column:
     """A double with a fixed number of digits (1 to 6), as ``%.<digits>f`` prints it in C.
 
     Spark's ``printf`` rounds the shortest decimal form instead of the exact
-    value: 405.95 gives 406.0 there and 405.9 here. The two can differ only close
-    to a half, or where a double is coarser than the digits shown; only such
-    values take the exact way. From 2**53 on, where doubles are whole, they are
-    printed in the shortest form.
+    value: 405.95 gives 406.0 there and 405.9 here. From 2**53 on, where doubles
+    are whole, they are printed in the shortest form.
     """
-    size = F.abs(value)
-    scaled = size * float(10**digits)
-    coarse = 2.0**33 if digits <= 2 else 2.0**20
-    clear = (size < coarse) & (F.abs(scaled % 1.0 - 0.5) > _CLOSE)
-    return F.when(clear, F.printf(F.lit(f"%.{digits}f"), value)).otherwise(
-        _slow_fixed(value, digits)
-    )
+    return bind(value, f"v -> {_fixed('v', digits)}")
 
 
 def number_text(value: Column) -> Column:
     """A double with six digits, its trailing zeros cut but for the first digit."""
-    return F.regexp_replace(fixed(value, 6), r"(\.\d+?)0+$", "$1")
+    cut = rf"regexp_replace({_fixed('v', 6)}, r'(\.\d+?)0+$', '$1')"
+    return bind(value, f"v -> {cut}")
 
 
-# Upper bound, factor and suffix of each size, and the digits shown.
+# Upper bound, what scales the number, suffix, and the digits shown.
 # The milli band ends at 0.1, and plain numbers below 10 show two digits.
 METRIC_BANDS = (
-    (1e-9, 1e12, "p", 1),
-    (1e-6, 1e9, "n", 1),
-    (1e-3, 1e6, "μ", 1),
-    (0.1, 1e3, "m", 1),
-    (10.0, 1, "", 2),
-    (1e3, 1, "", 1),
-    (1e6, 1e-3, "K", 1),
-    (1e9, 1e-6, "M", 1),
-    (1e12, 1e-9, "G", 1),
-    (float("inf"), 1e-12, "T", 1),
+    ("1e-9D", "* 1e12D", "p", 1),
+    ("1e-6D", "* 1e9D", "n", 1),
+    ("1e-3D", "* 1e6D", "μ", 1),
+    ("0.1D", "* 1e3D", "m", 1),
+    ("10D", "", "", 2),
+    ("1e3D", "", "", 1),
+    ("1e6D", "/ 1e3D", "K", 1),
+    ("1e9D", "/ 1e6D", "M", 1),
+    ("1e12D", "/ 1e9D", "G", 1),
+    ("double('inf')", "/ 1e12D", "T", 1),
 )
 
 
 def metric_text(value: Column) -> Column:
     """A number with a metric suffix, such as ``1.5K``."""
-    size = F.abs(value)
-    scaled = suffix = None
-    for bound, factor, mark, digits in METRIC_BANDS:
-        if digits != 1:
-            continue
-        # Divide for the large sizes: 1e-3 is no exact double, 1000 is.
-        part = value * factor if factor >= 1 else value / round(1 / factor)
-        test = size < bound if bound != float("inf") else F.lit(True)
-        scaled = F.when(test, part) if scaled is None else scaled.when(test, part)
-        suffix = F.when(test, F.lit(mark)) if suffix is None else suffix.when(test, F.lit(mark))
-    two = (size >= 0.1) & (size < 10)
-    return (
-        F.when(size == 0, F.lit("0"))
-        .when(two, fixed(value, 2))
-        .otherwise(F.concat(bind(scaled, lambda part: fixed(part, 1)), suffix))
+    bands = " ".join(
+        f"WHEN abs(v) < {bound} THEN struct(v {scale} AS s, '{suffix}' AS suffix, {digits} AS digits)"
+        for bound, scale, suffix, digits in METRIC_BANDS
     )
+    last = f"struct(v {METRIC_BANDS[-1][1]} AS s, '{METRIC_BANDS[-1][2]}' AS suffix, 1 AS digits)"
+    shown = f"CASE WHEN b.digits = 2 THEN {_fixed('b.s', 2)} ELSE {_fixed('b.s', 1)} END"
+    text = f"transform(array(CASE {bands} ELSE {last} END), b -> concat({shown}, b.suffix))[0]"
+    return bind(value, f"v -> CASE WHEN v = 0 THEN '0' ELSE {text} END")

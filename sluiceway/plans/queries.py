@@ -11,7 +11,7 @@ from sluiceway.functions import numbers, text, times
 from sluiceway.operators import combine, delivery, envelope, extract, listing, profile, progress
 from sluiceway.operators import routing, severity, sinks
 from sluiceway.plans import tables as t
-from sluiceway.session import fresh_path, prepare
+from sluiceway.session import fresh_path, prepare, spread
 from sluiceway.sources import heartbeat as hb
 from sluiceway.sources import lines, sensors
 
@@ -37,6 +37,11 @@ def all_queries() -> dict[str, Query]:
 # --- lines ---------------------------------------------------------------------
 
 
+def _document_lines(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spread(t.table(spark, folder, "documents"), "doc_id")
+    return lines.split_lines(documents, keys=["doc_id"])
+
+
 @query
 def scan_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.scan_lines(t.table(spark, folder, "documents"), keys=["doc_id"])
@@ -73,7 +78,7 @@ def drop_blank(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def wrap_raw(spark: SparkSession, folder: str) -> DataFrame:
-    found = lines.split_lines(t.table(spark, folder, "documents"), keys=["doc_id"])
+    found = _document_lines(spark, folder)
     return extract.wrap_raw(found).drop("line")
 
 
@@ -85,7 +90,7 @@ def encode_payload(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def regex_fields(spark: SparkSession, folder: str) -> DataFrame:
-    found = lines.split_lines(t.table(spark, folder, "documents"), keys=["doc_id"])
+    found = _document_lines(spark, folder)
     return extract.extract_fields(found, t.ACCESS_LOG_PATTERN).drop("line")
 
 
@@ -98,7 +103,7 @@ def regex_url(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def regex_match(spark: SparkSession, folder: str) -> DataFrame:
-    found = lines.split_lines(t.table(spark, folder, "documents"), keys=["doc_id"])
+    found = _document_lines(spark, folder)
     return extract.regex_match(found, r"(?<left>\w+) \| (?<right>[a-m]+)[,.]?")
 
 
@@ -178,7 +183,7 @@ def merge_overlay(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('{"user":'), "user_id", F.lit(',"k":{"was":['), "event_id", F.lit(',"'),
         "event_name", F.lit('"]}}'),
     )
-    records = t.envelopes(spark, folder).select(
+    records = spread(t.envelopes(spark, folder), "event_id").select(
         "event_id",
         F.col("event_data").alias("base"),
         F.when(F.col("event_name") == "view", F.lit("")).otherwise(top).alias("top"),
@@ -403,7 +408,7 @@ def field_profile(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def text_normalize(spark: SparkSession, folder: str) -> DataFrame:
     body = F.col("text")
-    return t.table(spark, folder, "documents").select(
+    return spread(t.table(spark, folder, "documents"), "doc_id").select(
         "doc_id",
         F.md5(text.ascii_lower(body)).alias("lower_md5"),
         F.md5(text.ascii_upper(body)).alias("upper_md5"),
@@ -431,7 +436,7 @@ def text_match(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def split_join(spark: SparkSession, folder: str) -> DataFrame:
     words = text.split_on(F.col("text"), " ")
-    return t.table(spark, folder, "documents").select(
+    return spread(t.table(spark, folder, "documents"), "doc_id").select(
         "doc_id",
         F.size(words).cast("bigint").alias("n_words"),
         F.md5(text.join_list(words, ", ")).alias("list_md5"),
@@ -450,7 +455,7 @@ def template_format(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def metric_format(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("o_totalprice")
-    return t.table(spark, folder, "orders").select(
+    return spread(t.table(spark, folder, "orders"), "o_orderkey").select(
         "o_orderkey",
         numbers.metric_text(price).alias("price"),
         numbers.metric_text(price / 1e6).alias("millions"),
@@ -493,7 +498,7 @@ def collect_and_route(spark: SparkSession, folder: str) -> DataFrame:
     """Heartbeats and access logs through extraction, envelope and routing, in one job."""
     columns = ["tick_us", "event_name", "event_data"]
     alive = hb.heartbeat(t.hosts(spark, folder), t.START_US, t.SECOND_US, ticks=10)
-    found = lines.split_lines(t.table(spark, folder, "documents"), keys=["doc_id"])
+    found = _document_lines(spark, folder)
     logs = extract.extract_payload(found, t.ACCESS_LOG_PATTERN).select(
         F.lit(t.START_US + t.SECOND_US).alias("tick_us"),
         F.lit("logs.access_log").alias("event_name"),

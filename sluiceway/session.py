@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings; all may be set on a session that already runs.
 SETTINGS = {
@@ -62,3 +62,18 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Spread a small table over all cores, by a unique key.
+
+    For work that costs much more per row than moving the row. Spark cuts a scan
+    into at least one split per core unless the files come to less than
+    ``spark.sql.files.openCostInBytes`` (4 MiB) per core; and splits of a file with
+    few row groups are mostly empty. So what is shuffled here is never more than
+    that, and a large table is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return table.repartition(cores, key)
