@@ -13,19 +13,16 @@ from sluiceway.functions.text import SHAPES, has_shape
 def field_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column how many values there are, and how many have each text shape.
 
-    One pass: each row gives one short row per column, combined before the shuffle.
+    All counts are taken in one pass and leave one row per task for the shuffle.
     """
-    pairs = F.array(
-        *[
-            F.struct(F.lit(name).alias("field"), F.col(name).cast("string").alias("value"))
-            for name in columns
-        ]
-    )
-    shapes = [
-        F.count_if(has_shape(F.col("value"), shape)).alias(f"n_{shape}") for shape in SHAPES
-    ]
-    return (
-        df.select(F.inline(pairs))
-        .groupBy("field")
-        .agg(F.count("value").alias("n_values"), *shapes)
-    )
+    counts = []
+    for name in columns:
+        value = F.col(name).cast("string")
+        counts.append(
+            F.struct(
+                F.lit(name).alias("field"),
+                F.count(name).alias("n_values"),
+                *[F.count_if(has_shape(value, shape)).alias(f"n_{shape}") for shape in SHAPES],
+            )
+        )
+    return df.agg(F.array(*counts).alias("_counts")).select(F.inline("_counts"))

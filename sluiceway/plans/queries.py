@@ -13,7 +13,8 @@ from sluiceway.operators import routing, severity, sinks
 from sluiceway.plans import tables as t
 from sluiceway.session import fresh_path, prepare, spread
 from sluiceway.sources import heartbeat as hb
-from sluiceway.sources import lines, sensors
+from sluiceway.sources import lines, sensors, tail
+from sluiceway.streaming import run, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,11 +24,11 @@ _registry: dict[str, Query] = {}
 def query(job: Query) -> Query:
     """Register a job under its name; session settings are put in place before it."""
 
-    def run(spark: SparkSession, folder: str) -> DataFrame:
+    def prepared(spark: SparkSession, folder: str) -> DataFrame:
         return job(prepare(spark), folder)
 
-    _registry[job.__name__] = run
-    return run
+    _registry[job.__name__] = prepared
+    return prepared
 
 
 def all_queries() -> dict[str, Query]:
@@ -377,6 +378,32 @@ def file_sink(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("event_id bigint, event_name string, event_data string").json(path)
 
 
+# --- files and streams ---------------------------------------------------------
+
+
+@query
+def tail_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the documents as log files, read back by the log source."""
+    path = fresh_path(spark, "logs")
+    _document_lines(spark, folder).select("line").write.text(path)
+    return tail.read_logs(spark, f"{path}/part-*").select("line", "byte_length")
+
+
+@query
+def stream_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as a stream of files, routed into tables batch by batch until drained."""
+    path, checkpoint = fresh_path(spark, "streamed"), fresh_path(spark, "checkpoint")
+    schema = t.table(spark, folder, "events").schema
+    # As a glob, since a stream takes a plain path for a folder, and this may be one file.
+    arriving = spark.readStream.schema(schema).parquet(f"{folder}/{{events.parquet}}")
+    events = arriving.select(
+        "event_id", F.col("event_type").alias("event_name"), F.col("props").alias("event_data")
+    )
+    started = run.start(events, writers.table_writer(path, t.ROUTES), checkpoint, drain=True)
+    started.awaitTermination()
+    return sinks.read_tables(spark, path).select("database", "table", "event_id", "event_data")
+
+
 # --- progress ------------------------------------------------------------------
 
 
@@ -398,8 +425,8 @@ def checkpoint(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def field_profile(spark: SparkSession, folder: str) -> DataFrame:
-    events = t.table(spark, folder, "events")
-    orders = t.table(spark, folder, "orders")
+    events = spread(t.table(spark, folder, "events"), "event_id")
+    orders = spread(t.table(spark, folder, "orders"), "o_orderkey")
     return profile.field_profile(events, ["event_type", "user_id", "value", "props"]).unionByName(
         profile.field_profile(orders, ["o_orderstatus", "o_orderkey", "o_orderpriority"])
     )

@@ -57,7 +57,9 @@ Positions = dict[str, list[int]]
 
 
 def _paths(pattern: str) -> list[str]:
-    pattern = pattern.removeprefix("file://")
+    pattern = pattern.removeprefix("file://").removeprefix("file:")
+    if "://" in pattern:
+        raise ValueError(f"{pattern}: log files are followed by inode, which needs a mounted folder")
     if glob.has_magic(pattern) and not os.path.exists(pattern):
         return sorted(glob.glob(pattern, recursive=True))
     return [pattern]
