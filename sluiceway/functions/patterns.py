@@ -225,14 +225,19 @@ def translate(pattern: str) -> FieldPattern:
     )
 
 
+_compiled: set[str] = set()
+
+
 def compile_pattern(spark: SparkSession, pattern: str) -> FieldPattern:
     """Translate a pattern and have Java compile it, before any data is read."""
     ready = translate(pattern)
-    for text in (ready.java, ready.marked):
+    if pattern not in _compiled:
+        tests = {"plain": f"(?d){ready.java}", "marked": f"(?d){ready.marked}"}
         try:
-            spark.sql("SELECT '' RLIKE :p", args={"p": f"(?d){text}"}).collect()
+            spark.sql("SELECT '' RLIKE :plain, '' RLIKE :marked", args=tests).collect()
         except Exception as failure:
             raise ConfigError("REGEX_ERROR", f"invalid pattern {pattern!r}: {failure}") from failure
+        _compiled.add(pattern)
     return ready
 
 

@@ -44,7 +44,8 @@ def round_zip(
     """
     used = records.filter(F.col(source).isin(list(sources)))
     if round_no is None:
-        used = position(used.select(*event, source, order, record), [*event, source], order, width=width)
+        narrow = used.select(*event, source, order, record)
+        used = position(narrow, [*event, source], order, width=width)
     else:
         used = used.withColumn("round_no", F.col(round_no).cast("bigint"))
     used = used.select(*event, "round_no", source, record)
@@ -60,7 +61,9 @@ def round_zip(
         F.coalesce(F.max(F.when(F.col(source) == s, F.col(record))), F.lit("")).alias(s)
         for s in sources
     ]
-    zipped = used.groupBy(*event, "round_no").agg(*taken)
+    # A round is a handful of rows from different tasks: combining before the shuffle
+    # would only sort them once more.
+    zipped = used.repartition(*event, "round_no").groupBy(*event, "round_no").agg(*taken)
     return zipped.withColumns(dict(sensors)) if sensors else zipped
 
 

@@ -234,12 +234,13 @@ def all_sql() -> dict[str, str]:
             SELECT "database", "table", outcome, count(*) AS attempts FROM judged GROUP BY 1, 2, 3""",
         "dead_letters": f"""WITH {ENVELOPES}, {GOOD_ROUTES}, {DELIVERIES}
             SELECT * FROM judged WHERE outcome <> 'OK'""",
-        "redeliver": f"""WITH {ENVELOPES}, {GOOD_ROUTES}, {DELIVERIES}, {HOSTS},
-            alive AS ({_heartbeat(60000000, 2)})
+        "redeliver": f"""WITH {ENVELOPES}, {GOOD_ROUTES}, {DELIVERIES},
+            r AS (SELECT * FROM (VALUES ('O', 'open'), ('F', 'done'), ('F', 'all'))
+              AS v(status, tab))
             SELECT "database", "table", event_data, (attempt + 1)::BIGINT AS attempt FROM judged
               WHERE outcome = 'EIO' AND attempt < 3
-            UNION ALL SELECT 'test', tab, event_data, 1 FROM alive,
-              (VALUES ('sys.alive'), ('sys.alive.rollup')) AS v(tab)""",
+            UNION ALL SELECT 'orders', tab, '{{"key":"' || o_orderkey || '"}}', 1
+              FROM orders JOIN r ON o_orderstatus = status""",
         "insert_payload": f"""WITH {ENVELOPES}, {GOOD_ROUTES}
             SELECT event_id, route_no, '[{{"database":"' || db || '","table":"' || tab ||
               '","data":' || event_data || '}}]' AS body {_SHOP}""",

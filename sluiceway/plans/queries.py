@@ -45,7 +45,7 @@ def _document_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def scan_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.scan_lines(t.table(spark, folder, "documents"), keys=["doc_id"])
+    return lines.scan_lines(spread(t.table(spark, folder, "documents"), "doc_id"), keys=["doc_id"])
 
 
 @query
@@ -85,7 +85,7 @@ def wrap_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def encode_payload(spark: SparkSession, folder: str) -> DataFrame:
-    pages = t.table(spark, folder, "pages")
+    pages = spread(t.table(spark, folder, "pages"), "page_id")
     return extract.encode_payload(pages, ["url", "html"]).select("page_id", "event_data")
 
 
@@ -344,8 +344,11 @@ def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def redeliver(spark: SparkSession, folder: str) -> DataFrame:
     failed = delivery.dead_letters(_deliveries(spark, folder))
-    alive = hb.heartbeat(t.hosts(spark, folder), t.START_US, t.MINUTE_US, ticks=2)
-    fresh = routing.route_exact(alive, t.ACCESS_LOG_ROUTES).select("database", "table", "event_data")
+    orders = t.table(spark, folder, "orders").select(
+        F.concat(F.lit("order."), "o_orderstatus").alias("event_name"),
+        extract.json_object([("key", F.col("o_orderkey").cast("string"))]).alias("event_data"),
+    )
+    fresh = routing.route_exact(orders, t.ORDER_ROUTES).select("database", "table", "event_data")
     return delivery.redeliver(failed, fresh, max_attempts=3).withColumn(
         "attempt", F.col("attempt").cast("bigint")
     )
@@ -409,7 +412,7 @@ def stream_sink(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def checkpoint(spark: SparkSession, folder: str) -> DataFrame:
-    files = t.log_files(spark, folder)
+    files = spread(t.log_files(spark, folder), "doc_id")
     found = lines.scan_lines(files, keys=["path", "inode"])
     # English logs had been read up to the end of their first line.
     previous = files.filter(F.col("lang") == "en").select(
@@ -448,7 +451,7 @@ def text_normalize(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def text_match(spark: SparkSession, folder: str) -> DataFrame:
     body = F.col("text")
-    return t.table(spark, folder, "documents").select(
+    return spread(t.table(spark, folder, "documents"), "doc_id").select(
         "doc_id",
         F.startswith(body, F.lit("Th")).alias("begins"),
         F.endswith(body, F.lit(".")).alias("ends"),

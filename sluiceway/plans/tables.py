@@ -32,6 +32,12 @@ ROUTES = [
     Route(6, "error", "ops/err"),
 ]
 
+ORDER_ROUTES = [
+    Route(1, "order.O", "orders/open"),
+    Route(2, "order.F", "orders/done"),
+    Route(3, "order.F", "orders/all"),
+]
+
 WILDCARD_ROUTES = [
     Route(1, "*", "mydb/%E"),
     Route(2, "p*", "shop/%E.rollup"),

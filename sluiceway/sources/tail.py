@@ -35,6 +35,7 @@ import os
 import stat
 import sys
 from collections.abc import Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,6 +52,8 @@ from pyspark.sql.datasource import (
 SCHEMA = "path string, inode bigint, byte_offset bigint, byte_length bigint, line string"
 SPLIT_BYTES = 128 << 20
 BLOCK = 1 << 20
+# Files looked at at once; a poll mostly waits for the file system.
+_PARALLEL = 32
 
 # path -> [inode, end of the last line taken]
 Positions = dict[str, list[int]]
@@ -100,35 +103,46 @@ def find_end(pattern: str, known: Mapping[str, list[int]], limit: int | None = N
     result, shared among the files that have some; a file always gets at least one
     line.
     """
-    result: Positions = {path: list(position) for path, position in known.items()}
-    grown = []
-    for path in dict.fromkeys([*_paths(pattern), *known]):
-        try:
-            info = os.stat(path)
-        except OSError:
-            continue
-        if not stat.S_ISREG(info.st_mode):
-            continue
-        start = _start(known.get(path), info.st_ino, info.st_size)
-        if path not in known or [info.st_ino, start] != known[path] or info.st_size > start:
-            grown.append((path, info.st_ino, start, info.st_size))
-    share = None if limit is None else max(1, limit // max(1, len(grown)))
-    for path, inode, start, size in grown:
-        try:
-            fd = os.open(path, os.O_RDONLY)
-        except OSError:
-            continue
-        try:
-            if os.fstat(fd).st_ino != inode:
-                continue
-            end = _after_last_newline(fd, start, size)
-            if share is not None and end - start > share:
-                cut = _after_last_newline(fd, start, start + share)
-                end = cut if cut > start else _after_first_newline(fd, start + share, end)
-        finally:
-            os.close(fd)
-        result[path] = [inode, end]
-    return result
+    paths = list(dict.fromkeys([*_paths(pattern), *known]))
+    with ThreadPoolExecutor(_PARALLEL) as pool:
+        grown = [g for g in pool.map(lambda p: _grown(p, known.get(p)), paths) if g]
+        share = None if limit is None else max(1, limit // max(1, len(grown)))
+        ends = pool.map(lambda g: _end(*g, share), grown)
+        found = {g[0]: [g[1], end] for g, end in zip(grown, ends) if end is not None}
+    # Paths keep their order, so that equal positions are equal as text.
+    return {p: found.get(p) or list(known[p]) for p in paths if p in found or p in known}
+
+
+def _grown(path: str, known: list[int] | None) -> tuple[str, int, int, int] | None:
+    """Path, inode, start and size of a file that has changed since ``known``."""
+    try:
+        info = os.stat(path)
+    except OSError:
+        return None
+    if not stat.S_ISREG(info.st_mode):
+        return None
+    start = _start(known, info.st_ino, info.st_size)
+    if [info.st_ino, start] == known and info.st_size == start:
+        return None
+    return path, info.st_ino, start, info.st_size
+
+
+def _end(path: str, inode: int, start: int, size: int, share: int | None) -> int | None:
+    """The end of the last line of a file, or of as many lines as fit the share."""
+    try:
+        fd = os.open(path, os.O_RDONLY)
+    except OSError:
+        return None
+    try:
+        if os.fstat(fd).st_ino != inode:
+            return None
+        end = _after_last_newline(fd, start, size)
+        if share is not None and end - start > share:
+            cut = _after_last_newline(fd, start, start + share)
+            end = cut if cut > start else _after_first_newline(fd, start + share, end)
+        return end
+    finally:
+        os.close(fd)
 
 
 def _ranges(
