@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions.json_text import overlay
-from sluiceway.operators.ranks import WIDTH, position
+from sluiceway.operators.ranks import LIMIT, position
 
 
 def union_bindings(*events: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def round_zip(
     round_no: str | None = None,
     sensors: Mapping[str, Column] | None = None,
     ticks: DataFrame | None = None,
-    width: int = WIDTH,
+    limit: int = LIMIT,
 ) -> DataFrame:
     """Line up the records of an event's sources round by round.
 
@@ -45,7 +45,7 @@ def round_zip(
     used = records.filter(F.col(source).isin(list(sources)))
     if round_no is None:
         narrow = used.select(*event, source, order, record)
-        used = position(narrow, [*event, source], order, width=width)
+        used = position(narrow, [*event, source], order, limit=limit)
     else:
         used = used.withColumn("round_no", F.col(round_no).cast("bigint"))
     used = used.select(*event, "round_no", source, record)
@@ -85,11 +85,11 @@ def last_source(
     order: str = "byte_offset",
     record: str = "record",
     payload: str = "event_data",
-    width: int = WIDTH,
+    limit: int = LIMIT,
 ) -> DataFrame:
     """What ``merge_last`` gives after ``round_zip``, read from the last source alone."""
     only = records.filter(F.col(source) == last).select(*event, order, record)
-    ranked = position(only, list(event), order, width=width)
+    ranked = position(only, list(event), order, limit=limit)
     return ranked.select(*event, "round_no", F.col(record).alias(payload)).filter(
         F.col(payload) != ""
     )

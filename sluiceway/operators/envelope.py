@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.operators.ranks import WIDTH, with_previous
+from sluiceway.operators.ranks import LIMIT, with_previous
 
 
 def micros(time: Column) -> Column:
@@ -58,7 +58,7 @@ def missed_ticks(
     interval_us: int,
     event: str = "event_name",
     tick: str = "tick_us",
-    width: int = WIDTH,
+    limit: int = LIMIT,
 ) -> DataFrame:
     """Gaps in the emitted ticks: the tick after each gap, and how many were skipped.
 
@@ -66,7 +66,7 @@ def missed_ticks(
     """
     number = whole(F.col(tick) - start_us, interval_us)
     numbered = ticked.select(event, number.alias("_no")).distinct()
-    steps = with_previous(numbered, [event], "_no", "_before", width)
+    steps = with_previous(numbered, [event], "_no", "_before", limit)
     return steps.select(
         event,
         (F.col("_no") * interval_us + start_us).alias(tick),

@@ -1,65 +1,96 @@
-"""Position and predecessor within a key, without putting a whole key in one task.
+"""Position and predecessor within a key, without putting a whole hot key in one task.
 
-Both work on a long ``order`` column that is unique within its keys. Rows are cut
-into ranges of ``width`` order values, so that no window holds more than ``width``
-rows however many rows a key has. What crosses a range boundary is carried by one
-summary row per range: at the standard width, one per 4 MiB of a log file when the
-order is a byte offset.
+Both work on a long ``order`` column that is unique within its keys. A key of up to
+``limit`` rows is one window. The rows of a larger key are cut by their order value
+into as many even ranges as it has ``limit`` rows, one window each, and what crosses
+a range boundary is carried by one summary row per range.
+
+There is at most one large key, and about one range, per ``limit`` rows of the
+table: a quarter million of each in 10**12 rows. That bounds what is broadcast here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-WIDTH = 1 << 22
+LIMIT = 1 << 22
+
 
+def _large_keys(df: DataFrame, keys: Sequence[str], order: str, limit: int) -> DataFrame:
+    """The large keys, the lowest order value of each and the width of its ranges."""
+    spread = F.col("_high") - F.col("_low") + 1
+    ranges = F.ceil(F.col("_rows") / F.lit(limit))
+    return (
+        df.groupBy(*keys)
+        .agg(
+            F.count("*").alias("_rows"),
+            F.min(order).alias("_low"),
+            F.max(order).alias("_high"),
+        )
+        .filter(F.col("_rows") > limit)
+        .select(*keys, "_low", F.ceil(spread / ranges).alias("_width"))
+    )
 
-def _ranges(order: str, width: int) -> Column:
-    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
+
+def _cut(df: DataFrame, large: DataFrame, keys: Sequence[str], order: str, how: str) -> DataFrame:
+    """Rows with their range: 0 for all rows of a key that is not large."""
+    into = F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("bigint")
+    return (
+        df.join(F.broadcast(large), list(keys), how)
+        .withColumn("_range", F.coalesce(into, F.lit(0).cast("bigint")))
+        .drop("_low", "_width")
+    )
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "round_no", width: int = WIDTH
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "round_no", limit: int = LIMIT
 ) -> DataFrame:
     """Add the 1-based position of each row within its keys."""
-    cut = df.withColumn("_range", _ranges(order, width))
     by_range = [*keys, "_range"]
-    local = cut.withColumn(
-        "_local", F.row_number().over(W.partitionBy(*by_range).orderBy(order)).cast("bigint")
-    )
+    slim = df.select(*keys, order)
+    large = _large_keys(slim, keys, order, limit)
     before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    # Only keys that span several ranges need a base; the others stay out of the join.
     bases = (
-        cut.groupBy(*by_range)
+        _cut(slim, large, keys, order, "inner")
+        .groupBy(*by_range)
         .agg(F.count("*").alias("_rows"))
-        .withColumn("_base", F.sum("_rows").over(before))
-        .filter(F.col("_base") > 0)
+        .withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .select(*by_range, "_base")
     )
+    within = F.row_number().over(W.partitionBy(*by_range).orderBy(order)).cast("bigint")
     return (
-        local.join(bases, by_range, "left")
-        .withColumn(name, F.col("_local") + F.coalesce(F.col("_base"), F.lit(0)))
+        _cut(df, large, keys, order, "left")
+        .withColumn("_within", within)
+        .join(F.broadcast(bases), by_range, "left")
+        .withColumn(name, F.col("_within") + F.coalesce(F.col("_base"), F.lit(0)))
         .select(*df.columns, name)
     )
 
 
 def with_previous(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "previous", width: int = WIDTH
+    df: DataFrame, keys: Sequence[str], order: str, name: str = "previous", limit: int = LIMIT
 ) -> DataFrame:
     """Rows that follow another within their keys, with the order value before theirs."""
-    cut = df.select(*keys, order).withColumn("_range", _ranges(order, width))
     by_range = [*keys, "_range"]
-    inside = cut.withColumn(
+    slim = df.select(*keys, order)
+    large = _large_keys(slim, keys, order, limit)
+    inside = _cut(slim, large, keys, order, "left").withColumn(
         name, F.lag(order).over(W.partitionBy(*by_range).orderBy(order))
-    ).select(*keys, order, name)
+    )
+    # The first row of a range follows the last one of the range before it.
     across = (
-        cut.groupBy(*by_range)
+        _cut(slim, large, keys, order, "inner")
+        .groupBy(*by_range)
         .agg(F.min(order).alias(order), F.max(order).alias("_last"))
         .withColumn(name, F.lag("_last").over(W.partitionBy(*keys).orderBy("_range")))
-        .select(*keys, order, name)
     )
-    return inside.unionByName(across).filter(F.col(name).isNotNull())
+    columns = [*keys, order, name]
+    return (
+        inside.select(*columns)
+        .unionByName(across.select(*columns))
+        .filter(F.col(name).isNotNull())
+    )

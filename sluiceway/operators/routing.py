@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,32 +137,49 @@ def fill_template(target: str, event_name: Column) -> Column:
     return F.replace(F.lit(target), F.lit("%E"), event_name)
 
 
-def _matches(event_name: Column, routes: Sequence[Route]) -> Column:
-    """Routes of one event in route order, up to and with the first bad one marked."""
-    fits = []
-    for route in sorted(routes, key=lambda r: r.route_no):
-        target = fill_template(route.target, event_name)
-        entry = F.struct(F.lit(route.route_no).alias("route_no"), target.alias("target"))
-        if "*" in route.event_name_match:
-            fit = event_name.like(like_pattern(route.event_name_match))
-        else:
-            fit = event_name == route.event_name_match
-        fits.append(F.when(fit, entry))
-    return F.filter(F.array(*fits), lambda r: r.isNotNull())
-
-
-def _live(found: Column) -> Column:
-    """The part of a route-ordered array before the first bad target."""
-    first_bad = F.array_position(F.transform(found, lambda r: _is_bad(r["target"])), F.lit(True))
-    return F.when(first_bad == 0, found).otherwise(
-        F.slice(found, F.lit(1), F.greatest(first_bad - 1, F.lit(0)).cast("int"))
-    )
+def _fits(route: Route, name: Column) -> Column:
+    if "*" in route.event_name_match:
+        return name.like(like_pattern(route.event_name_match))
+    return name == route.event_name_match
+
 
+def _is_bad_for(route: Route, name: Column) -> Column | None:
+    """Whether the filled target has not two parts; None if it always has."""
+    places = route.target.count("%E")
+    slashes = route.target.count("/")
+    if not places:
+        return None if slashes == 1 else F.lit(True)
+    in_name = F.octet_length(name) - F.octet_length(F.replace(name, F.lit("/"), F.lit("")))
+    return F.lit(slashes) + F.lit(places) * in_name != 1
 
-def _explode_routes(df: DataFrame, found: Column) -> DataFrame:
-    kept = [c for c in df.columns]
-    out = df.select(*kept, F.explode(found).alias("_r"))
-    return out.select(*kept, "_r.route_no", "_r.target")
+
+def _each_match(df: DataFrame, routes: Sequence[Route]) -> DataFrame:
+    """One row per fitting route before the first bad one among these, with its target.
+
+    A fitting bad route is kept too, the first one only, for the caller to see.
+    """
+    name = F.col("event_name")
+    entries = F.array(
+        *[
+            F.when(
+                _fits(route, name),
+                F.struct(
+                    F.lit(route.route_no).alias("route_no"),
+                    fill_template(route.target, name).alias("target"),
+                ),
+            )
+            for route in routes
+        ]
+    )
+    doubtful = [(r, bad) for r in routes if (bad := _is_bad_for(r, name)) is not None]
+    found = df.select("*", F.explode(entries).alias("_r")).filter(F.col("_r").isNotNull())
+    out = found.select(*df.columns, "_r.route_no", "_r.target")
+    if not doubtful:
+        return out
+    stops = [F.when(_fits(r, name) & bad, F.lit(r.route_no)) for r, bad in doubtful]
+    # The null keeps ``least``, which skips nulls, at two arguments or more.
+    first_bad = F.least(*stops, F.lit(None).cast("int"), F.lit(None).cast("int"))
+    return out.filter(F.col("route_no") <= F.coalesce(first_bad, F.lit(2**31 - 1)))
 
 
 def route_template(events: DataFrame, routes: Sequence[Route]) -> DataFrame:
@@ -171,17 +189,14 @@ def route_template(events: DataFrame, routes: Sequence[Route]) -> DataFrame:
     A list too long for one expression is tested against the distinct event
     names only, in slices, and its result joined back on the name.
     """
-    name = F.col("event_name")
-    if len(routes) <= INLINE_ROUTES:
-        found = _explode_routes(events, _live(_matches(name, routes)))
-        return parse_target(found).drop("error_code", "error_message")
-
     ordered = sorted(routes, key=lambda r: r.route_no)
+    if len(ordered) <= INLINE_ROUTES:
+        hits = parse_target(_each_match(events, ordered))
+        return hits.filter(F.col("error_code").isNull()).drop("error_code", "error_message")
+
     names = events.select("event_name").distinct()
     parts = [ordered[i : i + INLINE_ROUTES] for i in range(0, len(ordered), INLINE_ROUTES)]
-    hits = _explode_routes(names, _matches(name, parts[0]))
-    for part in parts[1:]:
-        hits = hits.unionByName(_explode_routes(names, _matches(name, part)))
+    hits = reduce(DataFrame.unionByName, [_each_match(names, part) for part in parts])
     hits = parse_target(hits)
     first_bad = (
         hits.filter(F.col("error_code").isNotNull())

@@ -103,7 +103,7 @@ def find_end(pattern: str, known: Mapping[str, list[int]], limit: int | None = N
     result, shared among the files that have some; a file always gets at least one
     line.
     """
-    paths = list(dict.fromkeys([*_paths(pattern), *known]))
+    paths = sorted({*_paths(pattern), *known})
     with ThreadPoolExecutor(_PARALLEL) as pool:
         grown = [g for g in pool.map(lambda p: _grown(p, known.get(p)), paths) if g]
         share = None if limit is None else max(1, limit // max(1, len(grown)))

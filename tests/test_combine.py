@@ -21,9 +21,9 @@ def brute_rounds(records, sources):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 3, 1 << 16])
-def test_round_zip_against_draining(spark, width):
-    rng = random.Random(width)
+@pytest.mark.parametrize("limit", [1, 3, 1 << 16])
+def test_round_zip_against_draining(spark, limit):
+    rng = random.Random(limit)
     sources = ["a", "b", "c"]
     # One event holds a third of all records, most of them from one source.
     events = ["hot"] * 50 + [f"e{i}" for i in range(100)]
@@ -38,12 +38,12 @@ def test_round_zip_against_draining(spark, width):
     frame = spark.createDataFrame(
         records, "event_name string, source string, byte_offset bigint, record string"
     )
-    zipped = combine.round_zip(frame, ["event_name"], sources, width=width)
+    zipped = combine.round_zip(frame, ["event_name"], sources, limit=limit)
     expected = brute_rounds(records, sources)
     assert {tuple(r) for r in zipped.collect()} == expected
     last = {(e, n, c) for e, n, _, _, c in expected if c != ""}
     assert {tuple(r) for r in combine.merge_last(zipped, sources).collect()} == last
-    direct = combine.last_source(frame, ["event_name"], "c", width=width)
+    direct = combine.last_source(frame, ["event_name"], "c", limit=limit)
     assert {tuple(r) for r in direct.collect()} == last
 
 
@@ -94,16 +94,16 @@ def test_overlay_of_three(spark):
     assert combine.merge_overlay(frame, ["x", "y", "z"]).head().event_data == '{"a":2,"b":1}'
 
 
-@pytest.mark.parametrize("width", [1, 4, 1000])
-def test_position_and_previous(spark, width):
+@pytest.mark.parametrize("limit", [1, 4, 1000])
+def test_position_and_previous(spark, limit):
     rng = random.Random(3)
     values = {k: sorted(rng.sample(range(-50, 200), 60)) for k in ("a", "b")} | {"c": [5]}
     frame = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v bigint")
-    ranked = position(frame, ["k"], "v", "n", width)
+    ranked = position(frame, ["k"], "v", "n", limit)
     assert {tuple(r) for r in ranked.collect()} == {
         (k, v, i + 1) for k, vs in values.items() for i, v in enumerate(vs)
     }
-    steps = with_previous(frame, ["k"], "v", "p", width)
+    steps = with_previous(frame, ["k"], "v", "p", limit)
     got = [tuple(r) for r in steps.collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(k, v, p) for k, vs in values.items() for p, v in zip(vs, vs[1:])}
@@ -122,11 +122,11 @@ def test_ticks(spark):
     assert got == cases
 
 
-@pytest.mark.parametrize("width", [1, 2, 1 << 16])
-def test_missed_ticks(spark, width):
+@pytest.mark.parametrize("limit", [1, 2, 1 << 16])
+def test_missed_ticks(spark, limit):
     ticks = [("e", t) for t in (110, 120, 120, 150, 160, 200)] + [("f", 110)]
     frame = spark.createDataFrame(ticks, "event_name string, tick_us bigint")
-    got = {tuple(r) for r in envelope.missed_ticks(frame, 100, 10, width=width).collect()}
+    got = {tuple(r) for r in envelope.missed_ticks(frame, 100, 10, limit=limit).collect()}
     assert got == {("e", 150, 2), ("e", 200, 3)}
 
 
