@@ -22,43 +22,32 @@ def bind(value: Column, use: Callable[[Column], Column] | str) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _running(values: Column) -> Column:
-    """``[0, v1, v1+v2, ...]``: one longer than the input. Quadratic, for short arrays."""
-    return F.aggregate(
-        values,
-        F.array(F.lit(0).cast("bigint")),
-        lambda done, v: F.array_append(done, F.element_at(done, -1) + v),
+def _running(values: str) -> str:
+    """SQL of ``[0, v1, v1+v2, ...]``: one longer than the input. Quadratic, for short arrays."""
+    return (
+        f"aggregate({values}, array(0L),"
+        " (done, n) -> array_append(done, element_at(done, -1) + n))"
     )
 
 
-def _but_last(values: Column) -> Column:
-    return F.slice(values, F.lit(1), F.size(values) - 1)
-
-
 def exclusive_sums(values: Column) -> Column:
     """For each entry the sum of all entries before it.
 
     Works in blocks, so that growing the result array stays cheap on long input.
     """
-
-    def blockwise(v: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))
-        return F.transform(starts, lambda at: _running(F.slice(v, at, F.lit(BLOCK))))
-
-    def joined(blocks: Column) -> Column:
-        bases = _running(F.transform(blocks, lambda block: F.element_at(block, -1)))
-        shifted = F.zip_with(
-            blocks,
-            _but_last(bases),
-            lambda block, base: F.transform(_but_last(block), lambda v: v + base),
-        )
-        return F.flatten(shifted)
-
-    def sums(v: Column) -> Column:
-        return (
-            F.when(F.size(v) == 0, F.array().cast("array<bigint>"))
-            .when(F.size(v) <= BLOCK, _but_last(_running(v)))
-            .otherwise(bind(blockwise(v), joined))
-        )
-
-    return bind(values, sums)
+    blocks = f"transform(sequence(1, size(v), {BLOCK}), at -> {_running(f'slice(v, at, {BLOCK})')})"
+    bases = _running("transform(blocks, block -> element_at(block, -1))")
+    shifted = (
+        "flatten(zip_with(blocks, slice(bases, 1, size(blocks)),"
+        " (block, base) -> transform(slice(block, 1, size(block) - 1), n -> n + base)))"
+    )
+    long = (
+        f"transform(array({blocks}), blocks ->"
+        f" transform(array({bases}), bases -> {shifted})[0])[0]"
+    )
+    return bind(
+        values,
+        f"""v -> CASE WHEN size(v) = 0 THEN cast(array() AS array<bigint>)
+            WHEN size(v) <= {BLOCK} THEN slice({_running("v")}, 1, size(v))
+            ELSE {long} END""",
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,17 +19,26 @@ SHORT_ESCAPES = {
 }
 
 
+def _escape(code: int) -> str:
+    return SHORT_ESCAPES.get(chr(code), f"\\u{code:04x}")
+
+
 def json_escape(value: Column) -> Column:
     """The inside of a JSON string: quote, backslash and control characters escaped."""
     plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     full = plain
     for code in range(0x20):
-        escape = SHORT_ESCAPES.get(chr(code), f"\\u{code:04x}")
-        full = F.replace(full, F.char(F.lit(code)), F.lit(escape))
+        full = F.call_function("replace", full, *_pair(code))
     # Few rows hold a control character; only those go through all replacements.
     return F.when(value.rlike(r"[\x00-\x1f]"), full).otherwise(plain)
 
 
+@lru_cache(maxsize=None)
+def _pair(code: int) -> tuple[Column, Column]:
+    """A control character and its escape as literals, built once: they are used a lot."""
+    return F.char(F.lit(code)), F.lit(_escape(code))
+
+
 def json_quote(value: Column) -> Column:
     return F.concat(F.lit('"'), json_escape(value), F.lit('"'))
 
@@ -36,7 +46,7 @@ def json_quote(value: Column) -> Column:
 def json_literal(text: str) -> str:
     """The same quoting for a text known on the driver."""
     table = {"\\": "\\\\", '"': '\\"', **SHORT_ESCAPES}
-    body = "".join(table.get(c, f"\\u{ord(c):04x}" if c < " " else c) for c in text)
+    body = "".join(table.get(c) or (_escape(ord(c)) if c < " " else c) for c in text)
     return f'"{body}"'
 
 
