@@ -161,6 +161,15 @@ def all_sql() -> dict[str, str]:
               AND u.role = 'user'
             LEFT JOIN ranked a ON a.conv_id = r.conv_id AND a.round_no = r.round_no
               AND a.role = 'assistant'""",
+        "merge_rounds": f"""WITH ranked AS (SELECT conv_id, role, turn, text,
+              row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS round_no
+              FROM conversations)
+            SELECT conv_id, round_no, '{{"conv":' || conv_id || ',"turn":' ||
+              coalesce(max(turn) FILTER (role = 'assistant'), max(turn) FILTER (role = 'user'),
+                max(turn) FILTER (role = 'system')) || string_agg(
+                ',"' || role || '":"' || {_esc("text")} || '"', ''
+                ORDER BY CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END) ||
+              '}}' AS event_data FROM ranked GROUP BY conv_id, round_no""",
         "merge_last": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
               AS round_no, text AS event_data FROM conversations WHERE role = 'assistant'
             QUALIFY text <> ''""",
@@ -177,6 +186,13 @@ def all_sql() -> dict[str, str]:
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM resolved)
             SELECT event_id, route_no, target, CASE WHEN bad THEN 'EINVAL' END AS error_code, stopped
             FROM env JOIN flagged ON event_name = name WHERE bad OR stopped""",
+        "route_table": """WITH r AS (SELECT 'customer.' || c_custkey AS name, n AS route_no,
+              CASE n WHEN 0 THEN 'all' WHEN 1 THEN c_mktsegment ELSE 'nation' END AS db,
+              CASE n WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN 'orders'
+                ELSE c_nationkey::VARCHAR END AS tab
+              FROM customer, (VALUES (0), (1), (2)) AS v(n) WHERE c_nationkey >= 5 OR n = 0)
+            SELECT o_orderkey, route_no, db AS "database", tab AS "table"
+            FROM orders JOIN r ON name = 'customer.' || o_custkey""",
         "routed": f"""SELECT event_id, event_type AS event_name FROM events
             WHERE event_type IN (SELECT name FROM {ROUTES})""",
         "unrouted": f"""SELECT event_id, event_type AS event_name FROM events

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions import numbers, text, times
+from sluiceway.functions.json_text import json_quote
 from sluiceway.operators import combine, delivery, envelope, extract, listing, profile, progress
 from sluiceway.operators import routing, severity, sinks
 from sluiceway.plans import tables as t
@@ -192,6 +193,24 @@ def merge_overlay(spark: SparkSession, folder: str) -> DataFrame:
     return combine.merge_overlay(records, ["base", "top"])
 
 
+@query
+def merge_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Rounds of JSON records laid over each other, the sensor first."""
+    turns = t.table(spark, folder, "conversations")
+    record = F.concat(
+        F.lit('{"'), "role", F.lit('":'), json_quote(F.col("text")), F.lit(',"turn":'), "turn", F.lit("}")
+    )
+    zipped = combine.round_zip(
+        turns.select("conv_id", "role", "turn", record.alias("record")),
+        ["conv_id"],
+        SOURCES,
+        source="role",
+        order="turn",
+        sensors={"sensor": F.concat(F.lit('{"conv":'), "conv_id", F.lit(',"turn":-1}'))},
+    )
+    return combine.merge_overlay(zipped, ["sensor", *SOURCES])
+
+
 # --- routing -------------------------------------------------------------------
 
 
@@ -217,6 +236,23 @@ def route_errors(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def route_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as events by customer, with a table of routes that grows with the customers."""
+    name = F.concat(F.lit("customer."), "o_custkey")
+    orders = t.table(spark, folder, "orders").select("o_orderkey", name.alias("event_name"))
+    match = F.concat(F.lit("customer."), "c_custkey").alias("event_name_match")
+    bad = F.col("c_nationkey") < 5
+    targets = [
+        F.concat_ws("/", F.lit("all"), "c_custkey"),
+        F.concat_ws("/", "c_mktsegment", F.when(bad, F.lit("x/y")).otherwise(F.lit("orders"))),
+        F.concat_ws("/", F.lit("nation"), "c_nationkey"),
+    ]
+    numbered = [F.struct(F.lit(n).alias("route_no"), c.alias("target")) for n, c in enumerate(targets)]
+    routes = t.table(spark, folder, "customer").select(match, F.inline(F.array(*numbered)))
+    return routing.route_exact(orders, routes).drop("target", "event_name")
+
+
 @query
 def routed(spark: SparkSession, folder: str) -> DataFrame:
     return routing.routed(t.envelopes(spark, folder), t.ROUTES).select("event_id", "event_name")

@@ -58,13 +58,15 @@ def heartbeat(
 
 
 def heartbeat_stream(
-    spark: SparkSession, hostname: str, fqdn: str = "", rows_per_second: int = 1,
-    event_name: str = "sys.alive",
+    spark: SparkSession, hostname: str, fqdn: str = "", event_name: str = "sys.alive"
 ) -> DataFrame:
-    """The sensor of one host as an unbounded stream of events."""
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    """The sensor of one host as a stream of events: one in every micro-batch.
+
+    To be run with an interval, so that a micro-batch is a tick.
+    """
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     return ticks.select(
-        F.col("timestamp").alias("time"),
+        F.current_timestamp().alias("time"),
         F.lit(event_name).alias("event_name"),
         host_record(F.lit(hostname), F.lit(fqdn)).alias("event_data"),
     )

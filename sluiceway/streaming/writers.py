@@ -8,6 +8,7 @@ changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -31,6 +32,16 @@ def batch_path(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
+@contextmanager
+def _kept(batch: DataFrame) -> Iterator[None]:
+    """Keep a batch that is gone over more than once, so that its source is read once."""
+    batch.persist()
+    try:
+        yield
+    finally:
+        batch.unpersist()
+
+
 def table_writer(path: str, routes: Sequence[Route], unrouted_path: str | None = None) -> Writer:
     """Write events under ``batch_id=/database=/table=``, one row per route.
 
@@ -38,8 +49,11 @@ def table_writer(path: str, routes: Sequence[Route], unrouted_path: str | None =
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_tables(route_exact(batch, routes), batch_path(path, batch_id), mode="overwrite")
-        if unrouted_path:
+        if not unrouted_path:
+            write_tables(route_exact(batch, routes), batch_path(path, batch_id), mode="overwrite")
+            return
+        with _kept(batch):
+            write_tables(route_exact(batch, routes), batch_path(path, batch_id), mode="overwrite")
             lost = unrouted(batch, routes)
             lost.write.mode("overwrite").parquet(batch_path(unrouted_path, batch_id))
 
@@ -110,11 +124,12 @@ def zip_writer(
     order = list(order or [*sources, *(sensors or {})])
 
     def combined(batch: DataFrame, batch_id: int) -> None:
-        named = batch.withColumn("event_name", F.lit(event_name))
         tick = batch.sparkSession.createDataFrame([(event_name,)], "event_name string")
-        zipped = round_zip(named, ["event_name"], sources, sensors=sensors, ticks=tick)
-        merged = merge_overlay(zipped, order) if overlay else merge_last(zipped, order)
-        events = merged.select(F.current_timestamp().alias("time"), "event_name", "event_data")
-        write(events, batch_id)
+        with _kept(batch):
+            named = batch.withColumn("event_name", F.lit(event_name))
+            zipped = round_zip(named, ["event_name"], sources, sensors=sensors, ticks=tick)
+            merged = merge_overlay(zipped, order) if overlay else merge_last(zipped, order)
+            events = merged.select(F.current_timestamp().alias("time"), "event_name", "event_data")
+            write(events, batch_id)
 
     return combined

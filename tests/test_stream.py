@@ -374,8 +374,18 @@ def test_line_files_of_a_stream(spark, tmp_path, log):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{ "data": "x" }']
 
 
-def test_heartbeat_is_a_stream(spark):
-    assert heartbeat_stream(spark, "h").isStreaming
+def test_one_heartbeat_per_tick(spark, tmp_path):
+    ticks = []
+    write = lambda batch, i: ticks.append([r.event_data for r in batch.collect()])
+    query = run.start(heartbeat_stream(spark, "h", "h.x"), write, str(tmp_path / "ck"), 500_000)
+    try:
+        deadline = time.time() + 30
+        while len(ticks) < 3 and time.time() < deadline:
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert len(ticks) >= 3
+    assert all(t == ['{ "hostname": "h", "hostname_fqdn": "h.x" }'] for t in ticks)
 
 
 def test_ticks_are_milliseconds(spark, tmp_path):
