@@ -52,7 +52,7 @@ class FieldPattern:
     """A pattern ready for Spark.
 
     ``java`` is the pattern with plain groups, ``marked`` the same with an empty
-    group behind each group, which matches exactly when its group did. ``fields``
+    group before each group, which is set exactly when its group is. ``fields``
     are (name, group number) in group order; ``unset`` the named groups that a
     match may leave out together with all groups behind them.
     """
@@ -136,13 +136,13 @@ def translate(pattern: str) -> FieldPattern:
         else:
             by_number[number] = here
             plain.append("(")
-            marked.append("(?:(")
+            marked.append("(?:()(")
 
     def back(number: int) -> None:
         if not 1 <= number <= count:
             raise _refuse(pattern, f"reference to missing group {number}")
         plain.append(f"(?:\\{number})")
-        marked.append(f"(?:\\{2 * number - 1})")
+        marked.append(f"(?:\\{2 * number})")
 
     while at < len(pattern):
         c = pattern[at]
@@ -201,7 +201,7 @@ def translate(pattern: str) -> FieldPattern:
             if _ZERO_TIMES.match(pattern, at):
                 here.optional = True
             plain.append(")")
-            marked.append(")())" if here.number is not None else ")")
+            marked.append("))" if here.number is not None else ")")
             here = here.parent  # type: ignore[assignment]
         else:
             if c == "|":
@@ -258,5 +258,5 @@ def was_set(line: Column, pattern: FieldPattern, group: int) -> Column:
     The first match is held by an atomic group; then a reference to the empty
     mark of a group matches exactly if that group took part.
     """
-    marks = "|".join(f"\\{2 * n}(?:)" for n in range(group, pattern.groups + 1))
+    marks = "|".join(f"\\{2 * n - 1}(?:)" for n in range(group, pattern.groups + 1))
     return line.rlike(rf"(?d)\A(?>(?s:.*?)(?:{pattern.marked}))(?:{marks})")

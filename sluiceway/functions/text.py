@@ -43,8 +43,12 @@ def ascii_upper(value: Column) -> Column:
 
 def strip_shell(value: Column) -> Column:
     """Only the characters that are safe in a shell word."""
-    # Most of what goes is spaces, and a plain replacement is far quicker than a pattern.
-    return F.regexp_replace(F.replace(value, F.lit(" "), F.lit("")), "[^A-Za-z0-9_.-]+", "")
+    kept = string.ascii_letters + string.digits + "_.-"
+    dropped = "".join(c for c in map(chr, range(128)) if c not in kept)
+    ascii_only = F.translate(value, dropped, "")
+    return F.when(_is_ascii(value), ascii_only).otherwise(
+        F.regexp_replace(ascii_only, r"[^\x00-\x7f]+", "")
+    )
 
 
 def strip_trailing_slashes(value: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sluiceway.config import ConfigError, Route
@@ -39,6 +40,17 @@ def start(
     return stream.start()
 
 
+def every_tick(records: DataFrame) -> DataFrame:
+    """The records, with an empty row in every micro-batch, so that each tick has a batch.
+
+    For the round zip: its sensors give a record at every tick, also when no log
+    has a new line.
+    """
+    ticks = records.sparkSession.readStream.format("rate-micro-batch")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in records.schema]
+    return records.unionByName(ticks.option("rowsPerBatch", 1).load().select(*empty))
+
+
 def log_events(
     spark: SparkSession, path: str, event_name: str, pattern: str | None = None, **options: object
 ) -> DataFrame:

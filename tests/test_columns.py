@@ -42,7 +42,7 @@ def test_profile(rows):
     assert (row.n_values, row.n_digits, row.n_hex, row.n_shell_safe) == (3, 1, 2, 2)
 
 
-@given(st.lists(st.text(alphabet="aAzÉé/$1.b\t", max_size=12), min_size=1, max_size=20))
+@given(st.lists(st.text(alphabet="aAzÉé/$1.b\t\x00 _-", max_size=12), min_size=1, max_size=20))
 @quick
 def test_text_against_bytes(spark, values):
     frame = spark.createDataFrame([(v,) for v in values], "v string")

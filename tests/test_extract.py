@@ -1,6 +1,8 @@
 import json
+import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sluiceway.config import ConfigError
@@ -37,6 +39,38 @@ def test_fields_of_the_first_match(rows, pattern, line, payload):
     assert payloads(rows(line), pattern) == [payload]
 
 
+def expected_payload(pattern, line):
+    """The first match as fields, with those behind the last group that was set left out."""
+    found = regex.search(pattern, line)
+    if line == "" or found is None:
+        return None
+    last = max((n for n in range(1, found.re.groups + 1) if found.group(n) is not None), default=0)
+    named = sorted(found.re.groupindex.items(), key=lambda item: item[1])
+    return {name: found.group(n) or "" for name, n in named if n <= last}
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    [
+        r"(?<a>x+)(?<b>y)?(?<c>z|1)?",
+        r"(?:(?<a>x)|(?<b>y))(?<c>[^x]*)",
+        r"((?<a>1|2)(x)?)?(?<b>z)?y",
+        r"(?<a>.*?)(?<b>[xy]{2,3})",
+        r"^(?<a>\w*) ?(?<b>\d)$",
+        r"(?<a>(x|y)\2)(?<b>.)?",
+        r"(?<a>x)(?!y)(?<b>z)?|(?<c>\s)",
+        r"(?<a>\bx)(?<b>\By)?",
+    ],
+)
+def test_fields_against_another_engine(rows, pattern):
+    rng = random.Random(pattern)
+    lines = {"".join(rng.choice("xyz12 \r") for _ in range(rng.randrange(7))) for _ in range(300)}
+    frame = rows(*sorted(lines))
+    got = {r.line: json.loads(r.event_data) for r in extract.extract_payload(frame, pattern).collect()}
+    expected = {line: expected_payload(pattern, line) for line in lines}
+    assert got == {line: fields for line, fields in expected.items() if fields is not None}
+
+
 def test_lines_that_yield_no_event(rows):
     frame = rows("", "x", "12", "\r")
     assert payloads(frame, r"^(?<n>\d+)$") == ['{"n":"12"}']

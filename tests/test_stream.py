@@ -301,6 +301,29 @@ def test_sources_of_one_event_on_a_stream(spark, tmp_path, overlay):
         assert got == ['{"right":"r1"}']
 
 
+def test_a_sensor_goes_on_while_the_log_is_quiet(spark, tmp_path, log):
+    log.append(b"l1\nl2\n")
+    records = tail_logs(spark, log.path).select(
+        F.lit("log").alias("source"), "byte_offset", F.col("line").alias("record")
+    )
+    ticks = []
+    write = writers.zip_writer(
+        "e",
+        ["log"],
+        lambda batch, i: ticks.append([r.event_data for r in batch.collect()]),
+        sensors={"host": F.lit("alive")},
+    )
+    query = run.start(run.every_tick(records), write, str(tmp_path / "ck"), 200_000)
+    try:
+        deadline = time.time() + 60
+        while len(ticks) < 3 and time.time() < deadline:
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert ticks[0] == ["alive", "alive"]
+    assert all(t == ["alive"] for t in ticks[1:]) and len(ticks) >= 3
+
+
 def test_monitor(spark, log):
     log.append(b"seen\n")
     query = run.monitor(run.log_events(spark, log.path, "logs"), "monitored")
