@@ -211,6 +211,13 @@ def route_template(events: DataFrame, routes: Sequence[Route]) -> DataFrame:
     return events.join(good, "event_name")
 
 
+def route(events: DataFrame, routes: Sequence[Route]) -> DataFrame:
+    """Events under each of their targets, by names, or by patterns where there are any."""
+    if any("*" in r.event_name_match or "%E" in r.target for r in routes):
+        return route_template(events, routes)
+    return route_exact(events, routes)
+
+
 def offer_to_outputs(
     events: DataFrame, outputs: Sequence[Output], outcome: Callable[[Output], Column]
 ) -> DataFrame:

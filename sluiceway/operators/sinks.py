@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_tables(routed: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -22,13 +23,15 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
 
     An empty name is stored as a null partition and read as empty again.
     """
-    names = ("database", "table")
-    fields = [
-        f"`{f.name}` {'string' if f.name in names else f.dataType.simpleString()}"
-        for f in spark.read.parquet(path).schema
-    ]
-    stored = spark.read.schema(", ".join(fields)).parquet(path)
-    return stored.fillna("", subset=list(names))
+    names = ["database", "table"]
+    stored = spark.read.parquet(path)
+    if any(stored.schema[name].dataType != T.StringType() for name in names):
+        # All names of one kind look like numbers; read them as they are written.
+        fields = [
+            T.StructField(f.name, T.StringType()) if f.name in names else f for f in stored.schema
+        ]
+        stored = spark.read.schema(T.StructType(fields)).parquet(path)
+    return stored.fillna("", subset=names)
 
 
 def write_lines(events: DataFrame, path: str, mode: str = "errorifexists") -> None:

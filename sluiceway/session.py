@@ -64,16 +64,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(table: DataFrame, key: str) -> DataFrame:
-    """Spread a small table over all cores, by a unique key.
+def spread(table: DataFrame, key: str, tasks: int = 32) -> DataFrame:
+    """Spread a small table over some tasks, at most one per core, by a unique key.
 
     For work that costs much more per row than moving the row. Spark cuts a scan
     into at least one split per core unless the files come to less than
     ``spark.sql.files.openCostInBytes`` (4 MiB) per core; and splits of a file with
-    few row groups are mostly empty. So what is shuffled here is never more than
-    that, and a large table is left as it is.
+    few row groups are mostly empty. So only a table of a few such splits is shuffled
+    here, and any larger one is left as it is.
     """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    if table.rdd.getNumPartitions() >= cores:
+    tasks = min(tasks, table.sparkSession.sparkContext.defaultParallelism)
+    if table.rdd.getNumPartitions() >= tasks:
         return table
-    return table.repartition(cores, key)
+    return table.repartition(tasks, key)

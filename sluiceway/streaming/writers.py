@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from sluiceway.config import Route
 from sluiceway.operators.combine import merge_last, merge_overlay, round_zip
-from sluiceway.operators.delivery import dead_letters, insert_payload, redeliver
-from sluiceway.operators.routing import route_exact, unrouted
-from sluiceway.operators.sinks import write_tables
+from sluiceway.operators.delivery import dead_letters, insert_payload, kafka_shape, redeliver
+from sluiceway.operators.routing import route, unrouted
+from sluiceway.operators.sinks import write_kafka, write_tables
 
 Writer = Callable[[DataFrame, int], None]
 # Sends request bodies and answers with an HTTP status each, None for no answer.
@@ -45,15 +45,16 @@ def _kept(batch: DataFrame) -> Iterator[None]:
 def table_writer(path: str, routes: Sequence[Route], unrouted_path: str | None = None) -> Writer:
     """Write events under ``batch_id=/database=/table=``, one row per route.
 
-    Events without a route are dropped, or kept as Parquet in ``unrouted_path``.
+    Events without a route are dropped, or with ``unrouted_path``, which goes with
+    routes by name, kept there as Parquet.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if not unrouted_path:
-            write_tables(route_exact(batch, routes), batch_path(path, batch_id), mode="overwrite")
+            write_tables(route(batch, routes), batch_path(path, batch_id), mode="overwrite")
             return
         with _kept(batch):
-            write_tables(route_exact(batch, routes), batch_path(path, batch_id), mode="overwrite")
+            write_tables(route(batch, routes), batch_path(path, batch_id), mode="overwrite")
             lost = unrouted(batch, routes)
             lost.write.mode("overwrite").parquet(batch_path(unrouted_path, batch_id))
 
@@ -70,6 +71,11 @@ def line_writer(path: str) -> Writer:
     return write
 
 
+def kafka_writer(servers: str) -> Writer:
+    """Send events to the Kafka topics of their names; at least once, as Kafka takes them."""
+    return lambda batch, batch_id: write_kafka(kafka_shape(batch), servers)
+
+
 def _send_all(rows: DataFrame, send: Send) -> DataFrame:
     def attempts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -93,7 +99,7 @@ def delivery_writer(path: str, routes: Sequence[Route], send: Send, max_attempts
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        todo = route_exact(batch, routes).select("database", "table", "event_data")
+        todo = route(batch, routes).select("database", "table", "event_data")
         try:
             before = batch.sparkSession.read.parquet(batch_path(path, batch_id - 1))
         except AnalysisException as missing:

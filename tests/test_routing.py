@@ -109,6 +109,15 @@ def test_wildcards_against_brute_force(spark, monkeypatch, inline):
     assert set(rows) == brute_template(names, routes)
 
 
+def test_route_takes_names_and_patterns(spark):
+    frame = events(spark, "a", "b")
+    by_name = routing.route(frame, ROUTES)
+    by_pattern = routing.route(frame, [Route(1, "*", "db/%E")])
+    assert sorted(by_name.columns) == sorted(by_pattern.columns)
+    assert sorted((r.event_id, r.table) for r in by_pattern.collect()) == [(0, "a"), (1, "b")]
+    assert by_name.count() == 3
+
+
 def test_outputs(spark):
     outputs = [Output(2, "two"), Output(1, "one"), Output(3, "three")]
     codes = {1: "EIO", 2: "EINVAL", 3: None}
