@@ -20,17 +20,19 @@ def _exact(part: str, digits: int) -> str:
     A double is a whole number over a power of two; with both in decimal integers
     nothing is lost.
     """
-    power = f"(54 - cast(floor(log2({part})) AS int))"
-    above = f"cast(cast({part} * pow(2D, {power}) AS bigint) AS decimal(18, 0))"
+    power = f"54 - cast(floor(log2({part})) AS int)"
+    above = f"cast(cast({part} * pow(2D, p) AS bigint) AS decimal(18, 0))"
     below = (
-        f"(cast(cast(pow(2D, {power} - 40) AS bigint) AS decimal(15, 0))"
-        f" * cast({2**40} AS decimal(13, 0)))"
+        f"cast(cast(pow(2D, p - 40) AS bigint) AS decimal(15, 0)) * cast({2**40} AS decimal(13, 0))"
     )
-    number = f"({above} * cast({10**digits} AS decimal({digits + 1}, 0)))"
-    twice = f"cast({number} % {below} AS decimal(38, 0)) * 2"
-    odd = f"({number} div {below}) % 2 = 1"
-    up = f"({twice} > {below} OR ({twice} = {below} AND {odd}))"
-    return f"CASE WHEN {part} < {_TINY} THEN 0L ELSE {number} div {below} + if({up}, 1, 0) END"
+    number = f"{above} * cast({10**digits} AS decimal({digits + 1}, 0))"
+    twice = "cast(q.above % q.below AS decimal(38, 0)) * 2"
+    odd = "(q.above div q.below) % 2 = 1"
+    up = f"{twice} > q.below OR ({twice} = q.below AND {odd})"
+    return f"""CASE WHEN {part} < {_TINY} THEN 0L ELSE
+        transform(array({power}), p ->
+          transform(array(struct({number} AS above, {below} AS below)), q ->
+            q.above div q.below + if({up}, 1, 0))[0])[0] END"""
 
 
 def _fixed(v: str, digits: int) -> str:
