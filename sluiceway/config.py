@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sluiceway import schema
 
@@ -100,13 +103,19 @@ def routes_of(properties: Sequence[Property]) -> list[Route]:
     return routes
 
 
-def _plain(properties: Iterable[Property]) -> list[tuple[str, list[str]]]:
-    return [(p.key, list(p.values)) for p in properties]
+def _local_table(spark: SparkSession, rows: Sequence[tuple], columns: T.StructType) -> DataFrame:
+    """A small table that is part of the plan, where a list would be spread over all cores."""
+    named = [dict(zip(columns.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(named, to_arrow_schema(columns)), columns)
+
+
+def _plain(properties: Iterable[Property]) -> list[dict]:
+    return [{"key": p.key, "values": list(p.values)} for p in properties]
 
 
 def routes_table(spark: SparkSession, routes: Sequence[Route]) -> DataFrame:
     rows = [(r.route_no, r.event_name_match, r.target) for r in routes]
-    return spark.createDataFrame(rows, schema.ROUTES)
+    return _local_table(spark, rows, schema.ROUTES)
 
 
 def bindings_table(spark: SparkSession, bindings: Sequence[Binding]) -> DataFrame:
@@ -115,9 +124,9 @@ def bindings_table(spark: SparkSession, bindings: Sequence[Binding]) -> DataFram
         for b in bindings
         for number, source in enumerate(b.sources, start=1)
     ]
-    return spark.createDataFrame(rows, schema.BINDINGS)
+    return _local_table(spark, rows, schema.BINDINGS)
 
 
 def outputs_table(spark: SparkSession, outputs: Sequence[Output]) -> DataFrame:
     rows = [(o.output_no, o.output_name, o.plugin, _plain(o.properties)) for o in outputs]
-    return spark.createDataFrame(rows, schema.OUTPUTS)
+    return _local_table(spark, rows, schema.OUTPUTS)

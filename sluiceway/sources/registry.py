@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import socket
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluiceway.config import ConfigError, Output, Source, first_value
+from sluiceway.config import ConfigError, Output, Source, first_value, routes_of
+from sluiceway.operators.extract import extract_payload, wrap_raw
+from sluiceway.sources.heartbeat import heartbeat_stream
+from sluiceway.sources.tail import tail_logs
+from sluiceway.streaming.writers import table_writer
 
 # A source takes the session and its configuration and gives its records as a
 # table or a stream; an output gives a foreachBatch function.
@@ -41,9 +46,6 @@ def _named(plugins: Mapping[str, Callable], name: str) -> Callable:
 
 
 def _logfile(spark: SparkSession, config: Source) -> DataFrame:
-    from sluiceway.operators.extract import extract_payload, wrap_raw
-    from sluiceway.sources.tail import tail_logs
-
     path = first_value(config.properties, "logfile")
     if not path:
         raise ConfigError("EINVAL", "a logfile source needs a filename")
@@ -53,21 +55,11 @@ def _logfile(spark: SparkSession, config: Source) -> DataFrame:
 
 
 def _hostname(spark: SparkSession, config: Source) -> DataFrame:
-    from sluiceway.sources.heartbeat import heartbeat_stream
-
-    return heartbeat_stream(spark, first_value(config.properties, "hostname") or _own_name())
-
-
-def _own_name() -> str:
-    import socket
-
-    return socket.gethostname()
+    named = first_value(config.properties, "hostname")
+    return heartbeat_stream(spark, named or socket.gethostname())
 
 
 def _tables(config: Output) -> Callable[[DataFrame, int], None]:
-    from sluiceway.config import routes_of
-    from sluiceway.streaming.writers import table_writer
-
     path = first_value(config.properties, "path")
     if not path:
         raise ConfigError("EINVAL", "a table output needs a path")

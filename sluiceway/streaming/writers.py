@@ -130,7 +130,7 @@ def zip_writer(
     order = list(order or [*sources, *(sensors or {})])
 
     def combined(batch: DataFrame, batch_id: int) -> None:
-        tick = batch.sparkSession.createDataFrame([(event_name,)], "event_name string")
+        tick = batch.sparkSession.range(0, 1, 1, 1).select(F.lit(event_name).alias("event_name"))
         with _kept(batch):
             named = batch.withColumn("event_name", F.lit(event_name))
             zipped = round_zip(named, ["event_name"], sources, sensors=sensors, ticks=tick)
