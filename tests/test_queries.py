@@ -15,11 +15,11 @@ def duck():
     return connect(FOLDER)
 
 
-def test_all_have_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+def test_all_sql_has_a_query():
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query(spark, duck, name):
     found = difference(contract.queries()[name](spark, FOLDER), duck, contract.oracle_sql()[name])
     assert found is None, found
