@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import bpe
+from sluiceway.llm import bpe, packing
 from sluiceway.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: make for name, make in globals().items() if name.startswith("op")}
 
