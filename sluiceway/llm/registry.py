@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import bpe, packing, simhash
+from sluiceway.llm import bpe, packing, simhash, toxicity
 from sluiceway.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,13 @@ def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY)
 
 
+def op5_factorization(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
