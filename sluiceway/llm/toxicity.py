@@ -165,7 +165,8 @@ def learn(
     own = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     # At most ``sample`` rows of two numbers, so the texts need not move.
     rows = own.join(F.broadcast(chosen), "k").select("y", hashed_terms("t").alias("f")).toPandas()
-    distinct = {(f.tobytes(), y): f for f, y in zip(rows["f"], rows["y"])}
+    found = [np.asarray(f, np.int64) for f in rows["f"]]
+    distinct = {(f.tobytes(), y): f for f, y in zip(found, rows["y"])}
     keys = sorted(distinct)
     return fit([distinct[k] for k in keys], np.array([k[1] for k in keys], float))
 
