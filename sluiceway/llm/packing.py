@@ -50,42 +50,49 @@ class Tokens:
     """Ids by a public tokenizer that drops white space, with the words it has met.
 
     Such a tokenizer treats words between white space each on its own, so every new word is
-    given to the tokenizers library once. Letters of the first two Unicode blocks only
-    need lower case before the merges; all else takes the library's whole way.
+    given to the tokenizers library once. In text of the first two Unicode blocks, lower case
+    is the same everywhere and marks after a word are a piece of their own, so there words
+    are told apart without capitals and marks; words of letters only need the merges.
     """
 
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?]?)")
+    MARKS = re.compile(r"(?<=[a-zß-öø-ÿ])([^\w\s]+)(?=[ \n]|\Z)")
+    LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         letters = {b: letter for letter, b in byte_of_letter().items()}
         self.letters = {
             code: "".join(letters[b] for b in chr(code).encode("utf-8")) for code in range(192, 256)
         }
         self.words = Recent(self._word)
-        self.parts = Recent(self._part)
 
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
+    def _word(self, word: str) -> bytes:
+        if self.LETTERS.fullmatch(word):
+            ids = [t.id for t in self.tokenizer.model.tokenize(word.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _part(self, part: str) -> bytes:
-        """The ids of letters in lower case, or of one mark."""
-        return self._packed([t.id for t in self.tokenizer.model.tokenize(part.translate(self.letters))])
-
-    def _word(self, word: str) -> bytes:
-        simple = self.SIMPLE.fullmatch(word)
-        if simple:
-            return b"".join([self.parts[part] for part in (simple[1].lower(), simple[2]) if part])
-        return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+    def _plain(self, text: str) -> bool:
+        """Whether all letters are of the first two Unicode blocks and nothing can be a special token."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        lower = text.lower()
+        return not any(name in lower for name in self.special)
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if self._plain(text):
+            text = self.MARKS.sub(r" \1", text.lower())
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
