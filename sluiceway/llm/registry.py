@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import bpe, packing, rules, simhash, toxicity
+from sluiceway.llm import bpe, language, packing, rules, simhash, toxicity
 from sluiceway.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,11 @@ def op5_factorization(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    return language.languages(table(spark, folder, "documents"))
+
+
 def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics of every document and whether it is kept."""
     judged = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
