@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import bpe, language, packing, rules, simhash, toxicity
+from sluiceway.llm import bpe, language, neighbours, packing, rules, simhash, toxicity
 from sluiceway.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,12 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest_neighbours(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Every document packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, folder, "documents"), WORD_VOCABULARY)
