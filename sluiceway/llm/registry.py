@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import bpe, language, neighbours, packing, rules, simhash, toxicity
+from sluiceway.llm import bpe, language, neighbours, packing, pages, rules, simhash, toxicity
 from sluiceway.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,11 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages(table(spark, folder, "documents"))
 
 
+def op8_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(table(spark, folder, "pages"))
+
+
 def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics of every document and whether it is kept."""
     judged = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
