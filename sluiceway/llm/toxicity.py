@@ -6,9 +6,9 @@ short vector, and every pair of terms in a text the product of their vectors, so
 can learn that two terms matter together, such as an insult and the mention of a group.
 
 The model is fitted on the driver from at most ``SAMPLE`` labelled documents, those with
-the smallest hash of their id, of which only the hashed terms are gathered. It holds
-``TERMS`` terms, those that tell the classes apart best; its size is fixed and it is sent
-to every task. Documents with the same terms count once.
+the smallest hash of their id. Spark counts their terms; the model holds ``TERMS`` of them, those
+that tell the classes apart best, and only these reach the driver. Its size is fixed and it is
+sent to every task. Documents with the same terms count once.
 
 Null and empty texts have no terms and get the score of a text without any. Labels that
 are null are left out; an id with several labels counts with each of them. Where there is
@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluiceway.llm.bpe import Recent
-from sluiceway.llm.common import held_out
+from sluiceway.llm.common import held_out, saved
 
 SAMPLE = 10_000
 TERMS = 2048
 VECTOR = 8
-EPOCHS = 10
+# Steps of gradient descent, in whole passes.
+STEPS = 500
 BATCH = 256
 # A term must occur in so many different documents of the sample.
 LEAST = 4
@@ -96,42 +97,24 @@ def constant(share: float) -> Machine:
     return Machine(np.zeros(0, np.int64), float(np.log(kept / (1 - kept))), np.zeros(0), np.zeros((0, VECTOR)))
 
 
-def fit(found: list[np.ndarray], label: np.ndarray) -> Machine:
-    """Fit a machine to the terms and labels of some documents."""
+def fit(terms: np.ndarray, found: list[np.ndarray], label: np.ndarray) -> Machine:
+    """Fit a machine; ``found`` has the places in ``terms`` of each document's terms."""
     if not len(label) or label.min() == label.max():
         return constant(float(label.mean()) if len(label) else 0.0)
-    n = np.array([len(f) for f in found])
-    owner = np.repeat(np.arange(len(found)), n)
-    terms, place = np.unique(np.concatenate(found), return_inverse=True)
-    toxic = np.bincount(place, label[owner], len(terms))
-    total = np.bincount(place, minlength=len(terms)).astype(float)
-    # How far each term's share of toxic documents is from the overall one (chi-square).
-    share, size = label.mean(), len(label)
-    expected = total * share
-    rest = np.maximum((size - total) * share * (1 - share), 1e-9)
-    score = (toxic - expected) ** 2 / np.maximum(expected * (1 - share), 1e-9) + (toxic - expected) ** 2 / rest
-    score[total < LEAST] = 0
-    best = np.sort(np.argsort(-score, kind="stable")[: min(TERMS, int((score > 0).sum()))])
-    column = np.full(len(terms), -1)
-    column[best] = np.arange(len(best))
-    kept = column[place]
-    owner, kept = owner[kept >= 0], kept[kept >= 0]
-    begin = np.searchsorted(owner, np.arange(size + 1))
-
     rng = np.random.default_rng(SEED)
-    k = len(best)
+    k, size = len(terms), len(label)
     # Row 0 of the parameters holds the bias and no vector; the others weight and vector.
     values = np.zeros((k + 1, 1 + VECTOR), np.float32)
     values[1:, 1:] = rng.normal(0, 0.01, (k, VECTOR))
-    values[0, 0] = np.log(share / (1 - share))
+    values[0, 0] = np.log(label.mean() / (1 - label.mean()))
     first, second, step = np.zeros_like(values), np.zeros_like(values), 0
-    for _ in range(EPOCHS):
+    while step < STEPS:
         order = rng.permutation(size)
         for at in range(0, size, BATCH):
             rows = order[at : at + BATCH]
             x = np.zeros((len(rows), k), np.float32)
             for i, row in enumerate(rows):
-                x[i, kept[begin[row] : begin[row + 1]]] = 1
+                x[i, found[row]] = 1
             weights, vectors = values[1:, 0], values[1:, 1:]
             sums = x @ vectors
             logit = values[0, 0] + x @ weights + ((sums**2).sum(1) - (x @ vectors**2).sum(1)) / 2
@@ -144,7 +127,18 @@ def fit(found: list[np.ndarray], label: np.ndarray) -> Machine:
             first = 0.9 * first + 0.1 * slope
             second = 0.999 * second + 0.001 * slope**2
             values -= 0.02 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Machine(terms[best], float(values[0, 0]), values[1:, 0].astype(float), values[1:, 1:].astype(float))
+    return Machine(terms, float(values[0, 0]), values[1:, 0].astype(float), values[1:, 1:].astype(float))
+
+
+def best_terms(rows: DataFrame, share: float, size: int) -> np.ndarray:
+    """The terms whose share of toxic documents is furthest from the overall one (chi-square), sorted."""
+    counts = rows.select("y", F.explode("f").alias("term")).groupBy("term")
+    counts = counts.agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).filter(F.col("n") >= LEAST)
+    off = F.pow(F.col("toxic") - F.col("n") * share, 2) / (share * (1 - share))
+    # Documents with the term, and those without.
+    score = off / F.col("n") + off / F.greatest(size - F.col("n"), F.lit(1))
+    best = counts.filter(F.col("toxic") != F.col("n") * share).orderBy(F.desc(score), "term").limit(TERMS)
+    return np.array(sorted(r["term"] for r in best.select("term").collect()), np.int64)
 
 
 def learn(
@@ -164,11 +158,23 @@ def learn(
     )
     own = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     # At most ``sample`` rows of two numbers, so the texts need not move.
-    rows = own.join(F.broadcast(chosen), "k").select("y", hashed_terms("t").alias("f")).toPandas()
-    found = [np.asarray(f, np.int64) for f in rows["f"]]
-    distinct = {(f.tobytes(), y): f for f, y in zip(found, rows["y"])}
-    keys = sorted(distinct)
-    return fit([distinct[k] for k in keys], np.array([k[1] for k in keys], float))
+    rows = own.join(F.broadcast(chosen), "k").select("y", hashed_terms("t").alias("f"))
+    rows = rows.groupBy("y", F.xxhash64("f").alias("h")).agg(F.any_value("f").alias("f"))
+    rows = saved(rows, "terms")
+    counted = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
+    size, toxic = counted["n"], counted["toxic"] or 0
+    if toxic in (0, size):
+        return constant(toxic / size if size else 0.0)
+    terms = best_terms(rows, toxic / size, size)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def places(parts: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(np.isin(terms, f, assume_unique=True)) for f in parts], dtype=object)
+
+    table = rows.select("y", "h", places("f").alias("at")).orderBy("h", "y").toArrow()
+    at = table["at"].combine_chunks()
+    found = np.split(at.flatten().to_numpy(), np.cumsum(at.value_lengths().to_numpy())[:-1])
+    return fit(terms, found, table["y"].to_numpy().astype(float))
 
 
 def toxicity(text: Column, machine: Machine) -> Column:
