@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import bpe, language, neighbours, packing, pages, rules, simhash, toxicity
+from sluiceway.llm import bpe, language, neighbours, packing, pages, pii, rules, simhash, toxicity
 from sluiceway.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,17 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """The personal data in every document."""
+    found = pii.personal_data(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.FORMS],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one."""
     vectors = table(spark, folder, "embeddings")
