@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import bpe, language, neighbours, packing, pages, pii, rules, simhash, toxicity
+from sluiceway.llm import bpe, language, licenses, neighbours, packing, pages, pii, rules, simhash, toxicity
 from sluiceway.llm.common import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,6 +52,20 @@ def op5_factorization(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """The licenses in every document."""
+    found = licenses.scan(table(spark, folder, "documents"))
+    each = F.transform(
+        "licenses", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"], F.format_number(m["coverage"], 4))
+    )
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.sort_array(F.array_distinct("licenses.license")), ",").alias("licenses"),
+        F.array_join(each, ",").alias("matches"),
+    )
+
+
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document."""
     return language.languages(table(spark, folder, "documents"))
