@@ -194,7 +194,7 @@ class Scanner:
                 aligned = align(words[hit : hit + length], own)
                 share = len(aligned) / len(own)
                 if share >= self.coverage and (best is None or share > best[2]):
-                    until = hit + length // 2 if best is None else until
+                    until = hit + length if best is None else until
                     best = (hit + aligned[0][0], hit + aligned[-1][0], share)
             word = words[hit]
             held -= window[word] <= counts[word]
