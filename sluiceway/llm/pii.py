@@ -131,14 +131,16 @@ def spans_of(matches: Column, kind: str) -> Column:
     )
 
 
-def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """By form alone: ``key``, ``spans`` by kind and start, and ``candidates`` for the contexts.
 
     A candidate has its ``start`` and ``end``, the ``instance`` (the identifier itself), the words
-    ``before`` it, and ``seed``: whether it overlaps a span.
+    ``before`` it, and ``seed``: whether it overlaps a span. With ``carry`` the whole row goes along as ``doc``.
     """
+    kept = ["key", "doc"] if carry else ["key"]
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
     docs = docs.select(
-        F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
+        F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *row
     )
     own = F.col("text")
     matches = {
@@ -146,7 +148,7 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         for kind, pattern in PATTERNS.items()
     }
     docs = docs.select(
-        "key", *[m.alias(kind) for kind, m in matches.items()], _some(own, CANDIDATE).alias("words")
+        *kept, *[m.alias(kind) for kind, m in matches.items()], _some(own, CANDIDATE).alias("words")
     )
     spans = F.concat(*[spans_of(F.col(kind), kind) for kind in FORMS])
     words = F.transform(
@@ -159,7 +161,7 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         ),
     )
     words = F.filter(words, lambda w: F.length(w["instance"]) >= LEAST_LENGTH)
-    docs = docs.select("key", spans.alias("spans"), words.alias("words"))
+    docs = docs.select(*kept, spans.alias("spans"), words.alias("words"))
 
     def placed(w: Column) -> Column:
         start = w["start"] + F.position(w["instance"], w["value"]) - 1
@@ -172,7 +174,7 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > start)).alias("seed"),
         )
 
-    return docs.select("key", "spans", F.transform("words", placed).alias("candidates"))
+    return docs.select(*kept, "spans", F.transform("words", placed).alias("candidates"))
 
 
 def graph(found: DataFrame) -> DataFrame:
@@ -201,9 +203,9 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, wo
     return known.filter("worth > 0")
 
 
-def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row its ``key``, the ``base`` spans found by form, and all ``spans``: these and the discovered."""
-    found = identifiers(docs, key, text).withColumn("row", F.monotonically_increasing_id())
+def _all_spans(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
+    """``identifiers`` with ``all``: the base spans and the discovered."""
+    found = identifiers(docs, key, text, carry).withColumn("row", F.monotonically_increasing_id())
     found = saved(found, "identifiers")
     known = bootstrap(saved(graph(found), "graph"))
     # Seeds have their spans already.
@@ -212,9 +214,50 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     span = F.struct(F.lit("id").alias("kind"), "start", "end")
     new = new.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("new"))
     spans = F.concat("spans", F.coalesce("new", F.array().cast(f"array<{SPAN}>")))
-    return found.join(new, "row", "left").select(
-        F.col("key").alias(key), F.col("spans").alias("base"), spans.alias("spans")
+    return found.join(new, "row", "left").withColumn("all", spans)
+
+
+def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row its ``key``, the ``base`` spans found by form, and all ``spans``: these and the discovered."""
+    found = _all_spans(docs, key, text, carry=False)
+    return found.select(F.col("key").alias(key), F.col("spans").alias("base"), F.col("all").alias("spans"))
+
+
+def mask(text: Column, spans: Column) -> Column:
+    """``text`` with each span replaced by its kind in angle brackets; spans that overlap give one."""
+    by_start = F.array_sort(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
+    nothing = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("parts"))
+
+    def put(done: Column, span: Column) -> Column:
+        gap = F.substr(text, done["end"] + 1, F.greatest(span["start"] - done["end"], F.lit(0)))
+        parts = F.concat(done["parts"], F.array(gap, F.concat(F.lit("<"), span["kind"], F.lit(">"))))
+        return F.struct(
+            F.greatest(done["end"], span["end"]).alias("end"),
+            F.when(span["start"] >= done["end"], parts).otherwise(done["parts"]).alias("parts"),
+        )
+
+    def joined(done: Column) -> Column:
+        return F.concat(F.array_join(done["parts"], ""), F.substr(text, done["end"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(by_start, nothing, put, joined)).otherwise(text)
+
+
+def masked(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
+    """``docs`` with all spans masked, and the column ``length`` counted again where that changes a text."""
+    found = _all_spans(docs, key, text, carry=True).select("doc", "all")
+    found = found.withColumn("masked", mask(F.col(f"doc.`{text}`"), F.col("all")))
+    columns = []
+    for name in docs.columns:
+        value = F.col(f"doc.`{name}`")
+        if name == text:
+            value = F.col("masked")
+        elif name == length:
+            counted = F.length("masked").cast(docs.schema[name].dataType)
+            value = F.when(F.size("all") > 0, counted).otherwise(value)
+        columns.append(value.alias(name))
+    return found.select(*columns)
 
 
 def listed(spans: Column) -> Column:

@@ -59,13 +59,17 @@ def _count_of(text: str, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(F.col(text), characters, ""))
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and the counts of each text, all of type long."""
-    docs = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """``key`` and the counts of each text, all of type long; with ``carry`` also the whole row as ``doc``."""
+    kept = ["key", "doc"] if carry else ["key"]
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
+    docs = docs.select(
+        F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *row
+    )
     lines = F.filter(F.split("text", "\n"), lambda line: F.translate(line, SPACES, "") != "")
     words = F.filter(F.split("text", SPACE), lambda word: word != "")
     counted = docs.select(
-        "key",
+        *kept,
         F.length(F.translate("text", SPACES, "")).alias("word_chars"),
         _count_of("text", SYMBOLS).alias("n_symbols"),
         _count_of("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
@@ -81,7 +85,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             'hash', xxhash64(get(words, at - 1), get(words, at), get(words, at + 1)), 'at', at))"""
     )
     counted = counted.select(
-        "key",
+        *kept,
         "word_chars",
         "n_symbols",
         "n_capitals",
@@ -109,7 +113,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     counted = counted.withColumn(
         "n_repeat_words", F.when(F.col("n_words") < WINDOW, 0).otherwise(covered)
     ).drop("repeated")
-    return counted.select("key", *[F.col(c).cast("long").alias(c) for c in counted.columns if c != "key"])
+    return counted.select(*kept, *[F.col(c).cast("long").alias(c) for c in counted.columns if c not in kept])
 
 
 def base_failed() -> Column:
@@ -265,10 +269,15 @@ def decision(rules: list[Rule]) -> Column:
 
 
 def judge(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality"
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    carry: bool = False,
 ) -> DataFrame:
-    """For each row its ``key``, the statistics, ``base_failed``, ``rule`` and ``kept``."""
-    stats = saved(statistics(docs, key, text), "statistics")
+    """For each row its ``key``, the statistics, ``base_failed``, ``rule`` and ``kept``; with ``carry`` also ``doc``."""
+    stats = saved(statistics(docs, key, text, carry), "statistics")
     rules = learn(stats, labels, key, label)
     judged = stats.withColumn("base_failed", base_failed()).withColumn("rule", decision(rules))
     judged = judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

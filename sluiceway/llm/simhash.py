@@ -276,22 +276,46 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(mixed), F.sum(F.pmod(mixed, F.lit(1 << 31)))).first())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row its ``key``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``."""
-    prints = saved(
-        docs.select(F.col(f"`{key}`").alias("key"), fingerprints(F.col(f"`{text}`")).alias("fingerprint")),
-        "fingerprints",
+def _prints(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
+    """``row`` (a number), ``key`` and ``fingerprint`` of each row; with ``carry`` also the whole row as ``doc``."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
+    prints = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{key}`").alias("key"),
+        fingerprints(F.col(f"`{text}`")).alias("fingerprint"),
+        *row,
     )
+    return saved(prints, "fingerprints")
+
+
+def _labels(prints: DataFrame) -> DataFrame:
+    """For each distinct ``fingerprint`` its ``component`` (a fingerprint) and ``component_id``."""
     classes = saved(prints.groupBy("fingerprint").agg(F.min("key").alias("first")), "classes")
     linked = components(links(classes)).withColumnRenamed("node", "fingerprint")
     linked = linked.join(classes, "fingerprint")
     smallest = linked.groupBy("component").agg(F.min("first").alias("smallest"))
-    linked = linked.join(smallest, "component").select("fingerprint", "smallest")
-    labels = classes.join(linked, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("smallest", "first").alias("component_id")
+    linked = linked.join(smallest, "component").select("fingerprint", "component", "smallest")
+    return classes.join(linked, "fingerprint", "left").select(
+        "fingerprint",
+        F.coalesce("component", "fingerprint").alias("component"),
+        F.coalesce("smallest", "first").alias("component_id"),
     )
-    return prints.join(labels, "fingerprint").select(
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row its ``key``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``."""
+    prints = _prints(docs, key, text, carry=False)
+    return prints.join(_labels(prints), "fingerprint").select(
         F.col("key").alias(key),
         F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
         "component_id",
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component: that with the smallest key, null last; of several such rows any one."""
+    prints = _prints(docs, key, text, carry=True)
+    members = prints.select("row", "key", "fingerprint").join(_labels(prints), "fingerprint")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    kept = members.groupBy("component").agg(first.alias("first")).select("first.row")
+    return prints.join(kept, "row", "left_semi").select("doc.*")
