@@ -43,6 +43,8 @@ LEAST_SHARE = 0.5
 LEAST_PAGES = 4
 # Without an article, slots with this share of the fullest slot's text are main text.
 FAIR_SHARE = 0.25
+# And a block with this share of its text in links is a menu.
+LINKS = 0.8
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -237,9 +239,13 @@ def main_text(html: str | None, template: set[int], of: int) -> str:
     """The main text of one page, given the template of its host."""
     _, blocks = parse(html)
     blocks = [b for b in blocks if b.inside != "outside"]
+    if of >= LEAST_PAGES:
+        blocks = [b for b in blocks if b.token not in template] or blocks
     if any(b.inside == "main" for b in blocks):
         blocks = [b for b in blocks if b.inside == "main"]
     else:
+        # Blocks that are links are menus there.
+        blocks = [b for b in blocks if b.link < LINKS * len(b.text)] or blocks
         # Slots by their innermost template container, or by their own where no template is known.
         slots: dict[int, list[Block]] = defaultdict(list)
         for block in blocks:
@@ -249,8 +255,6 @@ def main_text(html: str | None, template: set[int], of: int) -> str:
         least = FAIR_SHARE * max(full.values(), default=0)
         kept = {id(b) for slot, own in slots.items() if full[slot] >= least for b in own}
         blocks = [b for b in blocks if id(b) in kept]
-    if of >= LEAST_PAGES:
-        blocks = [b for b in blocks if b.token not in template] or blocks
     return "\n\n".join(b.text for b in blocks)
 
 

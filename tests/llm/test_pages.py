@@ -1,0 +1,89 @@
+"""Main text of pages: hand-made pages, and the given ones against their known frame."""
+
+import html
+import re
+
+import pytest
+
+from sluiceway.llm import pages, registry
+from tests.llm.conftest import FOLDER
+
+
+def text(page, template=frozenset(), of=0):
+    return pages.main_text(page, set(template), of)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (None, ""),
+        ("", ""),
+        ("plain  words", "plain words"),
+        ("<p>a &amp; b&nbsp;c &lt;d&gt;</p><p> </p><p>e</p>", "a & b c <d>\n\ne"),
+        ("<body><nav>menu</nav><article><h1>T</h1><p>o<b>n</b>e<br>two<p>three</article><footer>f</footer>", "T\n\none two\n\nthree"),
+        ("<article><p>a<script>var t='</p>';</script>b</p><!-- <p>no</p> --><style>p{}</style></article>", "ab"),
+        ("<main><div class='ad'>buy</div><p>x</p><section id=comments><p>first!</p></section></main>", "x"),
+        ("<article><header><h1>T</h1></header><p>x</p><aside>y</aside></article><header>site</header>", "T\n\nx"),
+        ("<div class='cookie-notice'>ok?</div><div class='post-content'><p>x</p></div><div>other</div>", "x"),
+        ("<article><form><p>mail</p></form><p hidden>no</p><div style='display: none'>no</div><p>x</p></article>", "no\n\nx"),
+        ("<article><p>x</p><p>breaks off <a href='", "x\n\nbreaks off"),
+        ("<article class='comment'><p>reply</p></article><article><p>x</p></article>", "x"),
+        ("<div><p>long enough text of the page</p></div><div><a>l</a></div>", "long enough text of the page"),
+        ("<article>a < b and c > d</article>", "a < b and c > d"),
+        ("<p>" + "w " * 50_000 + "</p>", "w " * 49_999 + "w"),
+    ],
+)
+def test_main_text(page, want):
+    assert text(page) == want
+
+
+def test_quotes_that_never_close_take_no_time():
+    assert len(text("<article>" + "<p title=\"x'>a" * 3000)) > 0
+
+
+def site(n, words="some words"):
+    return (
+        f"<html><body><div class=top><p>All about things</p><p>{n}</p></div><div class=text><p>{words} of page {n}, rather long"
+        f"</p></div><div class=end><p>Made by us</p></div></body></html>"
+    )
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+
+
+def test_template_text_goes(spark):
+    rows = [(i, f"http://Site.example/{i}", site(i), "x") for i in range(8)]
+    rows += [(100, None, site(0), "x"), (101, "http://other.example", site(1), "x"), (102, "no url", None, "x")]
+    found = {r.page_id: r for r in pages.extract(table(spark, rows)).collect()}
+    for i in range(8):
+        assert found[i].text == f"some words of page {i}, rather long"
+        assert found[i].n_chars == len(found[i].text) and found[i].url == f"http://Site.example/{i}"
+    assert "rather long" in found[100].text and "rather long" in found[101].text
+    assert found[102].text == "" and found[102].n_chars == 0
+
+
+def test_copies_keep_their_text(spark):
+    rows = [(i, f"http://a.example/{i}", "<article><p>the same</p></article>", "") for i in range(9)]
+    rows += [rows[0]]
+    found = pages.extract(table(spark, rows)).collect()
+    assert len(found) == 10 and {r.text for r in found} == {"the same"}
+
+
+def test_empty(spark):
+    assert pages.extract(table(spark, [])).count() == 0
+
+
+def test_op8(spark, given):
+    def known(page):
+        article = re.search(r"<article>(.*?)(?:</article>|<footer|\Z)", page, re.S)[1]
+        article = re.sub(r"<script.*?</script>", "", article, flags=re.S)
+        blocks = [re.sub(r"<[^>]*>", "", b.replace("<br>", " ")) for b in re.split(r"</?(?:p|h1)>", article)]
+        return "\n\n".join(filter(None, (" ".join(html.unescape(b).split()) for b in blocks)))
+
+    rows = {r.page_id: r for r in registry.op8_templates(spark, FOLDER).collect()}
+    given_pages = given("pages").collect()
+    assert len(rows) == len(given_pages)
+    for page in given_pages:
+        assert rows[page.page_id].text == known(page.html)
+        assert rows[page.page_id].url == page.url and rows[page.page_id].n_chars == len(known(page.html))

@@ -1,0 +1,97 @@
+"""Spans against Python's own matching, and discovery by context."""
+
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from sluiceway.llm import pii, registry
+from tests.llm.conftest import FOLDER
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        value = int(c) * (1 + i % 2)
+        total += value - 9 * (value > 9)
+    return total % 10 == 0
+
+
+def plain(text):
+    found = []
+    for kind, form in pii.FORMS.items():
+        for m in re.finditer(form, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda: 13 <= len(digits) <= 19 and luhn(digits),
+                "phone": lambda: 9 <= len(digits) <= 15,
+            }[kind]
+            if ok():
+                found.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(found)
+
+
+PARTS = ["1", "23", "4111111111111111", "4111 1111 1111 1111", "378282246310005", ".", " ", "-", "  ", "@"]
+PARTS += ["a.b", "x_y", "a@b.co", "a@b.c@d.e", "+", "+1 (555) 123-4567", "(", "192.168.0.1", "256.1.1.1"]
+PARTS += ["001.02.3.4", "é", "😀", "%", "\n", "b-c.d.", "0"]
+
+
+def test_spans_by_form(docs):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(1, 14))) for _ in range(2000)]
+    texts += [None, "", "1" * 20_000, "a" * 20_000, "1 " * 10_000, "a@" * 9000, "a.b@c.d " * 2000, "+" + "(" * 9000]
+    rows = docs(*enumerate(texts)).repartition(4)
+    found = pii.identifiers(rows).select("key", pii.listed(F.col("spans")).alias("spans")).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert r.spans == plain(texts[r.key]), texts[r.key]
+
+
+def test_context_discovers_other_identifiers(docs):
+    rows = [(i, f"some words here account {4000000000000000 + n} and more") for i, n in
+            enumerate(n for n in range(200) if luhn(str(4000000000000000 + n)))]
+    rows += [(900, "her account XK-2231-QP was closed"), (901, "it runs version 2024.11.05 now"), (902, None)]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.personal_data(docs(*rows)).collect()}
+    assert found[900] == [("id", 12, 22)]
+    assert found[901] == [] and found[902] == []
+    assert all(found[i] == [("card", 24, 40)] for i in range(20))
+
+
+def test_weak_patterns_discover_nothing(docs):
+    rows = [(i, f"to 10.0.0.{i} from") for i in range(6)] + [(10 + i, f"to item{i}0000 from") for i in range(9)]
+    found = pii.personal_data(docs(*rows)).collect()
+    assert sum(s.kind == "id" for r in found for s in r.spans) == 0
+
+
+def test_masked(docs):
+    text = "é a@b.co, 10.0.0.1 and 4111 1111 1111 1111."
+    rows = docs((1, text), (1, text), (2, None), (None, "none")).withColumn("n_chars", F.length("text").cast("long"))
+    got = sorted((r.text or "", r.n_chars or 0) for r in pii.masked(rows).collect())
+    want = "é <email>, <ip> and <card>."
+    assert got == [("", 0), ("none", 4), (want, len(want)), (want, len(want))]
+    assert pii.masked(rows).columns == rows.columns
+
+
+def test_mask_of_spans_that_overlap(spark):
+    row = spark.sql("SELECT array(named_struct('kind','b','start',2,'end',5), named_struct('kind','a','start',1,'end',3)) s")
+    assert row.select(pii.mask(F.lit("012345678"), F.col("s"))).first()[0] == "0<a>5678"
+
+
+def test_empty(docs):
+    assert pii.personal_data(docs()).count() == 0
+
+
+def test_op2(spark, given):
+    texts = dict(given("documents").select("doc_id", "text").collect())
+    rows = registry.op2_personal_data(spark, FOLDER).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        base = plain(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        spans = [s for s in r.spans.split(",") if s]
+        assert ",".join(s for s in spans if not s.startswith("id:")) == base
+        for kind in pii.FORMS:
+            assert r[f"n_{kind}"] == sum(s.startswith(kind + ":") for s in spans)
