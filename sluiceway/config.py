@@ -113,9 +113,15 @@ def _plain(properties: Iterable[Property]) -> list[dict]:
     return [{"key": p.key, "values": list(p.values)} for p in properties]
 
 
-def routes_table(spark: SparkSession, routes: Sequence[Route]) -> DataFrame:
+def routes_table(
+    spark: SparkSession, routes: Sequence[Route], stopped: Sequence[bool] | None = None
+) -> DataFrame:
+    """Routes as a table, with ``stopped`` beside them if that is known."""
     rows = [(r.route_no, r.event_name_match, r.target) for r in routes]
-    return _local_table(spark, rows, schema.ROUTES)
+    if stopped is None:
+        return _local_table(spark, rows, schema.ROUTES)
+    columns = T.StructType([*schema.ROUTES.fields, T.StructField("stopped", T.BooleanType(), False)])
+    return _local_table(spark, [(*row, stop) for row, stop in zip(rows, stopped)], columns)
 
 
 def bindings_table(spark: SparkSession, bindings: Sequence[Binding]) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.config import ConfigError
+from sluiceway.functions.arrays import bind
+
 # Control characters with a short escape. Every other one below
 # 0x20 is written as \u00xx with lower-case digits.
 SHORT_ESCAPES = {
@@ -73,14 +76,32 @@ def wrap_line(line: Column) -> Column:
     return F.concat(F.lit('{ "data": "'), json_escape(line), F.lit('" }'))
 
 
-def overlay(base: Column, top: Column) -> Column:
-    """Two JSON objects as one: shallow, ``top`` wins per key, value types kept.
+def overlay(*texts: Column) -> Column:
+    """JSON objects as one: shallow, the last one wins per key, value types kept.
 
-    An empty or missing side leaves the other as it is. Needs the LAST_WIN map
-    policy that ``session.prepare`` sets.
+    Empty and missing texts do not count, and one that is alone stays as it is. Where one
+    is no object, nothing can be laid over it, and the last text wins as a whole. Each
+    text is parsed once, however many there are. Needs the LAST_WIN map policy, which
+    ``session.prepare`` sets and ``check_last_win`` looks for.
     """
     fields = "map<string,variant>"
-    merged = F.to_json(F.map_concat(F.from_json(base, fields), F.from_json(top, fields)))
-    blank_base = F.coalesce(base, F.lit("")) == ""
-    blank_top = F.coalesce(top, F.lit("")) == ""
-    return F.when(blank_base, F.coalesce(top, F.lit(""))).when(blank_top, base).otherwise(merged)
+    parsed = F.array(*[F.from_json(text, fields) for text in texts])
+    given = F.filter(F.array(*texts), lambda text: F.coalesce(text, F.lit("")) != "")
+    none = F.from_json(F.lit("{}"), fields)
+
+    def merged(maps: Column) -> Column:
+        objects = F.size(F.filter(maps, lambda m: m.isNotNull()))
+        laid = F.map_concat(*[F.coalesce(F.get(maps, F.lit(i)), none) for i in range(len(texts))])
+        return F.when(objects == F.size(given), F.to_json(laid)).otherwise(F.element_at(given, -1))
+
+    return (
+        F.when(F.size(given) == 0, F.lit(""))
+        .when(F.size(given) == 1, F.get(given, F.lit(0)))
+        .otherwise(bind(parsed, merged))
+    )
+
+
+def check_last_win(spark: SparkSession) -> None:
+    """Fail before any data is read where equal keys would be an error."""
+    if spark.conf.get("spark.sql.mapKeyDedupPolicy").upper() != "LAST_WIN":
+        raise ConfigError("EINVAL", "set spark.sql.mapKeyDedupPolicy to LAST_WIN, as session.prepare does")

@@ -39,7 +39,7 @@ NO_WORD_EDGE = r"(?:(?<=\w)(?=\w)|(?<!\w)(?!\w))"
 
 _NAMED_OPEN = re.compile(r"\(\?(?:P?<([A-Za-z_]\w*)>|'([A-Za-z_]\w*)')")
 _NAMED_BACK = re.compile(r"\\k(?:<(\w+)>|\{(\w+)\}|'(\w+)')|\(\?P=(\w+)\)")
-_NUMBER_BACK = re.compile(r"\\(?:g\{(-?\d+)\}|g(-?\d+)|([1-9]))")
+_NUMBER_BACK = re.compile(r"\\(?:g\{(-?\d+)\}|g(-?\d+)|([1-9]\d*))")
 _FLAGS_OPEN = re.compile(r"\(\?[ims]*(?:-[ims]+)?:|\(\?[=!>]|\(\?<[=!]")
 _FLAGS_SET = re.compile(r"\(\?[ims]*(?:-[ims]+)?\)")
 _QUANTIFIER = re.compile(r"\{\d+(?:,\d*)?\}")
@@ -159,6 +159,9 @@ def translate(pattern: str) -> FieldPattern:
             at = named_back.end()
         elif number_back := _NUMBER_BACK.match(pattern, at):
             number = int(next(g for g in number_back.groups() if g))
+            if number_back[3] and number > max(count, 9):
+                # Some engines read this as an octal character, others as a group to come.
+                raise _refuse(pattern, f"reference or octal {number_back[0]}")
             back(number if number > 0 else count + 1 + number)
             at = number_back.end()
         elif c == "\\":

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.functions.json_text import overlay
+from sluiceway.functions.json_text import check_last_win, overlay
 from sluiceway.operators.ranks import LIMIT, position
 
 
@@ -29,6 +29,7 @@ def round_zip(
     sensors: Mapping[str, Column] | None = None,
     ticks: DataFrame | None = None,
     limit: int = LIMIT,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Line up the records of an event's sources round by round.
 
@@ -37,15 +38,16 @@ def round_zip(
     record in every round, so it is a column expression over the event keys
     rather than rows. Events listed in ``ticks`` get at least one round.
 
-    ``order`` is a long that is unique per event and source. Where the records
-    carry their dense position already, name it as ``round_no`` and nothing is
+    ``order`` is a long; where it is not unique per event and source, as offsets of
+    several files are, name in ``ties`` what tells such records apart, the path. Where the
+    records carry their dense position already, name it as ``round_no`` and nothing is
     ranked. Gives the event keys, ``round_no`` and one column per source and
     sensor.
     """
     used = records.filter(F.col(source).isin(list(sources)))
     if round_no is None:
-        narrow = used.select(*event, source, order, record)
-        used = position(narrow, [*event, source], order, limit=limit)
+        narrow = used.select(*event, source, order, *ties, record)
+        used = position(narrow, [*event, source], order, limit=limit, ties=ties)
     else:
         used = used.withColumn("round_no", F.col(round_no).cast("bigint"))
     used = used.select(*event, "round_no", source, record)
@@ -86,10 +88,11 @@ def last_source(
     record: str = "record",
     payload: str = "event_data",
     limit: int = LIMIT,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """What ``merge_last`` gives after ``round_zip``, read from the last source alone."""
-    only = records.filter(F.col(source) == last).select(*event, order, record)
-    ranked = position(only, list(event), order, limit=limit)
+    only = records.filter(F.col(source) == last).select(*event, order, *ties, record)
+    ranked = position(only, list(event), order, limit=limit, ties=ties)
     return ranked.select(*event, "round_no", F.col(record).alias(payload)).filter(
         F.col(payload) != ""
     )
@@ -98,7 +101,12 @@ def last_source(
 def merge_overlay(
     zipped: DataFrame, order: Sequence[str], payload: str = "event_data"
 ) -> DataFrame:
-    """One payload per round: the sources' objects laid over each other in order."""
+    """One payload per round: the sources' objects laid over each other in order.
+
+    A round with a record that is no object gives its last record, as ``merge_last``
+    does; no round with a record is lost.
+    """
+    check_last_win(zipped.sparkSession)
     kept = [c for c in zipped.columns if c not in order]
-    merged = reduce(overlay, [F.col(name) for name in order])
+    merged = overlay(*[F.col(name) for name in order])
     return zipped.select(*kept, merged.alias(payload)).filter(F.col(payload) != "")

@@ -1,12 +1,13 @@
 """Position and predecessor within a key, without putting a whole hot key in one task.
 
-Both work on a long ``order`` column that is unique within its keys. A key of up to
-``limit`` rows is one window. The rows of a larger key are cut by their order value
-into as many even ranges as it has ``limit`` rows, one window each, and what crosses
-a range boundary is carried by one summary row per range.
+Both work on a long ``order`` column; rows that are equal in it are told apart by ``ties``.
+A key of up to ``limit`` rows is one window. The rows of a larger key are cut into as many
+ranges as it has ``limit`` rows, at quantiles of its order values, so that a range holds
+about ``limit`` rows however the values lie; one window each, and what crosses a boundary is
+carried by one summary row per range. Rows that are equal in ``order`` stay in one range.
 
-There is at most one large key, and about one range, per ``limit`` rows of the
-table: a quarter million of each in 10**12 rows. That bounds what is broadcast here.
+A key is cut into at most ``CUTS`` ranges, enough for four billion rows at the usual limit; ranges of
+a larger key grow with it, in the sort that Spark spills.
 """
 
 from __future__ import annotations
@@ -18,36 +19,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 LIMIT = 1 << 22
+CUTS = 1024
 
 
 def _large_keys(df: DataFrame, keys: Sequence[str], order: str, limit: int) -> DataFrame:
-    """The large keys, the lowest order value of each and the width of its ranges."""
-    spread = F.col("_high") - F.col("_low") + 1
-    ranges = F.ceil(F.col("_rows") / F.lit(limit))
-    return (
-        df.groupBy(*keys)
+    """The large keys and ``_cuts``: the order values at which their ranges begin."""
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
+    steps = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    quantiles = (
+        df.join(sizes, list(keys))
+        .groupBy(*keys)
         .agg(
-            F.count("*").alias("_rows"),
-            F.min(order).alias("_low"),
-            F.max(order).alias("_high"),
+            F.percentile_approx(order, steps, 20 * CUTS).alias("_quantiles"),
+            F.first("_rows").alias("_rows"),
         )
-        .filter(F.col("_rows") > limit)
-        .select(*keys, "_low", F.ceil(spread / ranges).alias("_width"))
     )
+    ranges = F.least(F.ceil(F.col("_rows") / F.lit(limit)), F.lit(CUTS))
+    # Every so many-th quantile; the first range begins below all of them.
+    wanted = F.expr(
+        f"transform(sequence(1, cast(_ranges AS int) - 1), n ->"
+        f" get(_quantiles, cast(n * {CUTS} / _ranges AS int) - 1))"
+    )
+    return quantiles.withColumn("_ranges", ranges).select(*keys, F.array_distinct(wanted).alias("_cuts"))
 
 
 def _cut(df: DataFrame, large: DataFrame, keys: Sequence[str], order: str, how: str) -> DataFrame:
     """Rows with their range: 0 for all rows of a key that is not large."""
-    into = F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("bigint")
+    value = F.col(order)
+    into = F.size(F.filter(F.col("_cuts"), lambda cut: cut < value))
     return (
-        df.join(F.broadcast(large), list(keys), how)
-        .withColumn("_range", F.coalesce(into, F.lit(0).cast("bigint")))
-        .drop("_low", "_width")
+        df.join(large, list(keys), how)
+        .withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(into).cast("bigint"))
+        .drop("_cuts")
     )
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], order: str, name: str = "round_no", limit: int = LIMIT
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    name: str = "round_no",
+    limit: int = LIMIT,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Add the 1-based position of each row within its keys."""
     by_range = [*keys, "_range"]
@@ -61,11 +74,11 @@ def position(
         .withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .select(*by_range, "_base")
     )
-    within = F.row_number().over(W.partitionBy(*by_range).orderBy(order)).cast("bigint")
+    within = F.row_number().over(W.partitionBy(*by_range).orderBy(order, *ties)).cast("bigint")
     return (
         _cut(df, large, keys, order, "left")
         .withColumn("_within", within)
-        .join(F.broadcast(bases), by_range, "left")
+        .join(bases, by_range, "left")
         .withColumn(name, F.col("_within") + F.coalesce(F.col("_base"), F.lit(0)))
         .select(*df.columns, name)
     )

@@ -5,19 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.config import Output, Route, routes_table
 
-# A configured route list up to this long is broadcast: its size is its length.
-# A longer one is joined as a table, and AQE decides from the measured size.
-BROADCAST_ROUTES = 10_000
-
-# A wildcard list up to this long is tested row by row in one expression.
-INLINE_ROUTES = 64
-
 BAD_TARGET = "target must be written as database/table"
 
 
@@ -63,37 +57,28 @@ def resolve_routes(routes: DataFrame) -> DataFrame:
 
 
 def _resolved(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
+    """Parsed routes with ``stopped``, of a list as of a table.
+
+    Of a list all is known on the driver. It becomes a table of known size, so whether it
+    is broadcast is left to Spark.
+    """
     if isinstance(routes, DataFrame):
         return resolve_routes(routes)
-    # The list is driver data, so the stop rule is applied before it becomes a table.
     first_bad: dict[str, int] = {}
     for route in sorted(routes, key=lambda r: r.route_no):
         if len(route.target.split("/")) != 2:
             first_bad.setdefault(route.event_name_match, route.route_no)
-    stopped = [
-        r.route_no
-        for r in routes
-        if r.route_no > first_bad.get(r.event_name_match, r.route_no)
-    ]
-    table = parse_target(routes_table(events.sparkSession, routes))
-    table = table.withColumn("stopped", F.col("route_no").isin(stopped) if stopped else F.lit(False))
-    return F.broadcast(table) if len(routes) <= BROADCAST_ROUTES else table
+    stopped = [r.route_no > first_bad.get(r.event_name_match, r.route_no) for r in routes]
+    return parse_target(routes_table(events.sparkSession, routes, stopped))
 
 
 def _on_name(events: DataFrame, routes: DataFrame, how: str) -> DataFrame:
     return events.join(routes, events["event_name"] == routes["event_name_match"], how)
 
 
-def match_routes(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
-    """Every event with each of its routes, good, bad or stopped."""
-    return _on_name(events, _resolved(events, routes), "inner").drop("event_name_match")
-
-
 def route_exact(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
     """Events under each (database, table) they are delivered to, one row per route."""
     good = _resolved(events, routes).filter(F.col("error_code").isNull() & ~F.col("stopped"))
-    if not isinstance(routes, DataFrame) and len(routes) <= BROADCAST_ROUTES:
-        good = F.broadcast(good)
     return _on_name(events, good, "inner").drop(
         "event_name_match", "error_code", "error_message", "stopped"
     )
@@ -102,8 +87,6 @@ def route_exact(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataF
 def route_errors(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
     """The quarantine: events at a bad route, and those stopped behind it."""
     bad = _resolved(events, routes).filter(F.col("error_code").isNotNull() | F.col("stopped"))
-    if not isinstance(routes, DataFrame) and len(routes) <= BROADCAST_ROUTES:
-        bad = F.broadcast(bad)
     return _on_name(events, bad, "inner").drop("event_name_match", "database", "table")
 
 
@@ -111,17 +94,31 @@ def _route_names(events: DataFrame, routes: Sequence[Route] | DataFrame) -> Data
     if isinstance(routes, DataFrame):
         return routes.select("event_name_match").distinct()
     names = {r.event_name_match: r for r in routes}
-    table = routes_table(events.sparkSession, list(names.values())).select("event_name_match")
-    return F.broadcast(table) if len(names) <= BROADCAST_ROUTES else table
+    return routes_table(events.sparkSession, list(names.values())).select("event_name_match")
+
+
+def has_patterns(routes: Sequence[Route]) -> bool:
+    return any("*" in r.event_name_match or "%E" in r.target for r in routes)
+
+
+def _fits_any(routes: Sequence[Route]) -> Column:
+    """Whether the event name fits a route of a list."""
+    fits = [_fits(r, F.col("event_name")) for r in routes if "*" in r.event_name_match]
+    named = sorted({r.event_name_match for r in routes if "*" not in r.event_name_match})
+    return F.coalesce(reduce(or_, fits, F.col("event_name").isin(named)), F.lit(False))
 
 
 def routed(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
-    """Events that have a route, each once."""
+    """Events that have a route, each once; a route list may hold patterns."""
+    if not isinstance(routes, DataFrame) and has_patterns(routes):
+        return events.filter(_fits_any(routes))
     return _on_name(events, _route_names(events, routes), "left_semi")
 
 
 def unrouted(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
-    """Events that have none."""
+    """Events that have none; a route list may hold patterns."""
+    if not isinstance(routes, DataFrame) and has_patterns(routes):
+        return events.filter(~_fits_any(routes))
     return _on_name(events, _route_names(events, routes), "left_anti")
 
 
@@ -172,7 +169,7 @@ def _each_match(df: DataFrame, routes: Sequence[Route]) -> DataFrame:
         ]
     )
     doubtful = [(r, bad) for r in routes if (bad := _is_bad_for(r, name)) is not None]
-    found = df.select("*", F.explode(entries).alias("_r")).filter(F.col("_r").isNotNull())
+    found = df.select("*", F.explode(F.array_compact(entries)).alias("_r"))
     out = found.select(*df.columns, "_r.route_no", "_r.target")
     if not doubtful:
         return out
@@ -185,35 +182,16 @@ def _each_match(df: DataFrame, routes: Sequence[Route]) -> DataFrame:
 def route_template(events: DataFrame, routes: Sequence[Route]) -> DataFrame:
     """Events under each target of a route whose ``*`` pattern fits, with ``%E`` filled in.
 
-    The route list is tested inside the row, so this neither joins nor shuffles.
-    A list too long for one expression is tested against the distinct event
-    names only, in slices, and its result joined back on the name.
+    The list, however long, is tested inside the row, so this reads its input once and
+    neither joins nor shuffles.
     """
-    ordered = sorted(routes, key=lambda r: r.route_no)
-    if len(ordered) <= INLINE_ROUTES:
-        hits = parse_target(_each_match(events, ordered))
-        return hits.filter(F.col("error_code").isNull()).drop("error_code", "error_message")
-
-    names = events.select("event_name").distinct()
-    parts = [ordered[i : i + INLINE_ROUTES] for i in range(0, len(ordered), INLINE_ROUTES)]
-    hits = reduce(DataFrame.unionByName, [_each_match(names, part) for part in parts])
-    hits = parse_target(hits)
-    first_bad = (
-        hits.filter(F.col("error_code").isNotNull())
-        .groupBy("event_name")
-        .agg(F.min("route_no").alias("first_bad"))
-    )
-    good = (
-        hits.join(first_bad, "event_name", "left")
-        .filter(F.col("first_bad").isNull() | (F.col("route_no") < F.col("first_bad")))
-        .drop("first_bad", "error_code", "error_message")
-    )
-    return events.join(good, "event_name")
+    hits = parse_target(_each_match(events, sorted(routes, key=lambda r: r.route_no)))
+    return hits.filter(F.col("error_code").isNull()).drop("error_code", "error_message")
 
 
 def route(events: DataFrame, routes: Sequence[Route]) -> DataFrame:
     """Events under each of their targets, by names, or by patterns where there are any."""
-    if any("*" in r.event_name_match or "%E" in r.target for r in routes):
+    if has_patterns(routes):
         return route_template(events, routes)
     return route_exact(events, routes)
 

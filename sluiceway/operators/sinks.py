@@ -18,12 +18,18 @@ def write_tables(routed: DataFrame, path: str, mode: str = "errorifexists") -> N
     spread.write.mode(mode).partitionBy("database", "table").parquet(path)
 
 
-def read_tables(spark: SparkSession, path: str) -> DataFrame:
+def read_tables(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """The rows back, with ``database`` and ``table`` from the folder names, as text.
 
-    An empty name is stored as a null partition and read as empty again.
+    An empty name is stored as a null partition and read as empty again. Where no row
+    was routed there are no files to take the columns from, so give the ``schema`` that
+    was written.
     """
     names = ["database", "table"]
+    if schema is not None:
+        first = [f for f in schema.fields if f.name not in names]
+        columns = T.StructType([*first, *[T.StructField(n, T.StringType()) for n in names]])
+        return spark.read.schema(columns).parquet(path).fillna("", subset=names)
     stored = spark.read.parquet(path)
     if any(stored.schema[name].dataType != T.StringType() for name in names):
         # All names of one kind look like numbers; read them as they are written.

@@ -61,12 +61,19 @@ def log_events(
 
 
 def monitor(events: DataFrame, name: str | None = None) -> StreamingQuery:
-    """Show events as they are emitted: on the console, or as an in-memory table."""
+    """Show all events as they are emitted: on the console, or for tests as an in-memory table."""
     if name is None:
-        return events.writeStream.format("console").option("truncate", False).start()
+        return events.writeStream.foreachBatch(print_batch).start()
     return events.writeStream.format("memory").queryName(name).start()
 
 
+def print_batch(batch: DataFrame, batch_id: int) -> None:
+    """Print every row of a batch as JSON, one partition at a time."""
+    fields = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+    for row in batch.select(F.to_json(fields).alias("event")).toLocalIterator():
+        print(row.event, flush=True)
+
+
 def collect(
     spark: SparkSession,
     hostname: str,

@@ -1,10 +1,12 @@
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sluiceway.config import ConfigError
 from sluiceway.operators import combine, envelope
-from sluiceway.operators.ranks import position, with_previous
+from sluiceway.operators.ranks import _cut, _large_keys, position, with_previous
 from sluiceway.sources.heartbeat import heartbeat
 
 
@@ -79,6 +81,11 @@ def test_round_zip_with_known_positions(spark):
         ('{"a":1}', "", '{"a":1}'),
         ("", '{"a":1}', '{"a":1}'),
         ("", None, None),
+        # A side that is no object: the last record wins, and the round is kept.
+        ('{"a":1}', "oops", "oops"),
+        ('{"a":1}', "[1]", "[1]"),
+        ('{"a":', '{"b":2}', '{"b":2}'),
+        ("x", "", "x"),
     ],
 )
 def test_overlay(spark, base, top, merged):
@@ -87,6 +94,25 @@ def test_overlay(spark, base, top, merged):
     assert got == ([] if merged is None else [merged])
 
 
+def test_overlay_of_many_sources_parses_each_once(spark):
+    names = [f"s{i}" for i in range(9)]
+    texts = [f'{{"k{i}":{i},"all":{i}}}' for i in range(9)]
+    frame = spark.createDataFrame([tuple(texts)], ", ".join(f"{n} string" for n in names))
+    merged = combine.merge_overlay(frame, names)
+    assert json.loads(merged.head().event_data) == {"all": 8} | {f"k{i}": i for i in range(9)}
+    assert len(merged._jdf.queryExecution().analyzed().toString()) < 20_000
+
+
+def test_overlay_needs_the_last_to_win(spark):
+    frame = spark.createDataFrame([("{}", "{}")], "a string, b string")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    try:
+        with pytest.raises(ConfigError):
+            combine.merge_overlay(frame, ["a", "b"])
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+
+
 def test_overlay_of_three(spark):
     frame = spark.createDataFrame(
         [('{"a":1}', '{"b":1}', '{"a":2}')], "x string, y string, z string"
@@ -94,6 +120,26 @@ def test_overlay_of_three(spark):
     assert combine.merge_overlay(frame, ["x", "y", "z"]).head().event_data == '{"a":2,"b":1}'
 
 
+def test_ranges_follow_the_rows_and_not_the_values(spark):
+    """One far value puts the others into no common range."""
+    frame = spark.range(10_000).selectExpr("'k' AS k", "CASE WHEN id = 0 THEN 1000000000000 ELSE id END AS v")
+    cut = _cut(frame, _large_keys(frame, ["k"], "v", 1000), ["k"], "v", "left")
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1200
+    ranked = position(frame, ["k"], "v", "n", 1000)
+    assert ranked.filter("n <> CASE WHEN v > 10000 THEN 10000 ELSE v END").count() == 0
+
+
+def test_equal_offsets_of_several_files(spark):
+    rows = [("e", "a", p, o, f"{p}{o}") for p in ("y", "x") for o in (0, 5)]
+    frame = spark.createDataFrame(
+        rows, "event_name string, source string, path string, byte_offset bigint, record string"
+    )
+    for limit in (1, 100):
+        zipped = combine.round_zip(frame, ["event_name"], ["a"], ties=["path"], limit=limit)
+        assert [r.a for r in zipped.orderBy("round_no").collect()] == ["x0", "y0", "x5", "y5"]
+
+
 @pytest.mark.parametrize("limit", [1, 4, 1000])
 def test_position_and_previous(spark, limit):
     rng = random.Random(3)

@@ -26,13 +26,9 @@ ROUTES = [
 ]
 
 
-@pytest.fixture(params=["broadcast list", "long list", "table"])
-def routes(request, spark, monkeypatch):
-    if request.param == "table":
-        return config.routes_table(spark, ROUTES)
-    if request.param == "long list":
-        monkeypatch.setattr(routing, "BROADCAST_ROUTES", 0)
-    return ROUTES
+@pytest.fixture(params=["list", "table"])
+def routes(request, spark):
+    return config.routes_table(spark, ROUTES) if request.param == "table" else ROUTES
 
 
 def test_exact_routes(spark, routes):
@@ -59,11 +55,21 @@ def test_exact_routes(spark, routes):
         (5, 3, "EINVAL", False),
         (5, 4, None, True),
     ]
-    assert routing.match_routes(frame, routes).count() == len(got) + len(bad)
     assert sorted(r.event_id for r in routing.routed(frame, routes).collect()) == [0, 1, 2, 5]
     assert sorted(r.event_id for r in routing.unrouted(frame, routes).collect()) == [3, 4]
 
 
+def test_numbers_that_events_share(spark):
+    """A bad route of one event stops no route of another, whatever their numbers."""
+    shared = [Route(1, "a", "bad"), Route(2, "a", "d/t"), Route(1, "b", "d/u"), Route(2, "b", "d/v")]
+    frame = events(spark, "a", "b")
+    for routes in (shared, config.routes_table(spark, shared)):
+        got = {(r.event_name, r.table) for r in routing.route_exact(frame, routes).collect()}
+        assert got == {("b", "u"), ("b", "v")}
+        bad = {(r.event_name, r.route_no, r.stopped) for r in routing.route_errors(frame, routes).collect()}
+        assert bad == {("a", 1, False), ("a", 2, True)}
+
+
 def test_a_short_route_list_needs_no_shuffle(spark):
     plan = routing.route_exact(events(spark, "a"), ROUTES)
     text = plan._jdf.queryExecution().executedPlan().toString()
@@ -93,22 +99,30 @@ def brute_template(names, routes):
     return out
 
 
-@pytest.mark.parametrize("inline", [64, 3])
-def test_wildcards_against_brute_force(spark, monkeypatch, inline):
-    monkeypatch.setattr(routing, "INLINE_ROUTES", inline)
+@pytest.mark.parametrize("length", [15, 130])
+def test_wildcards_against_brute_force(spark, length):
     rng = random.Random(9)
     names = ["".join(p) for p in itertools.product("ab_%", repeat=2)] + ["a/b", "", "a\\b", "abab"]
     patterns = ["*", "a*", "*b", "*_*", "a%", "a_", "*%*", "a*b", "a\\*", "b", "*/*", "**"]
     routes = [
         Route(n, rng.choice(patterns), rng.choice(["db/%E", "%E/%E", "db/x", "bad%E", "d/%E.r"]))
-        for n in range(1, 16)
+        for n in range(1, length + 1)
     ]
     got = routing.route_template(events(spark, *names), routes)
+    assert got.columns == ["event_id", "event_name", "event_data", "route_no", "target", "database", "table"]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     rows = [(r.event_id, r.route_no, r.database, r.table) for r in got.collect()]
     assert len(rows) == len(set(rows))
     assert set(rows) == brute_template(names, routes)
 
 
+def test_unrouted_honours_patterns(spark):
+    frame = events(spark, "ab", "b", "c", None)
+    routes = [Route(1, "a*", "db/%E"), Route(2, "c", "db/c")]
+    assert [r.event_name for r in routing.routed(frame, routes).collect()] == ["ab", "c"]
+    assert [r.event_name for r in routing.unrouted(frame, routes).collect()] == ["b", None]
+
+
 def test_route_takes_names_and_patterns(spark):
     frame = events(spark, "a", "b")
     by_name = routing.route(frame, ROUTES)
