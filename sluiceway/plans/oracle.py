@@ -90,6 +90,10 @@ ASCII_LOW = ASCII_UP.lower()
 
 URL = r"^(https?)://([^/?#]+)(/[^?#]*)?(\?([^#]*))?"
 
+LINE = r"^([A-Za-z]+) (.*)\.$"
+
+LETTERS = ", ".join(f"({i}, '{letter}')" for i, letter in enumerate("abcdefghijklmnopqrstuvwxyz"))
+
 _SHOP = """FROM env JOIN good ON event_name = name"""
 
 
@@ -121,8 +125,8 @@ def all_sql() -> dict[str, str]:
         "encode_payload": f"""SELECT page_id, '{{"url":"' || {_esc("url")} || '","html":"' ||
             {_esc("html")} || '"}}' AS event_data FROM pages""",
         "regex_fields": f"""WITH {LINES} SELECT doc_id, line_no,
-            regexp_extract(line, '([^\\|]*)?(.*)', 1) AS fuu,
-            regexp_extract(line, '([^\\|]*)?(.*)', 2) AS bar FROM lines""",
+            regexp_extract(line, '{LINE}', 1) AS word, regexp_extract(line, '{LINE}', 2) AS rest
+            FROM lines WHERE regexp_matches(line, '{LINE}')""",
         "regex_url": f"""WITH f AS (SELECT page_id, url,
               regexp_extract(url, '{URL}', 1) AS scheme, regexp_extract(url, '{URL}', 2) AS host,
               regexp_extract(url, '{URL}', 3) AS path, regexp_extract(url, '{URL}', 5) AS query
@@ -173,6 +177,12 @@ def all_sql() -> dict[str, str]:
         "merge_last": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
               AS round_no, text AS event_data FROM conversations WHERE role = 'assistant'
             QUALIFY text <> ''""",
+        "merge_last_rounds": """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)
+              AS round_no, text AS event_data FROM conversations WHERE role = 'assistant'
+            QUALIFY text <> ''""",
+        "merge_broken": """SELECT event_id, CASE WHEN event_type IN ('signup', 'error')
+              THEN '{"no":' || event_id || '}' ELSE '{"k":' || json_extract_string(props, '$.k') ||
+              ',"user":' || user_id || ',"no":' || event_id || '}' END AS event_data FROM events""",
         "merge_overlay": """SELECT event_id, CASE WHEN event_type = 'view' THEN props ELSE
             '{"k":{"was":[' || event_id || ',"' || event_type || '"]},"user":' || user_id || '}' END
             AS event_data FROM events""",
@@ -180,6 +190,14 @@ def all_sql() -> dict[str, str]:
             SELECT db AS "database", tab AS "table", count(*) AS n_events,
               min(time_us) AS first_us, max(time_us) AS last_us,
               sum(strlen(event_data))::BIGINT AS n_bytes {_SHOP} GROUP BY 1, 2""",
+        "route_shared": """SELECT event_id, route_no, db AS "database", tab AS "table" FROM events
+            JOIN (VALUES (1, 'view', 'web', 'view'), (2, 'view', 'web', 'all'),
+              (1, 'error', 'ops', 'errors')) AS r(route_no, name, db, tab) ON event_type = name""",
+        "route_many": f"""SELECT event_id, 3 * i + n + 1 AS route_no, kind AS "database",
+              letter || '.' || event_type AS "table" FROM events,
+              (VALUES {LETTERS}) AS l(i, letter), (VALUES (0, 'begin'), (1, 'hold'), (2, 'end')) AS k(n, kind)
+            WHERE CASE n WHEN 0 THEN starts_with(event_type, letter) WHEN 1 THEN contains(event_type, letter)
+              ELSE suffix(event_type, letter) END""",
         "route_errors": f"""WITH {ENVELOPES}, resolved AS (SELECT *,
               len(string_split(target, '/')) <> 2 AS bad FROM {ROUTES}),
             flagged AS (SELECT *, coalesce(bool_or(bad) OVER (PARTITION BY name ORDER BY route_no
@@ -318,13 +336,18 @@ def all_sql() -> dict[str, str]:
         "json_sensor": """SELECT event_id, event_type AS event_name,
               json_extract(props, '$.k')::BIGINT AS k,
               json_extract_string(props, '$.missing') AS missing FROM events""",
+        "system_stats": """SELECT s_suppkey, s_name AS hostname, s_acctbal / 2 AS cpu_user,
+              NULL::DOUBLE AS cpu_system, s_acctbal AS load_1m, s_suppkey * 4096 AS memory_used,
+              NULL::BIGINT AS memory_free, CASE WHEN s_nationkey < 20 THEN '/' END AS mount,
+              CASE WHEN s_nationkey < 20 THEN s_suppkey * 1000 END AS used,
+              CASE WHEN s_nationkey < 20 THEN 5::BIGINT END AS free FROM supplier""",
         "collect_and_route": f"""WITH {LINES}, {HOSTS}, alive AS ({_heartbeat(1000000, 10)}),
-            logs AS (SELECT {START} + 1000000 AS tick_us, '{{"fuu":"' ||
-              {_esc("regexp_extract(line, '([^|]*)?(.*)', 1)")} || '","bar":"' ||
-              {_esc("regexp_extract(line, '([^|]*)?(.*)', 2)")} || '"}}' AS event_data
-              FROM lines WHERE line <> '')
-            SELECT 'test' AS "database", 'logs.access_log' AS "table", count(*) AS n_events,
+            logs AS (SELECT {START} + 1000000 AS tick_us, '{{"word":"' ||
+              regexp_extract(line, '{LINE}', 1) || '","rest":"' ||
+              {_esc(f"regexp_extract(line, '{LINE}', 2)")} || '"}}' AS event_data
+              FROM lines WHERE regexp_matches(line, '{LINE}'))
+            SELECT 'text' AS "database", 'lines' AS "table", count(*) AS n_events,
               max(tick_us) AS last_tick_us, sum(strlen(event_data))::BIGINT AS n_bytes FROM logs
-            UNION ALL SELECT 'test', tab, count(*), max(tick_us), sum(strlen(event_data))::BIGINT
-              FROM alive, (VALUES ('sys.alive'), ('sys.alive.rollup')) AS v(tab) GROUP BY tab""",
+            UNION ALL SELECT 'hosts', tab, count(*), max(tick_us), sum(strlen(event_data))::BIGINT
+              FROM alive, (VALUES ('alive'), ('history')) AS v(tab) GROUP BY tab""",
     }

@@ -12,7 +12,7 @@ from sluiceway.functions.json_text import json_quote
 from sluiceway.operators import combine, delivery, envelope, extract, listing, profile, progress
 from sluiceway.operators import routing, severity, sinks
 from sluiceway.plans import tables as t
-from sluiceway.session import fresh_path, prepare, spread
+from sluiceway.session import fresh_path, prepare
 from sluiceway.sources import heartbeat as hb
 from sluiceway.sources import lines, sensors, tail
 from sluiceway.streaming import run, writers
@@ -40,13 +40,13 @@ def all_queries() -> dict[str, Query]:
 
 
 def _document_lines(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread(t.table(spark, folder, "documents"), "doc_id")
+    documents = t.table(spark, folder, "documents")
     return lines.split_lines(documents, keys=["doc_id"])
 
 
 @query
 def scan_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.scan_lines(spread(t.table(spark, folder, "documents"), "doc_id"), keys=["doc_id"])
+    return lines.scan_lines(t.table(spark, folder, "documents"), keys=["doc_id"])
 
 
 @query
@@ -65,8 +65,7 @@ def resume_scan(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     resumed = progress.resume_offsets(files, saved)
-    found = lines.scan_lines(resumed, keys=["path", "inode", "start"])
-    return found.filter(F.col("byte_offset") >= F.col("start")).drop("line_no")
+    return lines.scan_lines(resumed, keys=["path", "inode", "start"], start="start").drop("line_no")
 
 
 @query
@@ -86,14 +85,14 @@ def wrap_raw(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def encode_payload(spark: SparkSession, folder: str) -> DataFrame:
-    pages = spread(t.table(spark, folder, "pages"), "page_id")
+    pages = t.table(spark, folder, "pages")
     return extract.encode_payload(pages, ["url", "html"]).select("page_id", "event_data")
 
 
 @query
 def regex_fields(spark: SparkSession, folder: str) -> DataFrame:
     found = _document_lines(spark, folder)
-    return extract.extract_fields(found, t.ACCESS_LOG_PATTERN).drop("line")
+    return extract.extract_fields(found, t.LINE_PATTERN).drop("line")
 
 
 @query
@@ -179,13 +178,40 @@ def merge_last(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def merge_last_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """The same rounds through the zip of all sources."""
+    zipped = combine.round_zip(
+        t.table(spark, folder, "conversations"),
+        ["conv_id"],
+        SOURCES,
+        source="role",
+        order="turn",
+        record="text",
+    )
+    return combine.merge_last(zipped, SOURCES)
+
+
+@query
+def merge_broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Objects whose keys all survive, beside records that are no objects."""
+    top = F.concat(F.lit('{"user":'), "user_id", F.lit("}"))
+    records = t.envelopes(spark, folder).select(
+        "event_id",
+        F.when(F.col("event_name") == "signup", F.lit("{cut")).otherwise(F.col("event_data")).alias("base"),
+        F.when(F.col("event_name") == "error", F.lit("oops")).otherwise(top).alias("top"),
+        F.concat(F.lit('{"no":'), "event_id", F.lit("}")).alias("last"),
+    )
+    return combine.merge_overlay(records, ["base", "top", "last"])
+
+
 @query
 def merge_overlay(spark: SparkSession, folder: str) -> DataFrame:
     top = F.concat(
         F.lit('{"user":'), "user_id", F.lit(',"k":{"was":['), "event_id", F.lit(',"'),
         "event_name", F.lit('"]}}'),
     )
-    records = spread(t.envelopes(spark, folder), "event_id").select(
+    records = t.envelopes(spark, folder).select(
         "event_id",
         F.col("event_data").alias("base"),
         F.when(F.col("event_name") == "view", F.lit("")).otherwise(top).alias("top"),
@@ -229,6 +255,21 @@ def route_exact(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def route_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """Routes numbered by event."""
+    return routing.route_exact(t.envelopes(spark, folder), t.SHARED_ROUTES).select(
+        "event_id", "route_no", "database", "table"
+    )
+
+
+@query
+def route_many(spark: SparkSession, folder: str) -> DataFrame:
+    """A long list of patterns."""
+    events = t.envelopes(spark, folder).select("event_id", "event_name")
+    return routing.route_template(events, t.MANY_ROUTES).select("event_id", "route_no", "database", "table")
+
+
 @query
 def route_errors(spark: SparkSession, folder: str) -> DataFrame:
     return routing.route_errors(t.envelopes(spark, folder), t.ROUTES).select(
@@ -448,7 +489,7 @@ def stream_sink(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def checkpoint(spark: SparkSession, folder: str) -> DataFrame:
-    files = spread(t.log_files(spark, folder), "doc_id")
+    files = t.log_files(spark, folder)
     found = lines.scan_lines(files, keys=["path", "inode"])
     # English logs had been read up to the end of their first line.
     previous = files.filter(F.col("lang") == "en").select(
@@ -464,8 +505,8 @@ def checkpoint(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def field_profile(spark: SparkSession, folder: str) -> DataFrame:
-    events = spread(t.table(spark, folder, "events"), "event_id")
-    orders = spread(t.table(spark, folder, "orders"), "o_orderkey")
+    events = t.table(spark, folder, "events")
+    orders = t.table(spark, folder, "orders")
     return profile.field_profile(events, ["event_type", "user_id", "value", "props"]).unionByName(
         profile.field_profile(orders, ["o_orderstatus", "o_orderkey", "o_orderpriority"])
     )
@@ -474,7 +515,7 @@ def field_profile(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def text_normalize(spark: SparkSession, folder: str) -> DataFrame:
     body = F.col("text")
-    return spread(t.table(spark, folder, "documents"), "doc_id").select(
+    return t.table(spark, folder, "documents").select(
         "doc_id",
         F.md5(text.ascii_lower(body)).alias("lower_md5"),
         F.md5(text.ascii_upper(body)).alias("upper_md5"),
@@ -487,7 +528,7 @@ def text_normalize(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def text_match(spark: SparkSession, folder: str) -> DataFrame:
     body = F.col("text")
-    return spread(t.table(spark, folder, "documents"), "doc_id").select(
+    return t.table(spark, folder, "documents").select(
         "doc_id",
         F.startswith(body, F.lit("Th")).alias("begins"),
         F.endswith(body, F.lit(".")).alias("ends"),
@@ -502,7 +543,7 @@ def text_match(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def split_join(spark: SparkSession, folder: str) -> DataFrame:
     words = text.split_on(F.col("text"), " ")
-    return spread(t.table(spark, folder, "documents"), "doc_id").select(
+    return t.table(spark, folder, "documents").select(
         "doc_id",
         F.size(words).cast("bigint").alias("n_words"),
         F.md5(text.join_list(words, ", ")).alias("list_md5"),
@@ -521,7 +562,7 @@ def template_format(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def metric_format(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("o_totalprice")
-    return spread(t.table(spark, folder, "orders"), "o_orderkey").select(
+    return t.table(spark, folder, "orders").select(
         "o_orderkey",
         numbers.metric_text(price).alias("price"),
         numbers.metric_text(price / 1e6).alias("millions"),
@@ -556,6 +597,26 @@ def json_sensor(spark: SparkSession, folder: str) -> DataFrame:
     return sensors.parse_records(events, "k bigint, missing string").drop("event_data")
 
 
+@query
+def system_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics that hosts report as JSON, read back as columns."""
+    disk = F.struct(F.lit("/").alias("mount"), (F.col("s_suppkey") * 1000).alias("used"), F.lit(5).alias("free"))
+    report = F.struct(
+        F.col("s_name").alias("hostname"),
+        (F.col("s_acctbal") / 2).alias("cpu_user"),
+        F.col("s_acctbal").alias("load_1m"),
+        (F.col("s_suppkey") * 4096).alias("memory_used"),
+        F.when(F.col("s_nationkey") < 20, F.array(disk)).alias("disks"),
+    )
+    reports = t.table(spark, folder, "supplier").select("s_suppkey", F.to_json(report).alias("event_data"))
+    stats = sensors.parse_records(reports, sensors.SYSTEM_STATS)
+    first = F.get("disks", F.lit(0))
+    return stats.select(
+        "s_suppkey", "hostname", "cpu_user", "cpu_system", "load_1m", "memory_used", "memory_free",
+        first["mount"].alias("mount"), first["used"].alias("used"), first["free"].alias("free"),
+    )
+
+
 # --- the whole collection job --------------------------------------------------
 
 
@@ -563,16 +624,18 @@ def json_sensor(spark: SparkSession, folder: str) -> DataFrame:
 def collect_and_route(spark: SparkSession, folder: str) -> DataFrame:
     """Heartbeats and access logs through extraction, envelope and routing, in one job."""
     columns = ["tick_us", "event_name", "event_data"]
-    alive = hb.heartbeat(t.hosts(spark, folder), t.START_US, t.SECOND_US, ticks=10)
+    alive = hb.heartbeat(
+        t.hosts(spark, folder), t.START_US, t.SECOND_US, ticks=10, event_name="host.alive"
+    )
     found = _document_lines(spark, folder)
-    logs = extract.extract_payload(found, t.ACCESS_LOG_PATTERN).select(
+    logs = extract.extract_payload(found, t.LINE_PATTERN).select(
         F.lit(t.START_US + t.SECOND_US).alias("tick_us"),
-        F.lit("logs.access_log").alias("event_name"),
+        F.lit("text.lines").alias("event_name"),
         "event_data",
     )
     events = combine.union_bindings(alive.select(columns), logs)
     return (
-        routing.route_exact(events, t.ACCESS_LOG_ROUTES)
+        routing.route_exact(events, t.LOG_ROUTES)
         .groupBy("database", "table")
         .agg(
             F.count("*").alias("n_events"),

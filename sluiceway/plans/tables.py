@@ -12,12 +12,12 @@ START_US = 1_704_067_200_000_000  # 2024-01-01 00:00:00 UTC
 MINUTE_US = 60_000_000
 SECOND_US = 1_000_000
 
-# The configuration of the access log job: pattern and routes.
-ACCESS_LOG_PATTERN = r"(?<fuu>[^\|]*)?(?<bar>.*)"
-ACCESS_LOG_ROUTES = [
-    Route(1, "logs.access_log", "test/logs.access_log"),
-    Route(2, "sys.alive", "test/sys.alive"),
-    Route(3, "sys.alive", "test/sys.alive.rollup"),
+# The configuration of the log job: a line is a first word and a sentence; others do not match.
+LINE_PATTERN = r"^(?<word>[A-Za-z]+) (?<rest>.*)\.$"
+LOG_ROUTES = [
+    Route(1, "text.lines", "text/lines"),
+    Route(2, "host.alive", "hosts/alive"),
+    Route(3, "host.alive", "hosts/history"),
 ]
 
 URL_PATTERN = r"^(?<scheme>https?)://(?<host>[^/?#]+)(?<path>/[^?#]*)?(\?(?<query>[^#]*))?"
@@ -32,6 +32,24 @@ ROUTES = [
     Route(6, "error", "ops/err"),
 ]
 
+# Events that number their routes alike; the bad target of click stops no other event.
+SHARED_ROUTES = [
+    Route(1, "click", "web"),
+    Route(2, "click", "web/click"),
+    Route(1, "view", "web/view"),
+    Route(2, "view", "web/all"),
+    Route(1, "error", "ops/errors"),
+    Route(2, "error", "ops"),
+    Route(3, "error", "ops/late"),
+]
+
+# A long list: for every letter one pattern each for names that begin with it, hold it and end in it.
+MANY_ROUTES = [
+    Route(3 * i + n + 1, pattern.format(letter), f"{kind}/{letter}.%E")
+    for i, letter in enumerate("abcdefghijklmnopqrstuvwxyz")
+    for n, (kind, pattern) in enumerate((("begin", "{}*"), ("hold", "*{}*"), ("end", "*{}")))
+]
+
 ORDER_ROUTES = [
     Route(1, "order.O", "orders/open"),
     Route(2, "order.F", "orders/done"),

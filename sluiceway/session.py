@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Runtime settings; all may be set on a session that already runs.
 SETTINGS = {
@@ -46,7 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Only a
     ``local`` master, where driver and executors are one process, may fall back
-    to a temporary folder.
+    to a temporary folder, which goes when the process ends.
     """
     global _local_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -56,24 +58,10 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="sluiceway-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
     return _local_folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def spread(table: DataFrame, key: str, tasks: int = 32) -> DataFrame:
-    """Spread a small table over some tasks, at most one per core, by a unique key.
-
-    For work that costs much more per row than moving the row. Spark cuts a scan
-    into at least one split per core unless the files come to less than
-    ``spark.sql.files.openCostInBytes`` (4 MiB) per core; and splits of a file with
-    few row groups are mostly empty. So only a table of a few such splits is shuffled
-    here, and any larger one is left as it is.
-    """
-    tasks = min(tasks, table.sparkSession.sparkContext.defaultParallelism)
-    if table.rdd.getNumPartitions() >= tasks:
-        return table
-    return table.repartition(tasks, key)

@@ -22,21 +22,30 @@ def split_lines(files: DataFrame, text: str = "text", keys: Sequence[str] = ())
     return out.select(*keys, (F.col("_pos") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def scan_lines(files: DataFrame, text: str = "text", keys: Sequence[str] = ()) -> DataFrame:
+def scan_lines(
+    files: DataFrame, text: str = "text", keys: Sequence[str] = (), start: str | None = None
+) -> DataFrame:
     """As ``split_lines``, with the ``byte_offset`` at which each line starts.
 
-    The offsets are summed inside the row, so the scan needs no shuffle.
+    The offsets are summed inside the row, so the scan needs no shuffle. With ``start``,
+    a column of byte offsets, only what stands behind it is split, and line numbers
+    count from there.
     """
+    body, base = F.col(text), F.lit(0)
+    if start is not None:
+        base = F.col(start)
+        rest = F.substr(body.cast("binary"), (base + 1).cast("int")).cast("string")
+        body = F.when(base > 0, rest).otherwise(body)
 
     def located(parts: Column) -> Column:
         starts = exclusive_sums(F.transform(parts, lambda s: F.octet_length(s) + 1))
         return F.arrays_zip(starts.alias("byte_offset"), parts.alias("line"))
 
-    found = bind(_terminated(F.col(text)), located)
+    found = bind(_terminated(body), located)
     out = files.select(*keys, F.posexplode(found).alias("_pos", "_l"))
     return out.select(
         *keys,
         (F.col("_pos") + 1).cast("bigint").alias("line_no"),
-        F.col("_l")["byte_offset"].alias("byte_offset"),
+        (F.col("_l")["byte_offset"] + base).alias("byte_offset"),
         F.col("_l")["line"].alias("line"),
     )

@@ -7,8 +7,9 @@ driver and all executors.
 
 A position is an inode and a byte offset per path. A file with another inode, or
 shorter than the offset, was rotated or truncated and is read from its start; a
-missing file keeps its position until it comes back. What was not read of a file
-before it was rotated away is lost, or an error with ``failOnDataLoss``.
+missing file keeps its position until it comes back, or loses it with ``forgetMissing``. What
+was not read of a file before it was rotated away is an error with ``failOnDataLoss``, and
+else lost, with a line in the log and a record in ``lossPath``. Small files share a task.
 
 Options:
 
@@ -18,7 +19,9 @@ Options:
                       out under ``availableNow``, which runs a single batch
 ``progressPath``      folder in which the planned position is kept; needed with
                       ``maxBytesPerBatch``, and where a new query starts
-``failOnDataLoss``    fail when planned bytes are gone (false)
+``failOnDataLoss``    fail when planned bytes are gone: true in a batch, false in a stream
+``lossPath``          folder in which a stream that goes on keeps one JSON file per lost range
+``forgetMissing``     drop the position of a file that is gone (false)
 ``startOffsets``      batch only: positions as JSON to read from
 ``endOffsets``        batch only: positions as JSON to read to
 
@@ -55,6 +58,9 @@ BLOCK = 1 << 20
 # Files looked at at once; a poll mostly waits for the file system.
 _PARALLEL = 32
 
+# Opening a file takes about as long as reading some of it.
+_FILES_PER_TASK = 1000
+
 # path -> [inode, end of the last line taken]
 Positions = dict[str, list[int]]
 
@@ -96,7 +102,9 @@ def _start(known: list[int] | None, inode: int, size: int) -> int:
     return known[1] if known and known[0] == inode and size >= known[1] else 0
 
 
-def find_end(pattern: str, known: Mapping[str, list[int]], limit: int | None = None) -> Positions:
+def find_end(
+    pattern: str, known: Mapping[str, list[int]], limit: int | None = None, forget: bool = False
+) -> Positions:
     """Where the complete lines of all files end now.
 
     With ``limit`` no more than about so many bytes lie between ``known`` and the
@@ -109,6 +117,9 @@ def find_end(pattern: str, known: Mapping[str, list[int]], limit: int | None = N
         share = None if limit is None else max(1, limit // max(1, len(grown)))
         ends = pool.map(lambda g: _end(*g, share), grown)
         found = {g[0]: [g[1], end] for g, end in zip(grown, ends) if end is not None}
+        if forget:
+            there = dict(zip(paths, pool.map(os.path.exists, paths)))
+            paths = [p for p in paths if there[p]]
     # Paths keep their order, so that equal positions are equal as text.
     return {p: found.get(p) or list(known[p]) for p in paths if p in found or p in known}
 
@@ -148,15 +159,23 @@ def _end(path: str, inode: int, start: int, size: int, share: int | None) -> int
 def _ranges(
     begin: Mapping[str, list[int]], end: Mapping[str, list[int]], split_bytes: int
 ) -> list[InputPartition]:
-    """Byte ranges between two positions. Cuts need not be at line ends."""
-    ranges = []
+    """Byte ranges between two positions, as many to a task as make up ``split_bytes``.
+
+    Cuts need not be at line ends.
+    """
+    tasks: list[list[tuple]] = []
+    room = 0
     for path, (inode, stop) in end.items():
         known = begin.get(path)
         start = known[1] if known and known[0] == inode and known[1] <= stop else 0
         for low in range(start, stop, split_bytes):
             high = min(low + split_bytes, stop)
-            ranges.append(InputPartition((path, inode, low, high, start, stop)))
-    return ranges
+            if high - low > room or len(tasks[-1]) == _FILES_PER_TASK:
+                tasks.append([])
+                room = split_bytes
+            tasks[-1].append((path, inode, low, high, start, stop))
+            room -= high - low
+    return [InputPartition(tuple(task)) for task in tasks]
 
 
 def _line_batch(path: str, inode: int, offset: int, chunk: bytes) -> pa.RecordBatch:
@@ -187,7 +206,22 @@ def _line_batch(path: str, inode: int, offset: int, chunk: bytes) -> pa.RecordBa
     )
 
 
-def _read_range(value: tuple, fail_on_loss: bool) -> Iterator[pa.RecordBatch]:
+def _lost(value: tuple, at: int, fail_on_loss: bool, folder: str | None) -> None:
+    """Planned bytes from ``at`` on are gone: an error, or a record of them."""
+    path, inode, _, high, _, _ = value
+    if fail_on_loss:
+        raise RuntimeError(f"{path} was rotated, truncated or removed before it was read")
+    print(f"log_tail: lost {path} inode {inode} bytes {at} to {high}", file=sys.stderr, flush=True)
+    if folder:
+        os.makedirs(folder, exist_ok=True)
+        record = {"path": path, "inode": inode, "from": at, "to": high}
+        # A task that runs again writes the same file again.
+        name = hashlib.sha1(json.dumps([path, inode, high]).encode()).hexdigest()
+        with open(os.path.join(folder, f"lost_{name}.json"), "w") as file:
+            json.dump(record, file)
+
+
+def _read_range(value: tuple, fail_on_loss: bool, folder: str | None = None) -> Iterator[pa.RecordBatch]:
     """The lines that start in a range; the last one may end behind it."""
     path, inode, low, high, start, stop = value
     try:
@@ -197,8 +231,7 @@ def _read_range(value: tuple, fail_on_loss: bool) -> Iterator[pa.RecordBatch]:
     try:
         info = os.fstat(fd) if fd >= 0 else None
         if info is None or info.st_ino != inode or info.st_size < stop:
-            if fail_on_loss:
-                raise RuntimeError(f"{path} was rotated, truncated or removed before it was read")
+            _lost(value, low, fail_on_loss, folder)
             return
         at = low if low == start else _after_first_newline(fd, low - 1, stop)
         pending, pending_at = b"", at
@@ -207,7 +240,9 @@ def _read_range(value: tuple, fail_on_loss: bool) -> Iterator[pa.RecordBatch]:
             until = high if at < high else _after_first_newline(fd, at, stop)
             block = os.pread(fd, min(BLOCK, until - at), at)
             if not block:
-                break
+                # Cut while it was read.
+                _lost(value, pending_at, fail_on_loss, folder)
+                return
             at += len(block)
             whole = block.rfind(b"\n") + 1
             if whole:
@@ -249,8 +284,8 @@ def save_progress(folder: str, pattern: str, positions: Positions) -> None:
     os.replace(file.name, name)
 
 
-def _flag(options: Mapping[str, str], name: str) -> bool:
-    return options.get(name, "false").lower() == "true"
+def _flag(options: Mapping[str, str], name: str, default: str = "false") -> bool:
+    return options.get(name, default).lower() == "true"
 
 
 class LogTailReader(DataSourceReader):
@@ -259,7 +294,8 @@ class LogTailReader(DataSourceReader):
     def __init__(self, options: Mapping[str, str]) -> None:
         self.pattern = options["path"]
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
-        self.fail_on_loss = _flag(options, "failOnDataLoss")
+        self.fail_on_loss = _flag(options, "failOnDataLoss", "true")
+        self.loss_folder = options.get("lossPath")
         begin = options.get("startOffsets")
         end = options.get("endOffsets")
         self.begin = (
@@ -273,7 +309,8 @@ class LogTailReader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is not None:
-            yield from _read_range(partition.value, self.fail_on_loss)
+            for value in partition.value:
+                yield from _read_range(value, self.fail_on_loss, self.loss_folder)
 
 
 class LogTailStreamReader(DataSourceStreamReader):
@@ -281,6 +318,8 @@ class LogTailStreamReader(DataSourceStreamReader):
         self.pattern = options["path"]
         self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
         self.fail_on_loss = _flag(options, "failOnDataLoss")
+        self.loss_folder = options.get("lossPath")
+        self.forget = _flag(options, "forgetMissing")
         self.folder = options.get("progressPath")
         limit = options.get("maxBytesPerBatch")
         self.limit = int(limit) if limit else None
@@ -297,18 +336,19 @@ class LogTailStreamReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        return {"began": self.began, "end": find_end(self.pattern, self.known, self.limit)}
+        return {"began": self.began, "end": find_end(self.pattern, self.known, self.limit, self.forget)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.began = end.get("began", {})
-        self.known = {**self.known, **end.get("end", {})}
+        self.known = dict(end.get("end", {})) if self.forget else {**self.known, **end.get("end", {})}
         if self.folder:
             save_progress(self.folder, self.pattern, self.known)
         return _ranges(start.get("end", self.began), end.get("end", {}), self.split_bytes)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is not None:
-            yield from _read_range(partition.value, self.fail_on_loss)
+            for value in partition.value:
+                yield from _read_range(value, self.fail_on_loss, self.loss_folder)
 
     def commit(self, end: Positions) -> None:
         """Nothing to do: Spark keeps committed offsets, ``partitions`` the planned one."""

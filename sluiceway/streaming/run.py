@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sluiceway.config import ConfigError, Route
+from sluiceway.config import Binding, ConfigError, Output, Property
 from sluiceway.operators.envelope import to_event
 from sluiceway.operators.extract import extract_payload, wrap_raw
-from sluiceway.sources.heartbeat import heartbeat_stream
+from sluiceway.sources.registry import Registry, default_registry
 from sluiceway.sources.tail import tail_logs
-from sluiceway.streaming.writers import Writer, table_writer
+from sluiceway.streaming.writers import Offer, Writer, zip_writer
 
 
 def start(
@@ -74,22 +76,68 @@ def print_batch(batch: DataFrame, batch_id: int) -> None:
         print(row.event, flush=True)
 
 
-def collect(
+def binding_events(
+    spark: SparkSession, binding: Binding, registry: Registry, write: Writer, overlay: bool = False
+) -> tuple[DataFrame, Writer]:
+    """The stream of a binding, and the writer that turns its batches into events for ``write``.
+
+    Events of one source go straight on. The sources of any other are lined up round by round:
+    a round takes the next record of every source that has one, and a sensor's of the moment.
+    """
+    if len(binding.sources) == 1:
+        records = registry.source(spark, binding.sources[0])
+        return to_event(records, binding.event_name, "event_data"), write
+    streams, sensors, order = [], {}, []
+    for number, source in enumerate(binding.sources, start=1):
+        name = f"{number}:{source.plugin}"
+        order.append(name)
+        sensor = registry.sensor(source)
+        if sensor is not None:
+            sensors[name] = sensor
+        else:
+            streams.append(registry.records(spark, source).select(F.lit(name).alias("source"), "*"))
+    if streams:
+        records = every_tick(reduce(DataFrame.unionByName, streams))
+    else:
+        ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+        kinds = {"source": "string", "path": "string", "byte_offset": "bigint", "record": "string"}
+        records = ticks.select(*[F.lit(None).cast(kind).alias(name) for name, kind in kinds.items()])
+    sources = [name for name in order if name not in sensors]
+    return records, zip_writer(binding.event_name, sources, write, sensors, order, overlay)
+
+
+def run(
     spark: SparkSession,
-    hostname: str,
-    log_path: str,
-    pattern: str,
-    routes: Sequence[Route],
-    out: str,
+    bindings: Sequence[Binding],
+    outputs: Sequence[Output],
     checkpoint: str,
-    interval_us: int = 1_000_000,
+    registry: Registry | None = None,
+    overlay: bool = False,
+    drain: bool = False,
 ) -> list[StreamingQuery]:
-    """The whole job: a host's heartbeat and its access log, routed into tables every tick."""
-    bindings = {
-        "sys.alive": heartbeat_stream(spark, hostname),
-        "logs.access_log": log_events(spark, log_path, "logs.access_log", pattern),
-    }
-    return [
-        start(events, table_writer(f"{out}/{name}", routes), f"{checkpoint}/{name}", interval_us)
-        for name, events in bindings.items()
-    ]
+    """Run a configuration: every event at its interval, from all its sources to all outputs.
+
+    A failing output stops no other; see ``Offer``. One streaming query per event, named
+    after it. Outputs that keep files get a folder per event.
+    """
+    registry = registry or default_registry()
+    ordered = sorted(outputs, key=lambda o: o.output_no)
+    queries = []
+    for binding in bindings:
+        # Batches of different events have the same numbers, so each event writes to a folder of its own.
+        write = Offer([(o.output_name, registry.output(_for_event(o, binding.event_name))) for o in ordered])
+        events, combined = binding_events(spark, binding, registry, write, overlay)
+        queries.append(
+            start(events, combined, f"{checkpoint}/{binding.event_name}", binding.interval_micros, drain)
+        )
+    return queries
+
+
+def _for_event(output: Output, event_name: str) -> Output:
+    """The output with the event's name behind each folder it names."""
+    folders = ("path", "unrouted")
+    properties = tuple(
+        Property(p.key, tuple(f"{v}/{event_name}" for v in p.values)) if p.key in folders else p
+        for p in output.properties
+    )
+    return replace(output, properties=properties)

@@ -7,12 +7,13 @@ changes nothing.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.config import Route
@@ -21,6 +22,8 @@ from sluiceway.operators.delivery import dead_letters, insert_payload, kafka_sha
 from sluiceway.operators.routing import route, unrouted
 from sluiceway.operators.sinks import write_kafka, write_tables
 
+log = logging.getLogger(__name__)
+
 Writer = Callable[[DataFrame, int], None]
 # Sends request bodies and answers with an HTTP status each, None for no answer.
 Send = Callable[[Sequence[str]], Sequence["int | None"]]
@@ -61,6 +64,28 @@ def table_writer(path: str, routes: Sequence[Route], unrouted_path: str | None =
     return write
 
 
+class Offer:
+    """Offers each batch to every output in turn.
+
+    An output that fails stops no other. The failure is logged, and ``last_error`` has the name and
+    the error of the last output that failed in the latest batch, or None.
+    """
+
+    def __init__(self, writers: Sequence[tuple[str, Writer]]) -> None:
+        self.writers = list(writers)
+        self.last_error: tuple[str, Exception] | None = None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        self.last_error = None
+        with _kept(batch):
+            for name, write in self.writers:
+                try:
+                    write(batch, batch_id)
+                except Exception as failure:
+                    log.error("output %s failed on batch %s: %s", name, batch_id, failure)
+                    self.last_error = (name, failure)
+
+
 def line_writer(path: str) -> Writer:
     """Write payloads to text files, one event per line."""
 
@@ -81,8 +106,11 @@ def _send_all(rows: DataFrame, send: Send) -> DataFrame:
         for part in parts:
             try:
                 answers = list(send(part["body"].tolist()))
-            except Exception:
-                answers = [None] * len(part)
+            except OSError:
+                # No connection, or no answer in time. Any other error is a fault of ``send``.
+                answers = []
+            # What got no answer counts as failed; failing here would send all again.
+            answers = (answers + [None] * len(part))[: len(part)]
             part["http_status"] = pd.array(answers, dtype="Int32")
             yield part.drop(columns="body")
 
@@ -94,25 +122,61 @@ def delivery_writer(path: str, routes: Sequence[Route], send: Send, max_attempts
     """Send each routed event and keep every attempt with its answer.
 
     A batch first takes up what failed in the one before it and is worth another
-    attempt. The attempts are written before anything is read from them: asking
-    for the outcome must not send again.
+    attempt; ``finish_deliveries`` does that for the last batch of all. The attempts are
+    written before anything is read from them: asking for the outcome must not send again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         todo = route(batch, routes).select("database", "table", "event_data")
-        try:
-            before = batch.sparkSession.read.parquet(batch_path(path, batch_id - 1))
-        except AnalysisException as missing:
-            if batch_id > 0 and missing.getCondition() != "PATH_NOT_FOUND":
-                raise
+        if batch_id == 0:
             todo = todo.withColumn("attempt", F.lit(1))
         else:
+            before = _stored(spark, f"{path}/{RETRIED}={batch_id - 1}")
+            if before is None:
+                before = spark.read.parquet(batch_path(path, batch_id - 1))
             todo = redeliver(dead_letters(before), todo, max_attempts)
         _send_all(todo, send).write.mode("overwrite").parquet(batch_path(path, batch_id))
 
     return write
 
 
+RETRIED = "retried_batch_id"
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def finish_deliveries(spark: SparkSession, path: str, batch_id: int, send: Send, max_attempts: int = 3) -> DataFrame:
+    """Send again what failed in batch ``batch_id``, the last of a stream, until it went out or is worth no more.
+
+    Gives all attempts made here. A stream that goes on later takes up from them.
+    """
+    failed = dead_letters(spark.read.parquet(batch_path(path, batch_id)))
+    out = f"{path}/{RETRIED}={batch_id}"
+    none = spark.createDataFrame([], "database string, table string, event_data string")
+    turns = []
+    for turn in range(max_attempts):
+        todo = redeliver(failed, none, max_attempts)
+        if todo.isEmpty():
+            break
+        _send_all(todo, send).write.mode("overwrite").parquet(f"{path}/_retry={batch_id}/{turn}")
+        turns.append(spark.read.parquet(f"{path}/_retry={batch_id}/{turn}"))
+        failed = dead_letters(turns[-1])
+    made = spark.createDataFrame([], _SENT)
+    for done in turns:
+        made = made.unionByName(done)
+    # What the next batch has to take up: only what is still worth an attempt, so nothing.
+    (turns[-1] if turns else made).write.mode("overwrite").parquet(out)
+    return made
+
+
 def zip_writer(
     event_name: str,
     sources: Sequence[str],
@@ -123,7 +187,8 @@ def zip_writer(
 ) -> Writer:
     """Combine the records of several sources round by round, one tick per batch.
 
-    Takes rows of ``source``, ``byte_offset`` and ``record``; a line that yields no
+    Takes rows of ``source``, ``byte_offset`` and ``record``, and ``path`` where a source has
+    several files; a line that yields no
     record is ``''`` and keeps its round. ``order`` names sources and sensors as
     configured, which decides the merge. Hands events on to ``write``.
     """
@@ -133,7 +198,10 @@ def zip_writer(
         tick = batch.sparkSession.range(0, 1, 1, 1).select(F.lit(event_name).alias("event_name"))
         with _kept(batch):
             named = batch.withColumn("event_name", F.lit(event_name))
-            zipped = round_zip(named, ["event_name"], sources, sensors=sensors, ticks=tick)
+            ties = ["path"] if "path" in batch.columns else []
+            zipped = round_zip(
+                named, ["event_name"], sources, sensors=sensors, ticks=tick, ties=ties
+            )
             merged = merge_overlay(zipped, order) if overlay else merge_last(zipped, order)
             events = merged.select(F.current_timestamp().alias("time"), "event_name", "event_data")
             write(events, batch_id)

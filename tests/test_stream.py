@@ -1,3 +1,4 @@
+import json
 import os
 import time
 
@@ -5,9 +6,10 @@ import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from sluiceway.config import ConfigError, Output, Property, Route, Source
+from sluiceway.config import Binding, ConfigError, Output, Property, Route, Source
 from sluiceway.operators import delivery, sinks
 from sluiceway.sources.heartbeat import heartbeat_stream, host_record
+from sluiceway.sources import tail
 from sluiceway.sources.registry import default_registry
 from sluiceway.sources.sensors import stream_records
 from sluiceway.sources.tail import (
@@ -204,9 +206,9 @@ def test_bytes_gone_before_they_are_read(spark, tmp_path, log):
     log.append(b"l1\nl2\n")
     planned = next_slice(log.path, str(tmp_path / "progress"))
     log.replace(b"other\nfile\n")
-    assert planned.read(spark).count() == 0
+    assert planned.read(spark, failOnDataLoss=False).count() == 0
     with pytest.raises(Exception, match="rotated"):
-        planned.read(spark, failOnDataLoss=True).count()
+        planned.read(spark).count()
 
 
 ROUTES = [Route(1, "logs", "db/logs"), Route(2, "logs", "db/copy"), Route(3, "sys.alive", "db/alive")]
@@ -241,6 +243,37 @@ def test_tables_of_a_stream_and_replay(spark, tmp_path, log):
     assert spark.read.parquet(lost).count() == 0
 
 
+def test_deliveries_are_finished(spark, tmp_path):
+    out = str(tmp_path / "sent")
+
+    def send(bodies):
+        return [500] * len(bodies)
+
+    batch = spark.createDataFrame([("logs", "1"), ("logs", "2")], "event_name string, event_data string")
+    writers.delivery_writer(out, ROUTES[:1], send)(batch, 0)
+    made = writers.finish_deliveries(spark, out, 0, lambda b: [201 if '"data":1' in x else 503 for x in b])
+    assert sorted((r.event_data, r.attempt, r.http_status) for r in made.collect()) == [
+        ("1", 2, 201), ("2", 2, 503), ("2", 3, 503),
+    ]
+    # Nothing of it is sent again by the next batch, and a lost folder is an error.
+    writers.delivery_writer(out, ROUTES[:1], send)(batch.limit(0), 1)
+    assert spark.read.parquet(f"{out}/batch_id=1").count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        writers.delivery_writer(out, ROUTES[:1], send)(batch, 7)
+
+
+def test_answers_that_are_missing(spark, tmp_path):
+    batch = spark.createDataFrame([("logs", "1"), ("logs", "2")], "event_name string, event_data string")
+    writers.delivery_writer(str(tmp_path / "a"), ROUTES[:1], lambda bodies: [])(batch, 0)
+    assert {r.http_status for r in spark.read.parquet(str(tmp_path / "a")).collect()} == {None}
+
+    def fault(bodies):
+        raise TypeError("a bug")
+
+    with pytest.raises(Exception, match="a bug"):
+        writers.delivery_writer(str(tmp_path / "b"), ROUTES[:1], fault)(batch, 0)
+
+
 def test_deliveries_and_retries(spark, tmp_path, log):
     out = str(tmp_path / "sent")
 
@@ -341,32 +374,125 @@ def test_monitor(spark, log):
     assert got == ['{ "data": "seen" }', '{ "data": "as it comes" }']
 
 
-def test_the_whole_job(spark, tmp_path, log):
-    routes = [
-        Route(1, "logs.access_log", "test/logs.access_log"),
-        Route(2, "sys.alive", "test/sys.alive"),
-        Route(3, "sys.alive", "test/sys.alive.rollup"),
-    ]
-    out = str(tmp_path / "out")
-    log.append(b"GET /|200\n")
-    pattern = r"(?<fuu>[^\|]*)?(?<bar>.*)"
-    queries = run.collect(spark, "h", log.path, pattern, routes, out, str(tmp_path / "ck"))
+def settle(queries, done, seconds=60):
+    """Let streams run until ``done`` says so."""
     try:
-        deadline = time.time() + 60
-        while time.time() < deadline and not all(
-            any(p["numInputRows"] > 0 for p in q.recentProgress) for q in queries
-        ):
+        deadline = time.time() + seconds
+        while time.time() < deadline and not done():
+            for query in queries:
+                assert query.exception() is None
             time.sleep(0.2)
     finally:
         for query in queries:
             query.stop()
-    logs = sinks.read_tables(spark, f"{out}/logs.access_log").collect()
-    assert [(r.table, r.event_data) for r in logs] == [
-        ("logs.access_log", '{"fuu":"GET /","bar":"|200"}')
+
+
+def test_a_whole_configuration(spark, tmp_path, log):
+    """Two events, one of two sources, to two outputs of which one fails."""
+    out = str(tmp_path / "out")
+    registry = default_registry()
+    failures = []
+
+    def broken(output):
+        def write(batch, batch_id):
+            failures.append(output.output_name)
+            raise ValueError("no room")
+
+        return write
+
+    registry.add_output("broken", broken)
+    host = Source("hostname", (Property("hostname", ("h",)),))
+    pattern = r"^(?<verb>[A-Z]+) (?<path>\S+)$"
+    lines = Source("logfile", (Property("logfile", (log.path,)), Property("regex", (pattern,))))
+    bindings = [
+        Binding("web.requests", 200_000, (host, lines)),
+        Binding("host.alive", 200_000, (host,)),
     ]
-    alive = sinks.read_tables(spark, f"{out}/sys.alive").collect()
-    assert {r.table for r in alive} == {"sys.alive", "sys.alive.rollup"}
-    assert {r.event_data for r in alive} == {'{ "hostname": "h", "hostname_fqdn": "" }'}
+    routes = (
+        Property("path", (out,)),
+        Property("route", ("web.requests", "web/requests")),
+        Property("route", ("host.alive", "hosts/alive")),
+        Property("route", ("host.alive", "hosts/history")),
+    )
+    outputs = [Output(2, "tables", "table", routes), Output(1, "full", "broken")]
+    log.append(b"GET /\nno request\nPUT /x\n")
+    queries = run.run(spark, bindings, outputs, str(tmp_path / "ck"), registry)
+
+    def read(event):
+        schema = "time timestamp, event_name string, event_data string, route_no int, target string"
+        frame = spark.createDataFrame([], schema)
+        return sinks.read_tables(spark, f"{out}/{event}", frame.schema).collect()
+
+    def done():
+        ready = os.path.exists(f"{out}/web.requests") and os.path.exists(f"{out}/host.alive")
+        return ready and len(read("web.requests")) >= 2 and len(read("host.alive")) >= 2
+
+    settle(queries, done)
+    # The log is the last source: rounds in which it has nothing give no event.
+    assert [(r.database, r.table, r.event_data) for r in sorted(read("web.requests"), key=lambda r: r.event_data)] == [
+        ("web", "requests", '{"verb":"GET","path":"/"}'),
+        ("web", "requests", '{"verb":"PUT","path":"/x"}'),
+    ]
+    assert {r.table for r in read("host.alive")} == {"alive", "history"}
+    assert {r.event_data for r in read("host.alive")} == {'{ "hostname": "h", "hostname_fqdn": "" }'}
+    assert set(failures) == {"full"}
+
+
+def test_the_last_error_is_reported(spark):
+    def fail(text):
+        def write(batch, batch_id):
+            raise ValueError(text)
+
+        return write
+
+    seen = []
+    offer = writers.Offer([("a", fail("x")), ("b", lambda batch, i: seen.append(batch.count())), ("c", fail("y"))])
+    offer(spark.range(3), 0)
+    assert seen == [3] and offer.last_error[0] == "c" and str(offer.last_error[1]) == "y"
+    offer.writers = offer.writers[1:2]
+    offer(spark.range(3), 1)
+    assert offer.last_error is None
+
+
+def test_sources_that_cannot_be_lined_up(spark, tmp_path):
+    source = Source("json", (Property("path", (str(tmp_path),)),))
+    with pytest.raises(ConfigError):
+        run.run(spark, [Binding("e", 1000, (source, source))], [], str(tmp_path / "ck"))
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.log").write_bytes(b"x\n")
+    frame = read_logs(spark, str(tmp_path / "*.log"))
+    assert frame.count() == 300
+    assert frame.select(F.spark_partition_id()).distinct().count() < 5
+
+
+def test_positions_of_missing_files(tmp_path, log):
+    log.append(b"a\n")
+    gone = {str(tmp_path / "gone"): [1, 5]}
+    assert set(find_end(log.path, gone)) == {log.path, *gone}
+    assert set(find_end(log.path, gone, forget=True)) == {log.path}
+
+
+def test_a_file_cut_while_it_is_read(tmp_path, log):
+    log.append(b"line\n" * 300_000)
+    inode = os.stat(log.path).st_ino
+    value = (log.path, inode, 0, 1_500_000, 0, 1_500_000)
+    lost = tmp_path / "lost"
+    for fail in (True, False):
+        parts = tail._read_range(value, fail, str(lost))
+        first = next(parts).num_rows
+        os.truncate(log.path, 10)
+        if fail:
+            with pytest.raises(RuntimeError):
+                list(parts)
+            os.truncate(log.path, 0)
+            log.append(b"line\n" * 300_000)
+        else:
+            assert first + sum(p.num_rows for p in parts) < 300_000
+    (record,) = [json.loads(p.read_text()) for p in lost.iterdir()]
+    assert record["path"] == log.path and record["from"] == 5 * first and record["to"] == 1_500_000
 
 
 def test_plugins_run_a_binding(spark, tmp_path, log):
