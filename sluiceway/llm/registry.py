@@ -92,4 +92,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def sql() -> dict[str, str]:
-    return {}
+    """What plain SQL can say of these operators; the others are tested against plain Python."""
+    return {
+        "op3_neighbours": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e,
+              sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+            pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
+              list_inner_product(q.e, c.e) / (q.n * c.n) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER
+              AS rank, vec_id, score FROM pairs QUALIFY rank <= 5""",
+    }
