@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from sluiceway.functions.arrays import bind
 
@@ -54,6 +55,18 @@ def _fixed(v: str, digits: int) -> str:
         ELSE transform(array({fraction}), f -> concat({minus}, {carried}, '.', {rest}))[0] END"""
 
 
+def _clear(value: Column, digits: int) -> Column:
+    """Whether Spark's own printing is right: almost always. Nothing here leaves generated code."""
+    coarse = 2.0**33 if digits <= 2 else 2.0**20
+    scaled = F.abs(value) * F.lit(float(10**digits))
+    return (F.abs(value) < coarse) & (F.abs(scaled % 1.0 - 0.5) > 1e-3)
+
+
+def _printed(value: Column, digits: int) -> Column:
+    """The text where that is right, else null."""
+    return F.when(_clear(value, digits), F.printf(F.lit(f"%.{digits}f"), value))
+
+
 def fixed(value: Column, digits: int) -> Column:
     """A double with a fixed number of digits (1 to 6), as ``%.<digits>f`` prints it in C.
 
@@ -61,13 +74,14 @@ def fixed(value: Column, digits: int) -> Column:
     value: 405.95 gives 406.0 there and 405.9 here. From 2**53 on, where doubles
     are whole, they are printed in the shortest form.
     """
-    return bind(value, f"v -> {_fixed('v', digits)}")
+    return F.coalesce(_printed(value, digits), bind(value, f"v -> {_fixed('v', digits)}"))
 
 
 def number_text(value: Column) -> Column:
     """A double with six digits, its trailing zeros cut but for the first digit."""
-    cut = rf"regexp_replace({_fixed('v', 6)}, r'(\.\d+?)0+$', '$1')"
-    return bind(value, f"v -> {cut}")
+    zeros = r"(\.\d+?)0+$"
+    usual = F.regexp_replace(_printed(value, 6), zeros, "$1")
+    return F.coalesce(usual, bind(value, f"v -> regexp_replace({_fixed('v', 6)}, r'{zeros}', '$1')"))
 
 
 # Upper bound, what scales the number, suffix, and the digits shown.
@@ -88,6 +102,12 @@ METRIC_BANDS = (
 
 def metric_text(value: Column) -> Column:
     """A number with a metric suffix, such as ``1.5K``."""
+    usual = F.when(value == 0, F.lit("0"))
+    for bound, scale, suffix, digits in METRIC_BANDS:
+        factor = float(scale.lstrip("*/ ").rstrip("D") or 1)
+        scaled = value / factor if scale.startswith("/") else value * factor if scale else value
+        limit = float("inf") if "inf" in bound else float(bound.rstrip("D"))
+        usual = usual.when(F.abs(value) < limit, F.concat(_printed(scaled, digits), F.lit(suffix)))
     bands = " ".join(
         f"WHEN abs(v) < {bound} THEN struct(v {scale} AS s, '{suffix}' AS suffix, {digits} AS digits)"
         for bound, scale, suffix, digits in METRIC_BANDS
@@ -95,4 +115,4 @@ def metric_text(value: Column) -> Column:
     last = f"struct(v {METRIC_BANDS[-1][1]} AS s, '{METRIC_BANDS[-1][2]}' AS suffix, 1 AS digits)"
     shown = f"CASE WHEN b.digits = 2 THEN {_fixed('b.s', 2)} ELSE {_fixed('b.s', 1)} END"
     text = f"transform(array(CASE {bands} ELSE {last} END), b -> concat({shown}, b.suffix))[0]"
-    return bind(value, f"v -> CASE WHEN v = 0 THEN '0' ELSE {text} END")
+    return F.coalesce(usual, bind(value, f"v -> {text}"))
