@@ -25,7 +25,7 @@ CUTS = 1024
 def _large_keys(df: DataFrame, keys: Sequence[str], order: str, limit: int) -> DataFrame:
     """The large keys and ``_cuts``: the order values at which their ranges begin."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
-    steps = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    steps = F.expr(f"array({', '.join(f'{i / CUTS}D' for i in range(1, CUTS))})")
     quantiles = (
         df.join(sizes, list(keys))
         .groupBy(*keys)
