@@ -25,7 +25,7 @@ from sluiceway.llm.common import fold, saved
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 3
 BINS = 32
 MAX_RULES = 10
@@ -44,9 +44,7 @@ FEATURES = {
     "symbols_per_word": "n_symbols / n_words",
     "repeated_words": "n_repeat_words / n_words",
     "repeated_lines": "n_dup_lines / n_lines",
-    "distinct_words": "n_distinct / n_words",
     "capitals": "n_capitals / word_chars",
-    "digits": "n_digits / word_chars",
     "marks_per_word": "n_marks / n_words",
     "shouts_per_word": "n_shouts / n_words",
     "words_per_line": "n_words / n_lines",
@@ -54,9 +52,9 @@ FEATURES = {
 }
 
 
-def _count_of(text: str, characters: str) -> Column:
-    """How many characters of ``text`` are among ``characters``."""
-    return F.length(text) - F.length(F.translate(F.col(text), characters, ""))
+def _count_of(characters: str) -> Column:
+    """How many characters of ``text`` are in a class; all others go in runs, which is quick."""
+    return F.length(F.regexp_replace("text", f"[^{characters}]+", ""))
 
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -64,55 +62,63 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
     kept = ["key", "doc"] if carry else ["key"]
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
     docs = docs.select(
-        F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *row
+        F.col(f"`{key}`").alias("key"),
+        F.btrim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(SPACES)).alias("text"),
+        *row,
     )
-    lines = F.filter(F.split("text", "\n"), lambda line: F.translate(line, SPACES, "") != "")
-    words = F.filter(F.split("text", SPACE), lambda word: word != "")
+    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
+    words = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", SPACE))
     counted = docs.select(
         *kept,
-        F.length(F.translate("text", SPACES, "")).alias("word_chars"),
-        _count_of("text", SYMBOLS).alias("n_symbols"),
-        _count_of("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_capitals"),
-        _count_of("text", "0123456789").alias("n_digits"),
-        _count_of("text", ".,;:").alias("n_marks"),
-        _count_of("text", "!?").alias("n_shouts"),
+        _count_of(r"#*$%&|<>").alias("n_symbols"),
+        _count_of("A-Z").alias("n_capitals"),
+        _count_of(".,;:").alias("n_marks"),
+        _count_of("!?").alias("n_shouts"),
         lines.alias("lines"),
         words.alias("words"),
     )
     # Each step reads the one before several times, so it is computed once, outside any lambda.
     windows = F.expr(
-        """transform(sequence(1, greatest(size(words) - 2, 1)), at -> named_struct(
-            'hash', xxhash64(get(words, at - 1), get(words, at), get(words, at + 1)), 'at', at))"""
+        """transform(slice(arrays_zip(words, slice(words, 2, size(words)), slice(words, 3, size(words))),
+            1, greatest(size(words) - 2, 0)), w -> xxhash64(w))"""
     )
     counted = counted.select(
         *kept,
-        "word_chars",
         "n_symbols",
         "n_capitals",
-        "n_digits",
         "n_marks",
         "n_shouts",
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.size("words").alias("n_words"),
-        F.size(F.array_distinct("words")).alias("n_distinct"),
-        F.sort_array(windows).alias("windows"),
+        F.length(F.array_join("words", "")).alias("word_chars"),
+        windows.alias("windows"),
     )
-    # Where a window occurs that equals a neighbour in the sorted order.
-    repeated = F.expr(
-        """filter(transform(windows, (w, i) -> CASE WHEN
-            w.hash = get(windows, i - 1).hash OR w.hash = get(windows, i + 1).hash THEN w.at END),
-            at -> at IS NOT NULL)"""
+    # The low bits of a window's hash above its place: equal windows are neighbours in the order of these numbers.
+    counted = counted.withColumn("bits", F.length(F.bin(F.size("windows").cast("bigint"))))
+    counted = counted.withColumn(
+        "sorted", F.sort_array(F.expr("transform(windows, (w, at) -> shiftleft(w, bits) | at)"))
     )
-    counted = counted.withColumn("repeated", F.sort_array(repeated)).drop("windows")
+    place = "cast(get(sorted, {}) & (shiftleft(1L, bits) - 1) AS int)"
+
+    def same(other: str) -> str:
+        """Whether entries i and ``other`` have the same whole hash; few pass the first comparison."""
+        return f"""(shiftright(get(sorted, i), bits) = shiftright(get(sorted, {other}), bits)
+            AND get(windows, {place.format("i")}) = get(windows, {place.format(other)}))"""
+
+    # One other window may stand between two equal ones, if it has the same low bits.
+    either = " OR ".join(same(other) for other in ("i - 1", "i + 1", "i - 2", "i + 2"))
+    repeated = F.when(F.size("windows") > 1, F.expr(
+        f"""transform(filter(sequence(0, size(sorted) - 1), i -> coalesce({either}, false)),
+            i -> {place.format("i")})"""
+    )).otherwise(F.array().cast("array<int>"))
+    counted = counted.withColumn("repeated", F.sort_array(repeated)).drop("windows", "sorted", "bits")
     # Each such window adds the words up to the next one, three at most.
     covered = F.expr(
         f"""aggregate(transform(repeated, (at, i) ->
             least({WINDOW}, coalesce(get(repeated, i + 1) - at, {WINDOW}))), 0, (a, b) -> a + b)"""
     )
-    counted = counted.withColumn(
-        "n_repeat_words", F.when(F.col("n_words") < WINDOW, 0).otherwise(covered)
-    ).drop("repeated")
+    counted = counted.withColumn("n_repeat_words", covered).drop("repeated")
     return counted.select(*kept, *[F.col(c).cast("long").alias(c) for c in counted.columns if c not in kept])
 
 
