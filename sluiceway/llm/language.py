@@ -12,8 +12,8 @@ out, those with the smallest hash of their id. Their words are counted by Spark,
 length are kept, so its size is fixed and it is sent to every task.
 
 Text that is null or holds no letter is ``und`` with score 0, as is all text where
-nothing can be learned. Equally likely languages: the first by name. Repeated rows count,
-and are predicted, each on its own.
+nothing can be learned. Equally likely languages: the first by name. Of rows with the same id
+one is learned from; each is predicted on its own.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.bpe import Recent
-from sluiceway.llm.common import held_out
+from sluiceway.llm.common import held_out, saved
 
 SAMPLE = 10_000
 WORDS = 100_000
@@ -90,15 +90,8 @@ def _log_frequencies(counts: np.ndarray) -> np.ndarray:
     return np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def fit(counts: dict[str, dict[str, int]]) -> Model:
-    """A model from the counts of words by language."""
-    languages = sorted({language for by in counts.values() for language in by})
-    at = {language: i for i, language in enumerate(languages)}
-    names = sorted(counts)
-    table = np.zeros((len(names), len(languages)))
-    for i, word in enumerate(names):
-        for language, n in counts[word].items():
-            table[i, at[language]] = n
+def fit(names: list[str], languages: list[str], table: np.ndarray) -> Model:
+    """A model from the counts of words (rows) by language (columns)."""
     kept: list[str] = []
     tables = [np.zeros((0, len(languages)), np.float32)]
     for n in LENGTHS:
@@ -143,14 +136,27 @@ def learn(
     ).filter(F.col("l").isNotNull() & ~held_out(F.col("k")))
     # At most ``sample`` ids, so the texts need not move.
     chosen = own.filter(F.col("k").isNotNull()).select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = own.join(F.broadcast(chosen), "k").select("l", "t")
+    rows = own.join(F.broadcast(chosen), "k")
+    # One row of each id, however many there are.
+    rows = rows.groupBy("k").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "l", "t")).alias("r"))
+    rows = rows.select("r.l", "r.t")
     counts = rows.mapInArrow(_count, "language string, word string, n long")
     counts = counts.groupBy("word", "language").agg(F.sum("n").alias("n"))
     by_word = counts.groupBy("word").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("language", "n")).alias("counts")
+        F.sum("n").alias("total"),
+        F.collect_list(F.struct("language", "n")).alias("counts"),
     )
-    best = by_word.orderBy(F.desc("total"), "word").limit(WORDS).select("word", "counts").collect()
-    return fit({r["word"]: {c["language"]: c["n"] for c in r["counts"]} for r in best})
+    best = by_word.orderBy(F.desc("total"), "word").limit(WORDS)
+    found = saved(best, "words").orderBy("word").select("word", "counts").toArrow().combine_chunks()
+    counted = found["counts"].combine_chunks()
+    coded = counted.flatten().field("language").dictionary_encode()
+    languages = sorted(coded.dictionary.to_pylist())
+    column = np.array([languages.index(name) for name in coded.dictionary.to_pylist()], np.int64)
+    table = np.zeros((len(found), len(languages)))
+    if len(found):
+        owner = np.repeat(np.arange(len(found)), counted.value_lengths().to_numpy())
+        table[owner, column[coded.indices.to_numpy()]] = counted.flatten().field("n").to_numpy()
+    return fit(found["word"].to_pylist(), languages, table)
 
 
 def identify(text: Column, model: Model) -> Column:

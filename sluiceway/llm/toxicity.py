@@ -8,7 +8,8 @@ can learn that two terms matter together, such as an insult and the mention of a
 The model is fitted on the driver from at most ``SAMPLE`` labelled documents, those with
 the smallest hash of their id. Spark counts their terms; the model holds ``TERMS`` of them, those
 that tell the classes apart best, and only these reach the driver. Its size is fixed and it is
-sent to every task. Documents with the same terms count once.
+sent to every task. Of rows with the same id one is learned from, and documents with the same
+terms count once.
 
 Null and empty texts have no terms and get the score of a text without any. Labels that
 are null are left out; an id with several labels counts with each of them. Where there is
@@ -158,8 +159,10 @@ def learn(
     )
     own = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     # At most ``sample`` rows of two numbers, so the texts need not move.
-    rows = own.join(F.broadcast(chosen), "k").select("y", hashed_terms("t").alias("f"))
-    rows = rows.groupBy("y", F.xxhash64("f").alias("h")).agg(F.any_value("f").alias("f"))
+    rows = own.join(F.broadcast(chosen), "k").select("k", "y", hashed_terms("t").alias("f"))
+    # One text of each id, however many rows have it; then one document of those with equal terms.
+    rows = rows.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("f").alias("h"), "f")).alias("r"))
+    rows = rows.select("y", "r.h", "r.f").groupBy("y", "h").agg(F.any_value("f").alias("f"))
     rows = saved(rows, "terms")
     counted = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
     size, toxic = counted["n"], counted["toxic"] or 0

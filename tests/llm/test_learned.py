@@ -65,7 +65,9 @@ def test_op5(spark, given):
 
 
 def test_backoff_to_shorter_sequences():
-    model = language.fit({"hello": {"en": 5}, "hallo": {"de": 5}, "the": {"en": 9}, "der": {"de": 9}})
+    model = language.fit(
+        ["der", "hallo", "hello", "the"], ["de", "en"], np.array([[9, 0], [5, 0], [0, 5], [0, 9]])
+    )
     score = model.scorer()
 
     def best(word):
