@@ -36,6 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.llm.common import saved
+
 # A class of the template has so many tokens, on this share of the pages of its host.
 LEAST_TOKENS = 3
 LEAST_SHARE = 0.5
@@ -270,7 +272,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.col(f"`{html}`").alias("html"),
         host_of(F.col(f"`{url}`")).alias("host"),
     )
-    found = templates(rows.withColumn("page", F.xxhash64("key", "url", "html")))
+    # Written first, so that Spark joins by its measured size: pages move only where it is large, and then
+    # those of a hot host are split.
+    found = saved(templates(rows.withColumn("page", F.xxhash64("key", "url", "html"))), "templates")
 
     @F.pandas_udf("string")
     def text(html: pd.Series, template: pd.Series, of: pd.Series) -> pd.Series:
