@@ -18,7 +18,7 @@ def payloads(frame, pattern):
 @pytest.mark.parametrize(
     "pattern, line, payload",
     [
-        (r"(?<fuu>[^\|]*)?(?<bar>.*)", "a|b\r", '{"fuu":"a","bar":"|b\\r"}'),
+        (r"(?<left>[^;]*)?(?<right>.*)", "a;b\r", '{"left":"a","right":";b\\r"}'),
         (r"(?<a>x)(?<b>y)?", "x", '{"a":"x"}'),
         (r"(?<a>x)(?<b>y)?", "zzxyx", '{"a":"x","b":"y"}'),
         (r"(?<a>q)?(?<b>y)", "y", '{"a":"","b":"y"}'),
@@ -136,3 +136,12 @@ def test_record_keeps_the_place_of_a_line(spark, rows):
     assert [r[0] for r in got] == ['{"n":"1"}', "", ""]
     got = frame.select(extract.record_of(F.col("line"), None)).collect()
     assert [r[0] for r in got] == ['{ "data": "1" }', "", '{ "data": "x" }']
+
+
+def test_ten_groups_and_more(spark, rows):
+    """Back references take all their digits; what may be octal is refused."""
+    letters = "".join(f"(?<g{i}>{c})" for i, c in enumerate("abcdefghij", 1))
+    found = extract.extract_fields(rows("abcdefghijj", "abcdefghija0"), letters + r"\10$").collect()
+    assert [r.line for r in found] == ["abcdefghijj"]
+    with pytest.raises(ConfigError):
+        translate(r"(?<a>x)\10")
