@@ -212,7 +212,8 @@ def _all_spans(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
     new = found.select("row", F.explode("candidates").alias("c")).filter("NOT c.seed")
     new = new.select("row", "c.instance", "c.start", "c.end").join(known, "instance")
     span = F.struct(F.lit("id").alias("kind"), "start", "end")
-    new = new.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("new"))
+    # Written first: discoveries are few, and where Spark sees their size it need not move all rows to join them.
+    new = saved(new.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("new")), "discovered")
     spans = F.concat("spans", F.coalesce("new", F.array().cast(f"array<{SPAN}>")))
     return found.join(new, "row", "left").withColumn("all", spans)
 
