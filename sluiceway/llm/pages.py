@@ -10,9 +10,12 @@ blocks of text between template tokens, each under its innermost template contai
 From the slots the main text is taken: those inside an article or main container if there
 are any, else those whose text is a fair share of the fullest slot's. Menus, headers, footers, sidebars,
 notices, adverts, forms and comments are told by element, role, class and id. Text that
-itself belongs to the template is left out, unless nothing else would be left.
+itself belongs to the template is left out, unless it is inside an article or main container
+or nothing else would be left. Such text is on just the pages that the frame of the host is on,
+its most common container; text that copies or near copies share is not.
 
-An occurrence vector is kept as the exclusive or of one hash per page and count, so counting
+Pages of a host with the same text count once, so copies of a page make no template. An occurrence
+vector is kept as the exclusive or of one hash per page and count, so counting
 combines before the shuffle and no task gathers the pages of a host. The template of a host
 holds at most twice the tokens of a page, as each is on half of its pages.
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import html as markup
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,7 +101,12 @@ class Block:
 
 
 def _token(*parts: object) -> int:
-    return xxhash.xxh64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> 1
+    """A number for the parts; ``_text_token`` makes it odd, those of containers are even."""
+    return xxhash.xxh64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass")) >> 2 << 1
+
+
+def _text_token(*parts: object) -> int:
+    return _token(*parts) | 1
 
 
 def _kind(name: str, rest: str) -> tuple[str, str]:
@@ -142,7 +150,7 @@ def parse(html: str | None) -> tuple[list[int], list[Block]]:
                     inside = kind
                     break
             path = tuple(token for _, token, _ in stack)
-            blocks.append(Block(path, inside, text, link_chars, _token(path[-1] if path else 0, text)))
+            blocks.append(Block(path, inside, text, link_chars, _text_token(path[-1] if path else 0, text)))
         run.clear()
         link_chars = 0
 
@@ -193,47 +201,78 @@ def parse(html: str | None) -> tuple[list[int], list[Block]]:
     return tokens, blocks
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token of a batch: pages with it, occurrences, and its vector as one number."""
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page with text its host, a number for that text, and its tokens with their counts, packed."""
     for batch in batches:
-        found: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0])
-        for host, page, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        hosts, bodies, packed = [], [], []
+        for host, html in zip(*(batch.column(i).to_pylist() for i in range(2))):
             tokens, blocks = parse(html)
-            occurs: dict[int, int] = defaultdict(int)
-            occurs[0] = 1  # stands for the page itself
-            for token in tokens:
-                occurs[token] += 1
-            for block in blocks:
-                occurs[block.token] += 1
-            for token, n in occurs.items():
+            own = [block.token for block in blocks if block.inside != "outside"]
+            if not own:
+                continue
+            occurs = Counter([0, *tokens, *(block.token for block in blocks)])  # 0 stands for the page itself
+            hosts.append(host)
+            bodies.append(_token(*own))
+            packed.append(np.array(sorted(occurs.items()), np.int64).tobytes())
+        columns = [pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(packed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "body", "tokens"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host and token of a batch: pages with it, occurrences, and as one number each these and the pages alone."""
+    for batch in batches:
+        found: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        for host, body, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            seen = _token(body)
+            vectors: dict[int, int] = {}
+            for token, n in np.frombuffer(packed, np.int64).reshape(-1, 2).tolist():
+                if n not in vectors:
+                    vectors[n] = _token(body, n)
                 entry = found[host, token]
                 entry[0] += 1
                 entry[1] += n
-                entry[2] ^= _token(page, n)
+                entry[2] ^= vectors[n]
+                entry[3] ^= seen
         hosts, tokens = zip(*found) if found else ((), ())
-        values = list(zip(*found.values())) or [(), (), ()]
+        values = list(zip(*found.values())) or [(), (), (), ()]
         columns = [pa.array(hosts, pa.string()), *(pa.array(v, pa.int64()) for v in (tokens, *values))]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "token", "pages", "n", "vector"])
+        yield pa.RecordBatch.from_arrays(columns, ["host", "token", "pages", "n", "vector", "seen"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """The tokens of each host's template, and its number of pages, from ``host``, ``page`` and ``html``."""
-    counts = pages.select("host", "page", "html").mapInArrow(
-        _counts, "host string, token long, pages long, n long, vector long"
-    )
+    """The tokens of each host's template, and its number of different pages, from ``host`` and ``html``."""
+    bodies = pages.select("host", "html").mapInArrow(_bodies, "host string, body long, tokens binary")
+    # Copies of a page count once, so that they cannot make its text a template.
+    bodies = bodies.groupBy("host", "body").agg(F.min("tokens").alias("tokens"))
+    counts = bodies.mapInArrow(_counts, "host string, token long, pages long, n long, vector long, seen long")
     counts = counts.groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), F.sum("n").alias("n"), F.bit_xor("vector").alias("vector")
+        F.sum("pages").alias("pages"),
+        F.sum("n").alias("n"),
+        F.bit_xor("vector").alias("vector"),
+        F.bit_xor("seen").alias("seen"),
     )
     # Tokens of one page only can be in no template of several, and are most of all tokens.
-    classes = counts.filter("pages > 1").groupBy("host", "pages", "n", "vector").agg(
+    counts = saved(counts.filter("pages > 1 OR token = 0"), "tokens")
+    # The frame of a host is what its most common container is on; without containers, all pages.
+    place = F.struct("pages", "seen")
+    hosts = counts.groupBy("host").agg(
+        F.max(F.when(F.col("token") == 0, F.col("pages"))).alias("of"),
+        F.coalesce(
+            F.max(F.when((F.col("token") != 0) & (F.col("token") % 2 == 0), place)),
+            F.max(F.when(F.col("token") == 0, place)),
+        ).alias("frame"),
+    )
+    classes = counts.filter("pages > 1 AND token <> 0").groupBy("host", "pages", "n", "vector", "seen").agg(
         F.collect_list("token").alias("tokens"),
     )
-    sizes = counts.filter("token = 0").select("host", F.col("pages").alias("of"))
-    valid = classes.join(sizes, "host").filter(
+    valid = classes.join(hosts, "host").filter(
         (F.size("tokens") >= LEAST_TOKENS) & (F.col("pages") >= LEAST_SHARE * F.col("of"))
     )
+    # Text that is not on just the pages of the frame may be that of pages that are near copies.
+    on_frame = F.col("seen") == F.col("frame.seen")
+    tokens = F.filter("tokens", lambda token: on_frame | (token % 2 == 0))
     return valid.groupBy("host").agg(
-        F.flatten(F.collect_list("tokens")).alias("template"), F.first("of").alias("of")
+        F.flatten(F.collect_list(tokens)).alias("template"), F.first("of").alias("of")
     )
 
 
@@ -241,10 +280,15 @@ def main_text(html: str | None, template: set[int], of: int) -> str:
     """The main text of one page, given the template of its host."""
     _, blocks = parse(html)
     blocks = [b for b in blocks if b.inside != "outside"]
+    main = [b for b in blocks if b.inside == "main"]
     if of >= LEAST_PAGES:
-        blocks = [b for b in blocks if b.token not in template] or blocks
-    if any(b.inside == "main" for b in blocks):
-        blocks = [b for b in blocks if b.inside == "main"]
+        # Text of the template inside an article or main container may be an article that is on all pages.
+        varied = [b for b in blocks if b.token not in template]
+        if varied and all(b.token in template for b in main):
+            main = []
+            blocks = [b for b in blocks if b.inside == "main" or b.token not in template]
+    if main:
+        blocks = main
     else:
         # Blocks that are links are menus there.
         blocks = [b for b in blocks if b.link < LINKS * len(b.text)] or blocks
@@ -274,7 +318,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     )
     # Written first, so that Spark joins by its measured size: pages move only where it is large, and then
     # those of a hot host are split.
-    found = saved(templates(rows.withColumn("page", F.xxhash64("key", "url", "html"))), "templates")
+    found = saved(templates(rows), "templates")
 
     @F.pandas_udf("string")
     def text(html: pd.Series, template: pd.Series, of: pd.Series) -> pd.Series:

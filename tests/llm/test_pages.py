@@ -70,6 +70,48 @@ def test_copies_keep_their_text(spark):
     assert len(found) == 10 and {r.text for r in found} == {"the same"}
 
 
+def near_copies(box, n, copies):
+    """Pages of a host of which some differ in one paragraph only, and the texts to find."""
+    texts = []
+    for i in range(n):
+        if i < copies:
+            own = [f"shared paragraph {k} of the story" for k in range(6)] + [f"seen {i} times over by many readers"]
+        else:
+            own = [f"paragraph {k} of page {i} alone" for k in range(6)]
+        texts.append(own)
+    frame = "<html><body><div class=top><p>All about things</p></div>{}<div class=end><p>Made by us</p></div></body></html>"
+    start, end = box
+    htmls = [frame.format(start + "".join(f"<p>{p}</p>" for p in own) + end) for own in texts]
+    return htmls, ["\n\n".join(own) for own in texts]
+
+
+BOXES = [("<div class=text>", "</div>"), ("<article>", "</article>")]
+
+
+@pytest.mark.parametrize("box", BOXES)
+@pytest.mark.parametrize("n, copies", [(8, 5), (4, 2), (8, 1)])
+def test_near_copies_keep_their_text(spark, box, n, copies):
+    htmls, texts = near_copies(box, n, copies)
+    rows = [(i, f"http://a.example/{i}", page, "") for i, page in enumerate(htmls)]
+    found = {r.page_id: r.text for r in pages.extract(table(spark, rows)).collect()}
+    assert found == dict(enumerate(texts))
+
+
+def test_an_article_on_all_pages_keeps_its_text(spark):
+    htmls, texts = near_copies(BOXES[1], 8, 8)
+    rows = [(i, f"http://a.example/{i}", page, "") for i, page in enumerate(htmls)]
+    found = {r.page_id: r.text for r in pages.extract(table(spark, rows)).collect()}
+    assert found == dict(enumerate(texts))
+
+
+def test_copies_make_no_template(spark):
+    page = "<html><body><div class=text><p>one</p><p>two</p><p>three</p></div>{}</body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(""), "") for i in range(6)]
+    rows += [(9, "http://a.example/9", page.format("<div class=more><p>and something else</p></div>"), "")]
+    found = {r.page_id: r.text for r in pages.extract(table(spark, rows)).collect()}
+    assert all(t.startswith("one\n\ntwo\n\nthree") for t in found.values())
+
+
 def test_empty(spark):
     assert pages.extract(table(spark, [])).count() == 0
 
