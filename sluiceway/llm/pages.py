@@ -8,7 +8,8 @@ host, nested by their paths, are its template. What remains of a page are slots:
 blocks of text between template tokens, each under its innermost template container.
 
 From the slots the main text is taken: those inside an article or main container if there
-are any, else those whose text is a fair share of the fullest slot's. Menus, headers, footers, sidebars,
+are any, else all whose text varies over the pages of the host and is not links; lists, tables and
+quotes belong to the container around them, and a slot of any size counts. Menus, headers, footers, sidebars,
 notices, adverts, forms and comments are told by element, role, class and id. Text that
 itself belongs to the template is left out, unless it is inside an article or main container
 or nothing else would be left. Such text is on just the pages that the frame of the host is on,
@@ -46,9 +47,7 @@ LEAST_TOKENS = 3
 LEAST_SHARE = 0.5
 # Hosts of fewer pages have no text in their template.
 LEAST_PAGES = 4
-# Without an article, slots with this share of the fullest slot's text are main text.
-FAIR_SHARE = 0.25
-# And a block with this share of its text in links is a menu.
+# Without an article, a slot with this share of its text in links is a menu.
 LINKS = 0.8
 
 TAG = re.compile(
@@ -71,6 +70,9 @@ BLOCKS = CONTAINERS | {
     "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "caption", "pre", "hr", "address", "summary",
 }
 SPACED = {"br", "td", "th", "img", "wbr"}
+# Parts of the text of the container around them.
+NESTED = {"ul", "ol", "dl", "table", "figure", "figcaption", "blockquote", "details"}
+LISTS = {"ul", "ol", "dl"}
 VOID = {"br", "hr", "img", "wbr", "input", "meta", "link", "col", "area", "base", "embed", "source", "track"}
 MAIN = {"article", "main"}
 OUTSIDE = {
@@ -91,13 +93,14 @@ MAIN_NAMES = re.compile(
 
 @dataclass
 class Block:
-    """A run of text under the containers that are open there."""
+    """A run of text under the containers that are open there, of which nested ones are left out."""
 
-    path: tuple[int, ...]
+    path: tuple[tuple[int, int], ...]  # token and number of each container
     inside: str
     text: str
     link: int = 0
     token: int = 0
+    listed: bool = False
 
 
 def _token(*parts: object) -> int:
@@ -132,8 +135,8 @@ def parse(html: str | None) -> tuple[list[int], list[Block]]:
     """The container tokens of a page, and its blocks of text in order."""
     if not html:
         return [], []
-    # Open containers: name, token, what they say.
-    stack: list[tuple[str, int, str]] = []
+    # Open containers: name, token, what they say, number.
+    stack: list[tuple[str, int, str, int]] = []
     tokens, blocks, run = [], [], []
     link_chars = in_link = 0
 
@@ -143,14 +146,15 @@ def parse(html: str | None) -> tuple[list[int], list[Block]]:
         if text:
             inside = ""
             # The innermost container that says something decides; a header belongs to an article around it.
-            for name, _, kind in reversed(stack):
-                if name == "header" and kind == "outside" and any(k == "main" for _, _, k in stack):
+            for name, _, kind, _ in reversed(stack):
+                if name == "header" and kind == "outside" and any(k == "main" for _, _, k, _ in stack):
                     continue
                 if kind:
                     inside = kind
                     break
-            path = tuple(token for _, token, _ in stack)
-            blocks.append(Block(path, inside, text, link_chars, _text_token(path[-1] if path else 0, text)))
+            path = tuple((token, number) for name, token, _, number in stack if name not in NESTED)
+            token = _text_token(stack[-1][1] if stack else 0, text)
+            blocks.append(Block(path, inside, text, link_chars, token, any(name in LISTS for name, *_ in stack)))
         run.clear()
         link_chars = 0
 
@@ -195,8 +199,8 @@ def parse(html: str | None) -> tuple[list[int], list[Block]]:
             kind, names = _kind(name, found["rest"])
             # Numbers in names count pages, not kinds of containers.
             token = _token(stack[-1][1] if stack else 0, name, re.sub(r"\d+", "0", names))
-            stack.append((name, token, kind))
             tokens.append(token)
+            stack.append((name, token, kind, len(tokens)))
     close()
     return tokens, blocks
 
@@ -276,31 +280,45 @@ def templates(pages: DataFrame) -> DataFrame:
     )
 
 
+def _slot(block: Block, template: set[int]) -> int:
+    known = [number for token, number in block.path if token in template]
+    return known[-1] if known else block.path[-1][1] if block.path else 0
+
+
+def _links(*blocks: Block) -> bool:
+    return sum(b.link for b in blocks) >= LINKS * sum(len(b.text) for b in blocks)
+
+
+def _number(blocks: list[Block]) -> bool:
+    """Whether all there is is one number, which beside text of the template is a field of it."""
+    return len(blocks) == 1 and re.fullmatch(r"[^\w\s]*\d[\d\W]*", blocks[0].text) is not None and " " not in blocks[0].text
+
+
 def main_text(html: str | None, template: set[int], of: int) -> str:
     """The main text of one page, given the template of its host."""
     _, blocks = parse(html)
     blocks = [b for b in blocks if b.inside != "outside"]
     main = [b for b in blocks if b.inside == "main"]
+    # Slots that hold text of the template.
+    framed = set()
     if of >= LEAST_PAGES:
         # Text of the template inside an article or main container may be an article that is on all pages.
         varied = [b for b in blocks if b.token not in template]
+        framed = {_slot(b, template) for b in blocks if b.token in template}
         if varied and all(b.token in template for b in main):
-            main = []
-            blocks = [b for b in blocks if b.inside == "main" or b.token not in template]
+            main, blocks = [], [b for b in blocks if b.inside == "main" or b.token not in template]
     if main:
         blocks = main
     else:
-        # Blocks that are links are menus there.
-        blocks = [b for b in blocks if b.link < LINKS * len(b.text)] or blocks
+        # Where no template tells the menus, links in lists are menus.
+        if of < LEAST_PAGES:
+            blocks = [b for b in blocks if not b.listed or not _links(b)] or blocks
         # Slots by their innermost template container, or by their own where no template is known.
         slots: dict[int, list[Block]] = defaultdict(list)
         for block in blocks:
-            known = [token for token in block.path if token in template]
-            slots[known[-1] if known else block.path[-1] if block.path else 0].append(block)
-        full = {slot: sum(max(len(b.text) - b.link, 0) for b in own) for slot, own in slots.items()}
-        least = FAIR_SHARE * max(full.values(), default=0)
-        kept = {id(b) for slot, own in slots.items() if full[slot] >= least for b in own}
-        blocks = [b for b in blocks if id(b) in kept]
+            slots[_slot(block, template)].append(block)
+        kept = {id(b) for slot, own in slots.items() if not _links(*own) and not (slot in framed and _number(own)) for b in own}
+        blocks = [b for b in blocks if id(b) in kept] or blocks
     return "\n\n".join(b.text for b in blocks)
 
 

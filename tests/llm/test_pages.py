@@ -104,6 +104,28 @@ def test_an_article_on_all_pages_keeps_its_text(spark):
     assert found == dict(enumerate(texts))
 
 
+LONG = "a long paragraph of the body " * 70
+
+
+@pytest.mark.parametrize("short", ["<ul><li>one</li><li>two</li></ul>", "<table><tr><td>1</td></tr></table>", "<blockquote><p>so he said</p></blockquote>"])
+def test_short_parts_of_a_long_body_stay(short):
+    found = text(f"<body><ul><li><a href=/>Home</a></li></ul><div><p>{LONG}</p>{short}<p>end</p></div></body>")
+    assert found.split("\n\n") == [LONG.strip(), *filter(None, re.split(r"(?:<[^>]*>)+", short)), "end"]
+
+
+def test_short_slots_stay(spark):
+    page = (
+        "<html><body><div class=top><p>All about things</p></div><div class=lead><p>Lead {0}</p></div><div class=text>"
+        f"<p>{LONG} {{0}}</p><p><a>A paragraph that is a link {{0}}</a></p></div><div class=close><p>So ends {{0}}</p></div>"
+        "<div class=links><p><a>one {0}</a></p><p><a>two {0}</a></p></div></body></html>"
+    )
+    rows = [(i, f"http://a.example/{i}", page.format(f"no. {i}"), "") for i in range(8)]
+    for r in pages.extract(table(spark, rows)).collect():
+        i = r.page_id
+        want = [f"Lead no. {i}", f"{LONG} no. {i}".replace("  ", " "), f"A paragraph that is a link no. {i}", f"So ends no. {i}"]
+        assert r.text.split("\n\n") == want
+
+
 def test_copies_make_no_template(spark):
     page = "<html><body><div class=text><p>one</p><p>two</p><p>three</p></div>{}</body></html>"
     rows = [(i, f"http://a.example/{i}", page.format(""), "") for i in range(6)]
