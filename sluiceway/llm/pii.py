@@ -1,12 +1,13 @@
 """Personal data: identifiers by form, and more of them by bootstrapped context.
 
 Emails, network addresses, card and phone numbers have a form of their own and are found by
-pattern. They are the seeds: the words before them induce lexical patterns, and other words
-that look like identifiers are instances of the patterns they follow. Spark scores the graph
+pattern. They are the seeds: the words before them induce lexical patterns, and other words,
+or runs of words, that look like identifiers are instances of the patterns they follow. Spark scores the graph
 of patterns and instances in rounds. A pattern is worth the mean of its distinct
 instances, each instance as much as the best pattern it follows; seeds are worth 1.
 Patterns with enough different known instances and a high worth make their instances
-known for the next round. In the end all occurrences of known instances are spans.
+known for the next round. In the end all occurrences of known instances are spans. A short
+instance is one of its own for each pattern, so it is a span only where it follows a good one.
 
 All of this is DataFrame work on columns, without Python on the executors. Offsets count code
 points. Patterns are written so that a long run of digits or letters is read once:
@@ -47,13 +48,32 @@ SIGNS = {"email": "@", "ip": ".", "phone": "+"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 SPACE = r"\x20\x09-\x0D"
-# A word with a digit; its identifier starts and ends with a letter or digit.
-CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}]*[0-9][^{SPACE}]*+"
+# What may be an identifier; it starts and ends with a letter or digit. A run of up to ten groups, the first
+# of them short, like +44 2079460958 or GB82 WEST 1234 5698; a word with a digit; or a word without one that
+# holds @ or _, or is joined or long capitals, or changes between small letters and capitals twice.
+OPEN = rf"(?<![^{SPACE}])"
+OVER = rf"(?=[{SPACE},;:!?.'\"\]]|\Z)"
+FIRST = r"(?:(?=[+(]{0,2}[A-Z0-9]{1,5}\)?\x20)[+(]{0,2}[A-Z]{0,4}[0-9][A-Z0-9]*+\)?|[A-Z]{2}(?=\x20[0-9]{2}\x20[0-9]))"
+GROUP = rf"\x20(?:\(?[0-9](?:[A-Z0-9()-]|\.(?=[0-9]))*+|[A-Z]{{4}}(?=\x20[0-9])|[A-Z]){OVER}"
+MARK = rf"[^{SPACE}A-Za-z0-9]*+"
+SHAPES = [
+    rf"[^{SPACE}]*[A-Za-z][@_]+[A-Za-z]",
+    rf"{MARK}(?:[A-Z]++[-./:](?=[A-Z]))++[A-Z]++{MARK}(?![^{SPACE}])",
+    rf"{MARK}[A-Z]{{6,}}+{MARK}(?![^{SPACE}])",
+    rf"{MARK}[A-Za-z]*[a-z][A-Z][A-Za-z]*[a-z][A-Z]",
+]
+CANDIDATE = (
+    rf"{OPEN}(?:{FIRST}(?:{GROUP}){{1,9}}+[^{SPACE}]*+|[^{SPACE}]*[0-9][^{SPACE}]*+"
+    rf"|(?:{'|'.join(f'(?={shape})' for shape in SHAPES)})[^{SPACE}]++)"
+)
 CORE = r"[A-Za-z0-9](?:.*[A-Za-z0-9])?"
+# Shorter instances are known per pattern.
 LEAST_LENGTH = 6
 # Context of an identifier: words before it, out of so many characters.
 CONTEXT = 64
 CONTEXT_WORDS = (1, 2)
+# Matches before a match that hold so many words, whatever text is between.
+BACK = max(CONTEXT_WORDS) + 1
 
 ROUNDS = 3
 # A pattern counts with so many different known instances and this worth.
@@ -131,11 +151,33 @@ def spans_of(matches: Column, kind: str) -> Column:
     )
 
 
+def _context(matches: Column, at: Column, before: Column) -> Column:
+    """The words of the whole text before match ``at``: what is since the last match, and the matches before."""
+    parts = []
+    for back in range(BACK, 0, -1):
+        match = F.get(matches, at - back)
+        parts += [F.coalesce(match["before"], F.lit("")), F.coalesce(match["value"], F.lit(""))]
+    whole = F.when(F.length(before) < CONTEXT, F.right(F.concat(*parts, before), F.lit(CONTEXT))).otherwise(before)
+    opened = F.regexp_replace(whole, r"[(\[{<'\"]+$", "")
+    return F.lower(F.trim(F.regexp_replace(opened, rf"[{SPACE}]+", " ")))
+
+
+def _seeds(matches: Column, kind: str) -> Column:
+    """The valid matches of a kind as instances with the words before them."""
+    placed = F.transform(
+        matches, lambda m, i: F.struct(m["value"].alias("value"), m["before"].alias("before"), i.alias("at"))
+    )
+    return F.transform(
+        F.filter(placed, lambda m: _valid(kind, m["value"])),
+        lambda m: F.struct(m["value"].alias("instance"), _context(matches, m["at"], m["before"]).alias("before")),
+    )
+
+
 def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """By form alone: ``key``, ``spans`` by kind and start, and ``candidates`` for the contexts.
+    """By form alone: ``key``, ``spans`` by kind and start, and ``seeds`` and ``candidates`` for the contexts.
 
-    A candidate has its ``start`` and ``end``, the ``instance`` (the identifier itself), the words
-    ``before`` it, and ``seed``: whether it overlaps a span. With ``carry`` the whole row goes along as ``doc``.
+    A seed is the ``instance`` of a span and the words ``before`` it. A candidate, which overlaps no span, has
+    these and its ``start`` and ``end``. With ``carry`` the whole row goes along as ``doc``.
     """
     kept = ["key", "doc"] if carry else ["key"]
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
@@ -151,17 +193,18 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
         *kept, *[m.alias(kind) for kind, m in matches.items()], _some(own, CANDIDATE).alias("words")
     )
     spans = F.concat(*[spans_of(F.col(kind), kind) for kind in FORMS])
+    seeds = F.concat(*[_seeds(F.col(kind), kind) for kind in FORMS])
     words = F.transform(
         "words",
-        lambda w: F.struct(
+        lambda w, i: F.struct(
             w["start"].alias("start"),
             w["value"].alias("value"),
             F.regexp_extract(w["value"], CORE, 0).alias("instance"),
-            F.lower(F.trim(F.regexp_replace(w["before"], rf"[{SPACE}]+", " "))).alias("before"),
+            _context(F.col("words"), i, w["before"]).alias("before"),
         ),
     )
-    words = F.filter(words, lambda w: F.length(w["instance"]) >= LEAST_LENGTH)
-    docs = docs.select(*kept, spans.alias("spans"), words.alias("words"))
+    words = F.filter(words, lambda w: w["instance"] != "")
+    docs = docs.select(*kept, spans.alias("spans"), seeds.alias("seeds"), words.alias("words"))
 
     def placed(w: Column) -> Column:
         start = w["start"] + F.position(w["instance"], w["value"]) - 1
@@ -171,20 +214,41 @@ def identifiers(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
             end.cast("int").alias("end"),
             w["instance"].alias("instance"),
             w["before"].alias("before"),
-            F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > start)).alias("seed"),
         )
 
-    return docs.select(*kept, "spans", F.transform("words", placed).alias("candidates"))
+    free = F.filter(
+        F.transform("words", placed),
+        lambda c: ~F.exists("spans", lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"])),
+    )
+    return docs.select(*kept, "spans", "seeds", free.alias("candidates"))
+
+
+def _nodes(c: Column) -> Column:
+    """The patterns that ``c`` follows, each with the instance that ``c`` is there."""
+    words = F.split(c["before"], " ")
+    patterns = F.array(
+        *[F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " ")) for n in CONTEXT_WORDS]
+    )
+    patterns = F.filter(patterns, lambda p: p.isNotNull() & (p != ""))
+    short = F.length(c["instance"]) < LEAST_LENGTH
+    return F.transform(
+        patterns,
+        lambda p: F.struct(
+            p.alias("pattern"), F.when(short, F.concat(p, F.lit("\n"), c["instance"])).otherwise(c["instance"]).alias("instance")
+        ),
+    )
 
 
 def graph(found: DataFrame) -> DataFrame:
     """Edges between ``pattern`` (the words before) and ``instance``, and whether that is a ``seed``."""
-    words = F.split("c.before", " ")
-    before = [
-        F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " ")) for n in CONTEXT_WORDS
-    ]
-    edges = found.select(F.explode("candidates").alias("c")).filter("c.before <> ''")
-    edges = edges.select(F.explode(F.array_compact(F.array(*before))).alias("pattern"), "c.instance", "c.seed")
+
+    def all_of(column: str, seed: bool) -> Column:
+        return F.transform(
+            column, lambda c: F.struct(c["instance"].alias("instance"), c["before"].alias("before"), F.lit(seed).alias("seed"))
+        )
+
+    edges = found.select(F.explode(F.concat(all_of("seeds", True), all_of("candidates", False))).alias("c"))
+    edges = edges.select("c.seed", F.explode(_nodes(F.col("c"))).alias("node")).select("node.*", "seed")
     return edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"))
 
 
@@ -208,12 +272,14 @@ def _all_spans(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
     found = identifiers(docs, key, text, carry).withColumn("row", F.monotonically_increasing_id())
     found = saved(found, "identifiers")
     known = bootstrap(saved(graph(found), "graph"))
-    # Seeds have their spans already.
-    new = found.select("row", F.explode("candidates").alias("c")).filter("NOT c.seed")
-    new = new.select("row", "c.instance", "c.start", "c.end").join(known, "instance")
+    # Long instances are known wherever they are, short ones by the patterns that they follow.
+    new = found.select("row", F.explode("candidates").alias("c"))
+    own = F.when(F.length("c.instance") < LEAST_LENGTH, F.transform(_nodes(F.col("c")), lambda node: node["instance"]))
+    new = new.select("row", "c.start", "c.end", F.explode(own.otherwise(F.array("c.instance"))).alias("instance"))
+    new = new.join(known, "instance")
     span = F.struct(F.lit("id").alias("kind"), "start", "end")
     # Written first: discoveries are few, and where Spark sees their size it need not move all rows to join them.
-    new = saved(new.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("new")), "discovered")
+    new = saved(new.groupBy("row").agg(F.sort_array(F.collect_set(span)).alias("new")), "discovered")
     spans = F.concat("spans", F.coalesce("new", F.array().cast(f"array<{SPAN}>")))
     return found.join(new, "row", "left").withColumn("all", spans)
 

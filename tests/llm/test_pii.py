@@ -60,6 +60,32 @@ def test_context_discovers_other_identifiers(docs):
     assert all(found[i] == [("card", 24, 40)] for i in range(20))
 
 
+def discovered(rows):
+    return {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "id"] for r in rows if r.spans}
+
+
+def test_digit_free_emails_are_seeds(docs):
+    rows = [(i, f"please contact ({a}{b}@example.com) or her") for i, (a, b) in enumerate((a, b) for a in "abcde" for b in "xyz")]
+    rows += [(100, "or contact jane@localhost today"), (101, "they contact XK-QP-RS today"), (102, "then contact AB12, or"), (103, "in room AB12 now")]
+    table = docs(*rows)
+    found = discovered(pii.personal_data(table).join(table, "doc_id").collect())
+    assert found[100] == ["jane@localhost"] and found[101] == ["XK-QP-RS"] and found[102] == ["AB12"]
+    # A short one is known only after the pattern.
+    assert 103 not in found and all(not found[i] for i in range(15))
+
+
+def test_spaced_cards_and_phones_are_seeds(docs):
+    cards = [n for n in range(4111111111110000, 4111111111110200) if luhn(str(n))]
+    rows = [(i, "on card number " + " ".join(re.findall("....", str(n))) + " there") for i, n in enumerate(cards)]
+    rows += [(100 + i, f"call me at +44 20794609{i} today") for i in range(10, 20)]
+    rows += [(200, "the card number 4111 1111 1111 1112 was wrong"), (201, "call me at (555) 123-4567, please")]
+    rows += [(202, "seat 12 is 3rd, card number GB82 WEST 1234 5698 7654 32.")]
+    table = docs(*rows)
+    found = discovered(pii.personal_data(table).join(table, "doc_id").collect())
+    assert found[200] == ["4111 1111 1111 1112"] and found[201] == ["555) 123-4567"]
+    assert found[202] == ["GB82 WEST 1234 5698 7654 32"]
+
+
 def test_weak_patterns_discover_nothing(docs):
     rows = [(i, f"to 10.0.0.{i} from") for i in range(6)] + [(10 + i, f"to item{i}0000 from") for i in range(9)]
     found = pii.personal_data(docs(*rows)).collect()
