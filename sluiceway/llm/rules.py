@@ -63,11 +63,13 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
     docs = docs.select(
         F.col(f"`{key}`").alias("key"),
-        F.btrim(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(SPACES)).alias("text"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
         *row,
     )
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
-    words = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", SPACE))
+    # Only the words are of the trimmed text: white space at its ends belongs to its first and last line.
+    trimmed = F.btrim("text", F.lit(SPACES))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
     counted = docs.select(
         *kept,
         _count_of(r"#*$%&|<>").alias("n_symbols"),

@@ -130,6 +130,16 @@ def test_statistics(docs):
     assert [found[i] for i in range(len(texts))] == [plain(t) for t in texts]
 
 
+@pytest.mark.parametrize(
+    "text, lines",
+    [("foo\r\nbar\r\nfoo\r\n", 1), (" foo\nbar\n foo", 1), ("foo\nfoo ", 0), ("\n\nfoo\nfoo\n\n", 1)],
+)
+def test_lines_are_whole(docs, text, lines):
+    (row,) = rules.statistics(docs((1, text))).collect()
+    assert row.n_dup_lines == lines
+    assert tuple(row[c] for c in rules.BASE) == plain(text)
+
+
 def test_rules_are_learned_in_order(docs, spark):
     rng = np.random.default_rng(3)
 
