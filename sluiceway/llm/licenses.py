@@ -16,7 +16,7 @@ difference. Each row is scanned on its own, whatever its id; other columns are n
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +28,8 @@ COVERAGE = 0.8
 # How much longer than the template a match may be.
 SLACK = 1.5
 SLACK_WORDS = 6
+# Templates of so many words are aligned with windows of every length.
+SHORT = 16
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -174,33 +176,46 @@ class Scanner:
         """First and last word and coverage of each match of one template."""
         hits = [i for i, word in enumerate(words) if word in counts]
         length = int(SLACK * len(own)) + SLACK_WORDS
+        # A window may hold more than one copy, so shorter ones are aligned too; of few words, all.
+        lengths = range(len(own) - 2, length + 1) if len(own) <= SHORT else (len(own), length)
         window: Counter = Counter()
         enough = self.coverage * len(own)
         # Words of the template that the window holds, each as often as in the template at most.
-        held, end, done = 0, 0, -1
-        # A stray word may open a window too early, so the best of the next starts counts.
-        best, until = None, 0
-        for hit in hits:
-            if best and (hit > until or best[2] == 1):
-                done = best[1]
+        held, at, end = 0, 0, 0
+        # A stray word may open a window too early, so the best of the starts inside a match counts.
+        best, fit = None, 0.0
+        while at < len(hits) or best:
+            if best and (at == len(hits) or hits[at] > best[1] or fit == 1):
                 yield best
-                best = None
+                # Back to the first word behind the match.
+                at = end = bisect_right(hits, best[1])
+                best, fit, held = None, 0.0, 0
+                window.clear()
+                continue
+            hit = hits[at]
             while end < len(hits) and hits[end] < hit + length:
                 word = words[hits[end]]
                 window[word] += 1
                 held += window[word] <= counts[word]
                 end += 1
-            if held >= enough and hit > done:
-                aligned = align(words[hit : hit + length], own)
-                share = len(aligned) / len(own)
-                if share >= self.coverage and (best is None or share > best[2]):
-                    until = hit + length if best is None else until
-                    best = (hit + aligned[0][0], hit + aligned[-1][0], share)
+            if held >= enough:
+                found, own_fit = None, 0.0
+                for n in lengths:
+                    aligned = align(words[hit : hit + n], own)
+                    share = len(aligned) / len(own)
+                    if share >= self.coverage:
+                        first, last = hit + aligned[0][0], hit + aligned[-1][0]
+                        # Words between count against a match, so that it does not reach into the next copy.
+                        close = 2 * len(aligned) / (len(own) + last - first + 1)
+                        if close > own_fit:
+                            found, own_fit = (first, last, share), close
+                # Another copy may overlap the end of a match; it is found when that is done.
+                if found and own_fit > fit and (not best or 2 * (best[1] - found[0] + 1) > len(own)):
+                    best, fit = found, own_fit
             word = words[hit]
             held -= window[word] <= counts[word]
             window[word] -= 1
-        if best:
-            yield best
+            at += 1
 
 
 def licenses(

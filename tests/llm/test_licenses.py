@@ -59,6 +59,18 @@ def test_several_licenses(scanner):
     assert scanner.scan(stray)[0][1:] == (13, len(stray), 1.0)
 
 
+@pytest.mark.parametrize(
+    "name, old, new", [("MIT notice", "the", "an"), ("MIT", "copyright", "author"), ("ISC", "and", "or"), ("MIT", "Software", "work")]
+)
+def test_changed_copies_in_a_row(scanner, name, old, new):
+    whole = licenses.TEMPLATES[name].strip()
+    changed = whole.replace(old, new, 1)
+    assert changed != whole
+    for copies in ([changed] * 2, [changed] * 40, [changed, whole] * 10, [whole, changed] * 10):
+        found = scanner.scan(".\n".join(copies))
+        assert [m[0] for m in found] == [name] * len(copies)
+
+
 @pytest.mark.parametrize("text", [None, "", "the of and license " * 3000, "under the license", "x" * 100_000])
 def test_no_license(scanner, text):
     assert scanner.scan(text) == []
