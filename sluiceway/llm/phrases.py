@@ -46,8 +46,8 @@ COVERED = 80
 SCALE = 2_000_000
 
 # Bytes of text that a task takes up at once, suffixes that a route is meant to hold, and records in a row.
-CHUNK = 12 << 20
-ROUTE = 2_000_000
+CHUNK = 6 << 20
+ROUTE = 1_000_000
 BLOCK = 1 << 16
 # No more than so many pairs, and threes, can each begin more than this part of all suffixes.
 HOT = 1 << 18
@@ -236,12 +236,8 @@ def _counts(kind: int, words: Words, lang: np.ndarray, n: np.ndarray, word=None,
 # --- the second pass: suffixes to routes ---------------------------------------------------------
 
 
-def _names(depth: int) -> list[str]:
-    return [f"w{i}" for i in range(depth + 1)]
-
-
 def _routed(words: Words, depth: int, routes: int, hot: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Blocks of suffixes of one route and level: the texts they use, columns of numbers of these, counts."""
+    """Blocks of suffixes of one route and level: the texts they use, the suffixes as numbers of these, their counts."""
     suffixes = suffixes_of(words, depth)
     # A single word at the end of its piece begins no phrase.
     two = suffixes.columns[2] != END
@@ -275,20 +271,25 @@ def _routed(words: Words, depth: int, routes: int, hot: dict[int, np.ndarray]) -
                 used[column[rows]] = True
             used = np.flatnonzero(used[:-1])
             number[used] = np.arange(len(used), dtype=np.int32)
+            lists = [texts.take(pa.array(used)), *[pa.array(number[column[rows]]) for column in columns]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([place[low] % routes], pa.int32()),
                     pa.array([place[low] // routes], pa.int32()),
-                    _one_list(texts.take(pa.array(used)).cast(pa.string())),
-                    *[_one_list(pa.array(number[column[rows]])) for column in columns],
-                    _one_list(pa.array(count[rows])),
+                    pa.array([_packed([*lists, pa.array(count[rows])])], pa.binary()),
                 ],
-                names=["route", "level", "texts", *_names(len(columns) - 1), "n"],
+                names=["route", "level", "block"],
             )
 
 
-def _one_list(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _packed(lists: list[pa.Array]) -> bytes:
+    """Lists as the columns of one row, compressed: numbers of texts take two bytes or less."""
+    one = [pa.LargeListArray.from_arrays(pa.array([0, len(values)], pa.int64()), values) for values in lists]
+    batch = pa.RecordBatch.from_arrays(one, names=[str(i) for i in range(len(one))])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 # --- on a route ------------------------------------------------------------------------------------
@@ -341,24 +342,21 @@ _FOUND = "lang string, phrase string, words int, a bigint"
 def _phrases(table: pa.Table, least: int) -> pa.Table:
     """The frequent phrases of a route; on a level above 0 also what its common leading words count here."""
     level = table.column("level")[0].as_py()
-    columns = [c for c in table.column_names if re.fullmatch(r"w\d+", c)]
-    blocks = table.column("texts").combine_chunks()
-    coded = blocks.flatten().dictionary_encode()
+    batches = [pa.ipc.open_stream(block.as_buffer()).read_next_batch() for block in table.column("block")]
+    blocks, *columns, counts = pa.Table.from_batches(batches).combine_chunks().columns
+    coded = blocks.combine_chunks().flatten().dictionary_encode()
     texts, number = coded.dictionary, coded.indices.to_numpy()
+    # Numbers of a block count its own texts; behind those of the blocks before they count all.
     before = np.concatenate(([0], np.cumsum(pc.list_value_length(blocks).to_numpy())[:-1]))
-    lists = [table.column(c).combine_chunks() for c in columns]
-    base = np.repeat(before, pc.list_value_length(lists[0]).to_numpy())
+    base = np.repeat(before, pc.list_value_length(counts).to_numpy())
     keys = []
-    for values in lists:
-        own = values.flatten().to_numpy()
-        keys.append(np.where(own == END, END, number[np.where(own == END, 0, own + base)]).astype(np.int64))
-    weight = table.column("n").combine_chunks().flatten().to_numpy()
+    for column in columns:
+        own = column.combine_chunks().flatten().to_numpy()
+        keys.append(np.where(own == END, END, number[np.where(own == END, 0, own + base)]).astype(np.int32))
+    weight = counts.combine_chunks().flatten().to_numpy()
     # Leading words that other routes count too: here any count is part of theirs.
     floor = [1 if level and n < level + 2 else least for n in range(len(keys))]
-    found = [x for x in zip(*equal_parts(keys, weight, floor))]
-    if not found:
-        return _found(texts, keys, *[np.array([], np.int64)] * 3)
-    return _found(texts, keys, *[np.concatenate(x) for x in found])
+    return _found(texts, keys, *[np.concatenate(x) for x in zip(*equal_parts(keys, weight, floor))])
 
 
 def _found(
@@ -368,11 +366,11 @@ def _found(
     pointer, depth, total = pointer[phrase], depth[phrase], total[phrase]
     words = []
     for n, column in enumerate(keys[1:], start=2):
-        words.append(texts.take(pa.array(column[pointer], mask=depth < n)))
+        words.append(texts.take(pa.array(column[pointer], mask=depth < n)).cast(pa.string()))
     joined = pc.binary_join_element_wise(*words, " ", null_handling="skip")
     return pa.table(
         {
-            "lang": texts.take(pa.array(keys[0][pointer])),
+            "lang": texts.take(pa.array(keys[0][pointer])).cast(pa.string()),
             "phrase": joined,
             "words": pa.array(depth - 1, pa.int32()),
             "a": pa.array(total, pa.int64()),
@@ -418,8 +416,7 @@ def count_phrases(
         for words in _chunks(batches, CHUNK, depth):
             yield from _routed(words, depth, routes, hot)
 
-    lists = ", ".join(f"{name} array<int>" for name in _names(depth))
-    blocks = texts.mapInArrow(send, f"route int, level int, texts array<string>, {lists}, n array<bigint>")
+    blocks = texts.mapInArrow(send, "route int, level int, block binary")
     found = blocks.groupBy("route", "level").applyInArrow(lambda table: _phrases(table, least), _FOUND)
     # Only phrases with common leading words come from more than one route.
     phrases = found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
