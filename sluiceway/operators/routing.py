@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.config import Output, Route, routes_table
+from sluiceway.operators import name_index
+
+# Lists of more patterns are looked up by event name; shorter ones are tested inside the row.
+SHORT = 16
 
 BAD_TARGET = "target must be written as database/table"
 
@@ -72,29 +76,57 @@ def _resolved(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFra
     return parse_target(routes_table(events.sparkSession, routes, stopped))
 
 
-def _on_name(events: DataFrame, routes: DataFrame, how: str) -> DataFrame:
-    return events.join(routes, events["event_name"] == routes["event_name_match"], how)
+def _on_name(events: DataFrame, routes: DataFrame, name: str = "event_name_match") -> DataFrame:
+    """Events with the columns of each route of their name; these replace columns of the same names."""
+    new = [c for c in routes.columns if c != name]
+    kept = [F.col(f"e.`{c}`") for c in events.columns if c not in new]
+    joined = events.alias("e").join(routes.alias("r"), F.col("e.event_name") == F.col(f"r.{name}"))
+    return joined.select(*kept, *[F.col(f"r.`{c}`") for c in new])
 
 
 def route_exact(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
-    """Events under each (database, table) they are delivered to, one row per route."""
+    """Events under each (database, table) they are delivered to, one row per route.
+
+    By name alone: ``*`` and ``%E`` are plain text here; ``route`` takes them as patterns. The columns
+    ``route_no``, ``target``, ``database`` and ``table`` replace any of the events'.
+    """
     good = _resolved(events, routes).filter(F.col("error_code").isNull() & ~F.col("stopped"))
-    return _on_name(events, good, "inner").drop(
-        "event_name_match", "error_code", "error_message", "stopped"
-    )
+    return _on_name(events, good.drop("error_code", "error_message", "stopped"))
 
 
 def route_errors(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
-    """The quarantine: events at a bad route, and those stopped behind it."""
-    bad = _resolved(events, routes).filter(F.col("error_code").isNotNull() | F.col("stopped"))
-    return _on_name(events, bad, "inner").drop("event_name_match", "database", "table")
+    """The quarantine: events at a bad route, and those stopped behind it; routes may hold patterns."""
+    if isinstance(routes, DataFrame) or has_patterns(routes):
+        bad, name = _resolved_by_name(events, routes), "event_name"
+    else:
+        bad, name = _resolved(events, routes), "event_name_match"
+    bad = bad.filter(F.col("error_code").isNotNull() | F.col("stopped"))
+    return _on_name(events, bad.drop("database", "table"), name)
 
 
-def _route_names(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
+def _as_table(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
     if isinstance(routes, DataFrame):
-        return routes.select("event_name_match").distinct()
-    names = {r.event_name_match: r for r in routes}
-    return routes_table(events.sparkSession, list(names.values())).select("event_name_match")
+        return routes.select("route_no", "event_name_match", "target")
+    return routes_table(events.sparkSession, routes)
+
+
+def _fitting(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
+    """Every name that occurs, with each route that fits it."""
+    names = events.select("event_name").filter("event_name IS NOT NULL").distinct()
+    local = not isinstance(routes, DataFrame)
+    if not local:
+        # Names are short, and each of them looks up many keys: more tasks than their bytes ask for.
+        names = names.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "event_name")
+    return name_index.fitting(names, "event_name", _as_table(events, routes), "event_name_match", local)
+
+
+def _resolved_by_name(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
+    """Parsed routes per event name, by patterns, with ``%E`` filled in and ``stopped`` behind the first bad one."""
+    fits = _fitting(events, routes).drop("event_name_match")
+    parsed = parse_target(fits.withColumn("target", F.expr("replace(target, '%E', event_name)")))
+    # One window, so that the index is searched once; it holds the routes of one name, and sorts on disk if they are many.
+    first_bad = F.expr("min(CASE WHEN error_code IS NOT NULL THEN route_no END) OVER (PARTITION BY event_name)")
+    return parsed.withColumn("stopped", F.coalesce(F.col("route_no") > first_bad, F.lit(False)))
 
 
 def has_patterns(routes: Sequence[Route]) -> bool:
@@ -108,18 +140,36 @@ def _fits_any(routes: Sequence[Route]) -> Column:
     return F.coalesce(reduce(or_, fits, F.col("event_name").isin(named)), F.lit(False))
 
 
+def _route_names(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
+    """The names that have a route."""
+    if isinstance(routes, DataFrame) or has_patterns(routes):
+        return _fitting(events, routes).select("event_name").distinct()
+    names = {r.event_name_match: r for r in routes}
+    table = routes_table(events.sparkSession, list(names.values()))
+    return table.select(F.col("event_name_match").alias("event_name"))
+
+
 def routed(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
-    """Events that have a route, each once; a route list may hold patterns."""
-    if not isinstance(routes, DataFrame) and has_patterns(routes):
+    """Events that have a route, each once; routes may hold patterns."""
+    if _is_short(routes) and has_patterns(routes):
         return events.filter(_fits_any(routes))
-    return _on_name(events, _route_names(events, routes), "left_semi")
+    return events.join(_route_names(events, routes), "event_name", "left_semi").select(*_columns(events))
 
 
 def unrouted(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
-    """Events that have none; a route list may hold patterns."""
-    if not isinstance(routes, DataFrame) and has_patterns(routes):
+    """Events that have none, those without a name among them; routes may hold patterns."""
+    if _is_short(routes) and has_patterns(routes):
         return events.filter(~_fits_any(routes))
-    return _on_name(events, _route_names(events, routes), "left_anti")
+    return events.join(_route_names(events, routes), "event_name", "left_anti").select(*_columns(events))
+
+
+def _columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def _is_short(routes: Sequence[Route] | DataFrame) -> bool:
+    """Whether routes are a list that is tested inside the row, which reads the events once only."""
+    return not isinstance(routes, DataFrame) and len(routes) <= SHORT
 
 
 def like_pattern(match: str) -> str:
@@ -179,19 +229,31 @@ def _each_match(df: DataFrame, routes: Sequence[Route]) -> DataFrame:
     return out.filter(F.col("route_no") <= F.coalesce(first_bad, F.lit(2**31 - 1)))
 
 
-def route_template(events: DataFrame, routes: Sequence[Route]) -> DataFrame:
+def route_template(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
     """Events under each target of a route whose ``*`` pattern fits, with ``%E`` filled in.
 
-    The list, however long, is tested inside the row, so this reads its input once and
-    neither joins nor shuffles.
+    A list of up to ``SHORT`` routes is tested inside the row, so this reads its input once and neither joins
+    nor shuffles. A longer list, or a table of routes, is looked up once per event name and joined
+    back by name; that reads the names of the events before. The columns ``route_no``, ``target``, ``database`` and
+    ``table`` replace any of the events'; events without a name fit nothing.
     """
-    hits = parse_target(_each_match(events, sorted(routes, key=lambda r: r.route_no)))
-    return hits.filter(F.col("error_code").isNull()).drop("error_code", "error_message")
+    if _is_short(routes):
+        rest = events.drop("route_no", "target", "database", "table")
+        hits = _each_match(rest, sorted(routes, key=lambda r: r.route_no))
+        parts = _parts(F.col("target"))
+        return hits.filter(~_is_bad(F.col("target"))).withColumns({"database": parts[0], "table": parts[1]})
+    good = _resolved_by_name(events, routes).filter(F.col("error_code").isNull() & ~F.col("stopped"))
+    return _on_name(events, good.drop("error_code", "error_message", "stopped"), "event_name")
+
+
+def reads_twice(routes: Sequence[Route] | DataFrame) -> bool:
+    """Whether ``route`` goes over the events more than once."""
+    return not _is_short(routes) and (isinstance(routes, DataFrame) or has_patterns(routes))
 
 
-def route(events: DataFrame, routes: Sequence[Route]) -> DataFrame:
-    """Events under each of their targets, by names, or by patterns where there are any."""
-    if has_patterns(routes):
+def route(events: DataFrame, routes: Sequence[Route] | DataFrame) -> DataFrame:
+    """Events under each of their targets, by names, or by patterns where there are any, or may be in a table."""
+    if isinstance(routes, DataFrame) or has_patterns(routes):
         return route_template(events, routes)
     return route_exact(events, routes)
 

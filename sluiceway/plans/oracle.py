@@ -97,6 +97,16 @@ LETTERS = ", ".join(f"({i}, '{letter}')" for i, letter in enumerate("abcdefghijk
 _SHOP = """FROM env JOIN good ON event_name = name"""
 
 
+ORDER_PATTERNS = """r AS (SELECT n, c_custkey * 3 + n AS route_no, CASE n WHEN 1 THEN 'order.' || c_custkey || '.%'
+              WHEN 2 THEN '%' || c_custkey || '.F' ELSE '%.' || c_custkey || '.%' END AS pattern,
+              CASE n WHEN 1 THEN 'nation' || c_nationkey || '/%E' WHEN 3 THEN '%E/' || c_custkey
+                ELSE CASE WHEN c_nationkey = 1 THEN 'x/y/z' ELSE 'late/' || c_custkey END END AS target
+              FROM customer, (VALUES (1), (2), (3)) AS v(n)
+              WHERE n = 1 OR (n = 2 AND c_nationkey < 5) OR (n = 3 AND c_nationkey > 20)),
+            o AS (SELECT o_orderkey, 'order.' || o_custkey || '.' || o_orderstatus AS name FROM orders),
+            names AS (SELECT DISTINCT name FROM o)"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "scan_lines": f"""WITH {LINES}, {OFFSETS}
@@ -211,6 +221,15 @@ def all_sql() -> dict[str, str]:
               FROM customer, (VALUES (0), (1), (2)) AS v(n) WHERE c_nationkey >= 5 OR n = 0)
             SELECT o_orderkey, route_no, db AS "database", tab AS "table"
             FROM orders JOIN r ON name = 'customer.' || o_custkey""",
+        "route_patterns": f"""WITH {ORDER_PATTERNS}, hits AS (SELECT name, route_no, replace(target, '%E', name) AS target
+              FROM names JOIN r ON name LIKE pattern),
+            b AS (SELECT name, min(route_no) AS first_bad FROM hits WHERE len(string_split(target, '/')) <> 2 GROUP BY name),
+            good AS (SELECT hits.* FROM hits LEFT JOIN b USING (name) WHERE first_bad IS NULL OR route_no < first_bad)
+            SELECT o_orderkey, route_no, target, split_part(target, '/', 1) AS "database",
+              split_part(target, '/', 2) AS "table" FROM o JOIN good USING (name)""",
+        "unrouted_patterns": f"""WITH {ORDER_PATTERNS}
+            SELECT o_orderkey, name AS event_name FROM o WHERE NOT EXISTS (SELECT 1 FROM r
+              WHERE n <> 1 AND o.name LIKE r.pattern)""",
         "routed": f"""SELECT event_id, event_type AS event_name FROM events
             WHERE event_type IN (SELECT name FROM {ROUTES})""",
         "unrouted": f"""SELECT event_id, event_type AS event_name FROM events

@@ -294,6 +294,37 @@ def route_table(spark: SparkSession, folder: str) -> DataFrame:
     return routing.route_exact(orders, routes).drop("target", "event_name")
 
 
+def _order_patterns(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as events by customer and status, and a table of route patterns that grows with the customers."""
+    name = F.concat(F.lit("order."), "o_custkey", F.lit("."), "o_orderstatus")
+    orders = t.table(spark, folder, "orders").select("o_orderkey", name.alias("event_name"))
+    nation = F.col("c_nationkey")
+
+    def entry(no: int, match: F.Column, target: F.Column):
+        return F.struct(
+            (F.col("c_custkey") * 3 + no).alias("route_no"), match.alias("event_name_match"), target.alias("target")
+        )
+
+    begins = entry(1, F.concat(F.lit("order."), "c_custkey", F.lit(".*")), F.concat(F.lit("nation"), nation, F.lit("/%E")))
+    late = F.when(nation == 1, F.lit("x/y/z")).otherwise(F.concat(F.lit("late/"), "c_custkey"))
+    ends = entry(2, F.concat(F.lit("*"), "c_custkey", F.lit(".F")), late)
+    holds = entry(3, F.concat(F.lit("*."), "c_custkey", F.lit(".*")), F.concat(F.lit("%E/"), "c_custkey"))
+    listed = F.array_compact(F.array(begins, F.when(nation < 5, ends), F.when(nation > 20, holds)))
+    return orders, t.table(spark, folder, "customer").select(F.inline(listed))
+
+
+@query
+def route_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    orders, routes = _order_patterns(spark, folder)
+    return routing.route(orders, routes).drop("event_name")
+
+
+@query
+def unrouted_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    orders, routes = _order_patterns(spark, folder)
+    return routing.unrouted(orders, routes.filter(~F.col("event_name_match").startswith("order.")))
+
+
 @query
 def routed(spark: SparkSession, folder: str) -> DataFrame:
     return routing.routed(t.envelopes(spark, folder), t.ROUTES).select("event_id", "event_name")

@@ -110,7 +110,8 @@ def test_wildcards_against_brute_force(spark, length):
     ]
     got = routing.route_template(events(spark, *names), routes)
     assert got.columns == ["event_id", "event_name", "event_data", "route_no", "target", "database", "table"]
-    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    # Short lists are tested inside the row, longer ones looked up by name.
+    assert ("Join" in got._jdf.queryExecution().executedPlan().toString()) == (length > routing.SHORT)
     rows = [(r.event_id, r.route_no, r.database, r.table) for r in got.collect()]
     assert len(rows) == len(set(rows))
     assert set(rows) == brute_template(names, routes)
@@ -265,3 +266,98 @@ def test_line_files(spark, tmp_path):
     sinks.write_lines(events(spark, "a", "b"), str(tmp_path / "out"))
     got = {r.value for r in spark.read.text(str(tmp_path / "out")).collect()}
     assert got == {'{"i":0}', '{"i":1}'}
+
+
+# --- the index of patterns -----------------------------------------------------------------
+
+
+def _delivered(names, routes):
+    """What routing by patterns gives, tested pair by pair."""
+    out = []
+    for i, name in enumerate(names):
+        if name is None:
+            continue
+        for r in sorted(routes, key=lambda r: r.route_no):
+            pattern = ".*".join(re.escape(p) for p in r.event_name_match.split("*"))
+            if re.fullmatch(pattern, name, re.S):
+                target = r.target.replace("%E", name)
+                if target.count("/") != 1:
+                    break
+                out.append((i, r.route_no, *target.split("/")))
+    return sorted(out)
+
+
+def _pattern_routes(many, seed):
+    pick = random.Random(seed)
+    out = []
+    for no in range(1, many + 1):
+        match = "".join(pick.choice("aab.%_\\*é") for _ in range(pick.randrange(0, 7)))
+        target = pick.choice(["d/t", "d/%E", "%E/x", "d/t"] if pick.random() < 0.97 else ["bad", "a/b/c", "%E"])
+        out.append(Route(no, match, target))
+    return out
+
+
+NAMES = [None, "", "a", "aa", "ab", "a.b", "a%b", "a_b", "a\\b", "b/a", "a\nb", "aaaa.bbbb", "é", "aé.b", "x" * 400 + "a"]
+
+
+@pytest.mark.parametrize("kind", ["list", "table"])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_many_patterns_against_every_pair(spark, kind, seed):
+    pick = random.Random(seed)
+    names = NAMES + ["".join(pick.choice("aab.%_\\é") for _ in range(pick.randrange(9))) for _ in range(80)]
+    given = [*_pattern_routes(300, seed), Route(301, "*", "all/%E"), Route(302, "x" * 300 + "*", "long/name")]
+    routes = config.routes_table(spark, given) if kind == "table" else given
+    frame = events(spark, *names)
+    got = sorted((r.event_id, r.route_no, r.database, r.table) for r in routing.route(frame, routes).collect())
+    assert got == _delivered(names, given)
+    bare = [r for r in given if r.event_name_match.strip("*")]
+    routes = config.routes_table(spark, bare) if kind == "table" else bare
+    fits = [re.compile(".*".join(re.escape(p) for p in r.event_name_match.split("*")), re.S) for r in bare]
+    wanted = {i for i, n in enumerate(names) if n is not None and any(f.fullmatch(n) for f in fits)}
+    assert {r.event_id for r in routing.routed(frame, routes).collect()} == wanted
+    assert {r.event_id for r in routing.unrouted(frame, routes).collect()} == set(range(len(names))) - wanted
+    delivered = {(r.event_id, r.route_no) for r in routing.route(frame, routes).collect()}
+    errors = {(r.event_id, r.route_no) for r in routing.route_errors(frame, routes).collect()}
+    every = {
+        (i, r.route_no) for i, n in enumerate(names) if n is not None for r, f in zip(bare, fits) if f.fullmatch(n)
+    }
+    assert delivered | errors == every and not delivered & errors
+
+
+def test_short_and_long_lists_agree(spark, monkeypatch):
+    given = _pattern_routes(routing.SHORT, 7) + []
+    frame = events(spark, *NAMES)
+    rows = [sorted(routing.route_template(frame, given).collect()) for _ in range(1)]
+    monkeypatch.setattr(routing, "SHORT", 0)
+    rows.append(sorted(routing.route_template(frame, given).collect()))
+    assert [tuple(r) for r in rows[0]] == [tuple(r) for r in rows[1]] and rows[0]
+
+
+@pytest.mark.parametrize("many", [1, 40])
+def test_route_columns_replace_those_of_the_events(spark, many):
+    frame = events(spark, "a").selectExpr("*", "'own' AS target", "9 AS route_no", "true AS stopped", "'e' AS error_code")
+    frame = frame.selectExpr("*", "'own' AS database", "'own' AS table", "'own' AS first_bad")
+    given = [Route(n, "a", "d/t") for n in range(1, many + 1)]
+    for routes in (given, config.routes_table(spark, given), [Route(r.route_no, "a*", "d/t") for r in given]):
+        rows = routing.route(frame, routes).collect()
+        assert len(rows) == many and {r.target for r in rows} == {"d/t"} and {r.database for r in rows} == {"d"}
+        # What is only used on the way does not touch the events' own columns.
+        assert all(r.stopped is True and r.error_code == "e" and r.first_bad == "own" for r in rows)
+    rows = routing.route_exact(frame, given).collect()
+    assert len(rows) == many and all(r.stopped is True and r.target == "d/t" for r in rows)
+    assert len(routing.route_errors(frame, [Route(1, "a", "bad")]).select("target", "stopped").collect()) == 1
+
+
+def test_no_routes_at_all(spark):
+    frame = events(spark, "a", None)
+    empty = config.routes_table(spark, [Route(1, "a", "b/c")]).filter("route_no > 1")
+    assert routing.route(frame, empty).count() == routing.routed(frame, empty).count() == 0
+    assert routing.unrouted(frame, empty).count() == 2
+
+
+def test_patterns_meet_names_by_equal_keys(spark):
+    """No pair of a pattern and a name is tested that shares no key."""
+    table = config.routes_table(spark, [Route(n, f"p{n}*", "d/t") for n in range(50)])
+    plan = routing.route(events(spark, *[f"p{n}x" for n in range(50)]), table)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
