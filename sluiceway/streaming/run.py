@@ -15,7 +15,9 @@ from sluiceway.operators.envelope import to_event
 from sluiceway.operators.extract import extract_payload, wrap_raw
 from sluiceway.sources.registry import Registry, default_registry
 from sluiceway.sources.tail import tail_logs
-from sluiceway.streaming.writers import Offer, Writer, zip_writer
+from sluiceway.streaming.spool import Spool
+from sluiceway.streaming.ticks import on_ticks, use_state
+from sluiceway.streaming.writers import TICK, Offer, Writer, zip_writer
 
 
 def start(
@@ -53,6 +55,13 @@ def every_tick(records: DataFrame) -> DataFrame:
     return records.unionByName(ticks.option("rowsPerBatch", 1).load().select(*empty))
 
 
+def marked_ticks(events: DataFrame) -> DataFrame:
+    """The events, with a row marked in ``_tick`` in every micro-batch, so that an output that is back need not wait for news."""
+    return every_tick(events.withColumn(TICK, F.lit(None).cast("boolean"))).withColumn(
+        TICK, F.when(F.col("event_name").isNull() & F.col("event_data").isNull(), F.lit(True))
+    )
+
+
 def log_events(
     spark: SparkSession, path: str, event_name: str, pattern: str | None = None, **options: object
 ) -> DataFrame:
@@ -117,22 +126,61 @@ def run(
 ) -> list[StreamingQuery]:
     """Run a configuration: every event at its interval, from all its sources to all outputs.
 
-    A failing output stops no other; see ``Offer``. One streaming query per event, named
-    after it. Outputs that keep files get a folder per event.
+    A failing output stops no other, and gets what it missed when it is back; see ``Offer``. What waits for
+    it is kept under ``checkpoint``. One streaming query per event, named after it; ``run_together`` has one for all.
+    Outputs that keep files get a folder per event. ``drain`` ends with what is pending now.
     """
     registry = registry or default_registry()
     ordered = sorted(outputs, key=lambda o: o.output_no)
     queries = []
     for binding in bindings:
         # Batches of different events have the same numbers, so each event writes to a folder of its own.
-        write = Offer([(o.output_name, registry.output(_for_event(o, binding.event_name))) for o in ordered])
+        write = Offer(
+            [(o.output_name, registry.output(_for_event(o, binding.event_name))) for o in ordered],
+            Spool(f"{checkpoint}/_spool/{binding.event_name}"),
+        )
         events, combined = binding_events(spark, binding, registry, write, overlay)
+        if len(binding.sources) == 1 and not drain:
+            # The batches of several sources come at every tick anyway.
+            events = marked_ticks(events)
         queries.append(
             start(events, combined, f"{checkpoint}/{binding.event_name}", binding.interval_micros, drain)
         )
     return queries
 
 
+def run_together(
+    spark: SparkSession,
+    bindings: Sequence[Binding],
+    outputs: Sequence[Output],
+    checkpoint: str,
+    registry: Registry | None = None,
+    start_us: int = 0,
+    shards: int = 1,
+    poll_ms: int = 500,
+) -> StreamingQuery:
+    """Run events of one source each, every one at its own interval, as a single query.
+
+    Their records are one stream; each waits in state for the next tick of its event, see ``on_ticks``. All
+    events go to the same folders of an output, so tell them apart by their routes. The query ends when it is stopped.
+    """
+    registry = registry or default_registry()
+    for binding in bindings:
+        if len(binding.sources) != 1:
+            raise ConfigError("EINVAL", f"event {binding.event_name} has several sources, which need a stream of their own")
+    use_state(spark)
+    records = [
+        to_event(registry.source(spark, b.sources[0]), b.event_name, "event_data").select("event_name", "event_data")
+        for b in bindings
+    ]
+    intervals = {b.event_name: b.interval_micros for b in bindings}
+    ticked = on_ticks(reduce(DataFrame.unionByName, records), intervals, start_us, shards)
+    events = ticked.select(F.timestamp_micros("tick_us").alias("time"), "event_name", "event_data")
+    ordered = sorted(outputs, key=lambda o: o.output_no)
+    write = Offer([(o.output_name, registry.output(o)) for o in ordered], Spool(f"{checkpoint}/_spool"))
+    return start(events, write, f"{checkpoint}/together", poll_ms * 1000)
+
+
 def _for_event(output: Output, event_name: str) -> Output:
     """The output with the event's name behind each folder it names."""
     folders = ("path", "unrouted")

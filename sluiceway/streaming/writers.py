@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from sluiceway.config import Route
 from sluiceway.operators.combine import merge_last, merge_overlay, round_zip
 from sluiceway.operators.delivery import dead_letters, insert_payload, kafka_shape, redeliver
-from sluiceway.operators.routing import route, unrouted
+from sluiceway.operators.routing import reads_twice, route, unrouted
 from sluiceway.operators.sinks import write_kafka, write_tables
+from sluiceway.streaming.spool import Spool
 
 log = logging.getLogger(__name__)
 
@@ -37,7 +38,14 @@ def batch_path(path: str, batch_id: int) -> str:
 
 @contextmanager
 def _kept(batch: DataFrame) -> Iterator[None]:
-    """Keep a batch that is gone over more than once, so that its source is read once."""
+    """Keep a batch that is gone over more than once, so that its source is read once.
+
+    A batch that is kept already stays so; whoever kept it lets go of it.
+    """
+    level = batch.storageLevel
+    if level.useMemory or level.useDisk:
+        yield
+        return
     batch.persist()
     try:
         yield
@@ -45,46 +53,78 @@ def _kept(batch: DataFrame) -> Iterator[None]:
         batch.unpersist()
 
 
-def table_writer(path: str, routes: Sequence[Route], unrouted_path: str | None = None) -> Writer:
+def table_writer(path: str, routes: Sequence[Route] | DataFrame, unrouted_path: str | None = None) -> Writer:
     """Write events under ``batch_id=/database=/table=``, one row per route.
 
-    Events without a route are dropped, or with ``unrouted_path``, which goes with
-    routes by name, kept there as Parquet.
+    Routes go by names or patterns, from a list or a table. Events without a route are dropped, or with ``unrouted_path``
+    kept there as Parquet.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if not unrouted_path:
+        if not unrouted_path and not reads_twice(routes):
             write_tables(route(batch, routes), batch_path(path, batch_id), mode="overwrite")
             return
         with _kept(batch):
             write_tables(route(batch, routes), batch_path(path, batch_id), mode="overwrite")
-            lost = unrouted(batch, routes)
-            lost.write.mode("overwrite").parquet(batch_path(unrouted_path, batch_id))
+            if unrouted_path:
+                lost = unrouted(batch, routes)
+                lost.write.mode("overwrite").parquet(batch_path(unrouted_path, batch_id))
 
     return write
 
 
+# A column that marks the empty row of a batch that only keeps the ticks going.
+TICK = "_tick"
+
+
 class Offer:
-    """Offers each batch to every output in turn.
+    """Offers each batch to every output in turn, reading its source once.
 
     An output that fails stops no other. The failure is logged, and ``last_error`` has the name and
-    the error of the last output that failed in the latest batch, or None.
+    the error of the last output that has not taken the latest batch, or None. With a ``spool`` the batch is kept
+    for that output, and goes out behind all that waits for it once the output is back; without one it is
+    lost to that output. Rows marked in a column ``_tick`` are no events; a batch of them alone only has the
+    outputs take up what waits.
     """
 
-    def __init__(self, writers: Sequence[tuple[str, Writer]]) -> None:
-        self.writers = list(writers)
+    def __init__(self, writers: Sequence[tuple[str, Writer]], spool: Spool | None = None) -> None:
+        self.writers, self.spool = list(writers), spool
         self.last_error: tuple[str, Exception] | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self.last_error = None
         with _kept(batch):
+            events, idle = batch, False
+            if TICK in batch.columns:
+                events = batch.filter(F.col(TICK).isNull()).drop(TICK)
+                idle = events.isEmpty()
+            self.last_error = None
             for name, write in self.writers:
-                try:
-                    write(batch, batch_id)
-                except Exception as failure:
+                failure = self._give(batch.sparkSession, name, write, None if idle else events, batch_id)
+                if failure is not None:
                     log.error("output %s failed on batch %s: %s", name, batch_id, failure)
                     self.last_error = (name, failure)
 
+    def _give(
+        self, spark: SparkSession, name: str, write: Writer, events: DataFrame | None, batch_id: int
+    ) -> Exception | None:
+        if self.spool and events is not None:
+            return self.spool.offer(name, write, events, batch_id)
+        if self.spool:
+            return self.spool.take_up(spark, name, write)
+        try:
+            if events is not None:
+                write(events, batch_id)
+        except Exception as failure:
+            return failure
+        return None
+
+    def retry(self, spark: SparkSession) -> None:
+        """Have every output take up what waits for it, without a new batch."""
+        for name, write in self.writers:
+            failure = self.spool.take_up(spark, name, write) if self.spool else None
+            if failure is not None:
+                self.last_error = (name, failure)
+
 
 def line_writer(path: str) -> Writer:
     """Write payloads to text files, one event per line."""

@@ -1,0 +1,227 @@
+import json
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluiceway import storage
+from sluiceway.config import Binding, ConfigError, Output, Property, Route, Source
+from sluiceway.sources.registry import default_registry
+from sluiceway.streaming import run, writers
+from sluiceway.streaming.spool import Entry, Spool
+from sluiceway.streaming.writers import Offer
+
+SCHEMA = "time timestamp, event_name string, event_data string"
+
+
+class Output_:
+    """An output that can be made to fail, and what it took, in order."""
+
+    def __init__(self):
+        self.down, self.took, self.calls = False, [], 0
+
+    def __call__(self, batch, batch_id):
+        self.calls += 1
+        if self.down:
+            raise OSError("down")
+        self.took.append((batch_id, sorted(r.event_data for r in batch.collect())))
+
+
+@pytest.fixture
+def clock():
+    class Clock:
+        now = 1000.0
+
+        def __call__(self):
+            return self.now
+
+    return Clock()
+
+
+@pytest.fixture
+def spool(tmp_path, clock):
+    return Spool(str(tmp_path / "spool"), clock=clock)
+
+
+@pytest.fixture
+def batch(spark):
+    def make(*data):
+        return spark.createDataFrame([(None, "a", d) for d in data], SCHEMA)
+
+    return make
+
+
+def test_an_output_that_comes_back_gets_what_it_missed_in_order(spark, batch, spool, clock):
+    one, other = Output_(), Output_()
+    offer = Offer([("one", one), ("other", other)], spool)
+    offer(batch("x0"), 0)
+    one.down = True
+    for n in (1, 2, 3):
+        clock.now += 1000
+        offer(batch(f"x{n}", f"y{n}"), n)
+        assert offer.last_error[0] == "one" and "down" in str(offer.last_error[1])
+    assert [e.first for e in spool.waiting(spark, "one")] == [1, 2, 3]
+    assert spool.state(spark, "one").attempts == 3 and spool.state(spark, "one").next_try > clock.now
+    one.down = False
+    clock.now += 1000
+    offer(batch("x4"), 4)
+    assert offer.last_error is None and spool.waiting(spark, "one") == []
+    assert one.took == other.took == [(0, ["x0"]), *[(n, [f"x{n}", f"y{n}"]) for n in (1, 2, 3)], (4, ["x4"])]
+    assert spool.state(spark, "one").attempts == 0
+
+
+def test_no_attempt_before_it_is_due(spark, batch, spool, clock):
+    out = Output_()
+    out.down = True
+    offer = Offer([("o/ü", out)], spool)
+    offer(batch("a"), 0)
+    out.down = False
+    offer(batch("b"), 1)
+    offer.retry(spark)
+    assert out.calls == 1 and offer.last_error[0] == "o/ü"
+    clock.now += 1.0
+    offer.retry(spark)
+    assert out.took == [(0, ["a"]), (1, ["b"])]
+    pauses = []
+    out.down = True
+    for n in range(2, 14):
+        clock.now = spool.state(spark, "o/ü").next_try
+        offer(batch("c"), n)
+        pauses.append(spool.state(spark, "o/ü").next_try - clock.now)
+    assert pauses[:4] == [1, 2, 4, 8] and pauses[-1] == 300
+
+
+def test_what_waits_is_taken_up_half(spark, batch, spool, clock):
+    """An output that fails again in the middle keeps the rest, and only that."""
+    took = []
+
+    def write(rows, batch_id):
+        if batch_id == 1 and len(took) == 1:
+            raise OSError("again")
+        took.append(batch_id)
+
+    for n in range(3):
+        spool._keep("o", batch("x").withColumn("_batch", F.lit(n)), Entry(n, n))
+    assert "again" in str(spool.take_up(spark, "o", write))
+    assert took == [0] and [e.first for e in spool.waiting(spark, "o")] == [1, 2]
+    took.append("")
+    clock.now += 10
+    assert spool.take_up(spark, "o", write) is None and took == [0, "", 1, 2]
+
+
+def test_many_entries_become_one(spark, batch, tmp_path, clock):
+    spool = Spool(str(tmp_path / "s"), many=3, clock=clock)
+    out = Output_()
+    out.down = True
+    offer = Offer([("o", out)], spool)
+    for n in range(7):
+        offer(batch(f"x{n}"), n)
+        assert len(spool.waiting(spark, "o")) < 3
+    # A batch of the middle runs again; it is part of the larger entry already.
+    offer(batch("x2"), 2)
+    out.down = False
+    clock.now += 1000
+    offer(batch("x7"), 7)
+    assert sorted(x for _, rows in out.took for x in rows) == [f"x{n}" for n in range(8)]
+
+
+def test_entries_that_are_not_whole_do_not_count(spark, batch, spool, tmp_path):
+    spool._keep("o", batch("x").withColumn("_batch", F.lit(1)), Entry(1, 1))
+    folder = f"{spool._folder('o')}/{Entry(2, 2).name}"
+    storage.write_text(spark, f"{folder}/part-0.parquet", "cut")
+    assert spool.waiting(spark, "o") == [Entry(1, 1)]
+    assert storage.read_text(spark, f"{folder}/none") is None and storage.names(spark, f"{folder}/none") == []
+
+
+def test_a_batch_is_read_once(spark, tmp_path):
+    """Whatever the outputs do with a batch, its source is read once; unrouted events and long route lists too."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            reads.add(len(part))
+            yield part
+
+    source = spark.createDataFrame([(None, "a", "1"), (None, "b", "2")], SCHEMA).mapInPandas(counted, SCHEMA)
+    routes = [Route(n, f"{'a' * n}*", "d/t") for n in range(1, 40)]
+    outputs = [
+        ("t", writers.table_writer(str(tmp_path / "t"), [Route(1, "a", "d/t")], str(tmp_path / "u"))),
+        ("p", writers.table_writer(str(tmp_path / "p"), routes, str(tmp_path / "v"))),
+        ("l", writers.line_writer(str(tmp_path / "l"))),
+    ]
+    Offer(outputs, Spool(str(tmp_path / "s")))(source, 0)
+    assert reads.value == 2
+    assert spark.read.parquet(str(tmp_path / "v" / "batch_id=0")).count() == 1
+    assert not source.storageLevel.useMemory
+    reads.value = 0
+    writers.table_writer(str(tmp_path / "q"), routes)(source, 0)
+    assert reads.value == 2
+
+
+def test_a_batch_that_is_kept_already_stays_so(spark):
+    frame = spark.range(3).persist()
+    try:
+        with writers._kept(frame):
+            pass
+        assert frame.storageLevel.useMemory
+    finally:
+        frame.unpersist()
+
+
+def _until(done, running=None, seconds=60):
+    end = time.time() + seconds
+    while not done() and time.time() < end:
+        if running is not None and running.exception():
+            raise running.exception()
+        time.sleep(0.2)
+    assert done()
+
+
+def _json_source(path):
+    return Source("json", (Property("path", (str(path),)),))
+
+
+def test_nothing_waits_for_new_input(spark, tmp_path):
+    """A running stream gives an output what it missed as soon as it is back, without a new event."""
+    out = Output_()
+    out.down = True
+    registry = default_registry()
+    registry.add_output("test", lambda config: out)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "f.json").write_text(json.dumps({"n": 1}) + "\n")
+    binding = Binding("e", 300_000, (_json_source(tmp_path / "in"),))
+    queries = run.run(spark, [binding], [Output(1, "test", "test")], str(tmp_path / "c"), registry)
+    try:
+        _until(lambda: out.calls >= 1, queries[0])
+        assert out.took == []
+        out.down = False
+        _until(lambda: out.took, queries[0])
+    finally:
+        for query in queries:
+            query.stop()
+    assert len(out.took) == 1 and len(out.took[0][1]) == 1
+
+
+def test_many_events_in_one_query(spark, tmp_path):
+    out = Output_()
+    registry = default_registry()
+    registry.add_output("test", lambda config: out)
+    bindings = []
+    for n, interval in enumerate((300_000, 900_000, 1_500_000)):
+        (tmp_path / f"in{n}").mkdir()
+        lines = "".join(json.dumps({"n": f"{n}.{i}"}) + "\n" for i in range(5))
+        (tmp_path / f"in{n}" / "f.json").write_text(lines)
+        bindings.append(Binding(f"e{n}", interval, (_json_source(tmp_path / f"in{n}"),)))
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    query = run.run_together(spark, bindings, [Output(1, "test", "test")], str(tmp_path / "c"), registry)
+    try:
+        _until(lambda: sum(len(rows) for _, rows in out.took) >= 15, query)
+    finally:
+        query.stop()
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+    assert sorted(json.loads(x)["n"] for _, rows in out.took for x in rows) == sorted(
+        f"{n}.{i}" for n in range(3) for i in range(5)
+    )
+    with pytest.raises(ConfigError):
+        two = Binding("x", 1_000_000, (_json_source(tmp_path), _json_source(tmp_path)))
+        run.run_together(spark, [two], [], str(tmp_path / "c2"), registry)
