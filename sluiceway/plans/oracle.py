@@ -304,6 +304,8 @@ def all_sql() -> dict[str, str]:
         "tail_scan": f"""WITH {LINES} SELECT line, strlen(line) AS byte_length FROM lines""",
         "stream_sink": f"""WITH {ENVELOPES}, {GOOD_ROUTES}
             SELECT db AS "database", tab AS "table", event_id, event_data {_SHOP}""",
+        "committed_sink": f"""WITH {ENVELOPES}, {GOOD_ROUTES}
+            SELECT db AS "database", tab AS "table", event_id, event_data {_SHOP}""",
         "file_sink": """SELECT event_id, event_type AS event_name, props AS event_data FROM events""",
         "checkpoint": """WITH f AS (SELECT lang, '/logs/' || source || '/' || doc_id AS path,
               doc_id + 100 AS inode, strlen(text) - strlen(list_last(string_split(text, chr(10))))

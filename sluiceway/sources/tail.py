@@ -25,6 +25,14 @@ Options:
 ``startOffsets``      batch only: positions as JSON to read from
 ``endOffsets``        batch only: positions as JSON to read to
 
+``onlyPaths``         batch only: JSON list of paths; the other files are not looked at
+``onlyInodes``        batch only: JSON list of inodes; the other files are not opened
+``fromOffset``        batch only: ranges whose lines all start before it are left out
+``toOffset``          batch only: ranges whose lines all start at it or behind it are left out
+
+These four are options and no pushed filters, as Spark 4.1 keeps what one query has pushed for the
+next one over the same table, and mixes it up where a query reads the table twice.
+
 This module is sent to the executors by value, so it imports nothing from the
 package.
 """
@@ -37,7 +45,7 @@ import json
 import os
 import stat
 import sys
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -102,18 +110,56 @@ def _start(known: list[int] | None, inode: int, size: int) -> int:
     return known[1] if known and known[0] == inode and size >= known[1] else 0
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """What a batch reads of the files: paths and inodes, if only some, and a span of offsets."""
+
+    paths: frozenset[str] | None = None
+    inodes: frozenset[int] | None = None
+    low: int = 0
+    high: int | None = None
+
+    @staticmethod
+    def of(options: Mapping[str, str]) -> Wanted:
+        paths, inodes, high = options.get("onlyPaths"), options.get("onlyInodes"), options.get("toOffset")
+        return Wanted(
+            frozenset(json.loads(paths)) if paths else None,
+            frozenset(json.loads(inodes)) if inodes else None,
+            int(options.get("fromOffset") or 0),
+            int(high) if high else None,
+        )
+
+    def path(self, path: str) -> bool:
+        return self.paths is None or path in self.paths
+
+    def inode(self, inode: int) -> bool:
+        return self.inodes is None or inode in self.inodes
+
+    def range(self, low: int, high: int) -> bool:
+        """Whether a line that starts in [low, high) may have a wanted offset."""
+        return high > self.low and (self.high is None or low < self.high)
+
+
 def find_end(
-    pattern: str, known: Mapping[str, list[int]], limit: int | None = None, forget: bool = False
+    pattern: str,
+    known: Mapping[str, list[int]],
+    limit: int | None = None,
+    forget: bool = False,
+    wanted: Wanted | None = None,
 ) -> Positions:
-    """Where the complete lines of all files end now.
+    """Where the complete lines of all files end now, or of those that are wanted.
 
     With ``limit`` no more than about so many bytes lie between ``known`` and the
     result, shared among the files that have some; a file always gets at least one
     line.
     """
     paths = sorted({*_paths(pattern), *known})
+    if wanted:
+        paths = [path for path in paths if wanted.path(path)]
     with ThreadPoolExecutor(_PARALLEL) as pool:
         grown = [g for g in pool.map(lambda p: _grown(p, known.get(p)), paths) if g]
+        if wanted:
+            grown = [g for g in grown if wanted.inode(g[1])]
         share = None if limit is None else max(1, limit // max(1, len(grown)))
         ends = pool.map(lambda g: _end(*g, share), grown)
         found = {g[0]: [g[1], end] for g, end in zip(grown, ends) if end is not None}
@@ -157,7 +203,7 @@ def _end(path: str, inode: int, start: int, size: int, share: int | None) -> int
 
 
 def _ranges(
-    begin: Mapping[str, list[int]], end: Mapping[str, list[int]], split_bytes: int
+    begin: Mapping[str, list[int]], end: Mapping[str, list[int]], split_bytes: int, wanted: Wanted | None = None
 ) -> list[InputPartition]:
     """Byte ranges between two positions, as many to a task as make up ``split_bytes``.
 
@@ -166,10 +212,14 @@ def _ranges(
     tasks: list[list[tuple]] = []
     room = 0
     for path, (inode, stop) in end.items():
+        if wanted and not (wanted.path(path) and wanted.inode(inode)):
+            continue
         known = begin.get(path)
         start = known[1] if known and known[0] == inode and known[1] <= stop else 0
         for low in range(start, stop, split_bytes):
             high = min(low + split_bytes, stop)
+            if wanted and not wanted.range(low, high):
+                continue
             if high - low > room or len(tasks[-1]) == _FILES_PER_TASK:
                 tasks.append([])
                 room = split_bytes
@@ -234,7 +284,8 @@ def _read_range(value: tuple, fail_on_loss: bool, folder: str | None = None) ->
             _lost(value, low, fail_on_loss, folder)
             return
         at = low if low == start else _after_first_newline(fd, low - 1, stop)
-        pending, pending_at = b"", at
+        # The beginning of a line so far; joined once, when its end is found.
+        pending, pending_at = [], at
         while at < stop and (at < high or pending):
             # Behind the range only the rest of the line that began in it is wanted.
             until = high if at < high else _after_first_newline(fd, at, stop)
@@ -246,10 +297,10 @@ def _read_range(value: tuple, fail_on_loss: bool, folder: str | None = None) ->
             at += len(block)
             whole = block.rfind(b"\n") + 1
             if whole:
-                yield _line_batch(path, inode, pending_at, pending + block[:whole])
-                pending, pending_at = block[whole:], at - len(block) + whole
+                yield _line_batch(path, inode, pending_at, b"".join([*pending, block[:whole]]))
+                pending, pending_at = [block[whole:]] if whole < len(block) else [], at - len(block) + whole
             else:
-                pending += block
+                pending.append(block)
     finally:
         if fd >= 0:
             os.close(fd)
@@ -302,10 +353,11 @@ class LogTailReader(DataSourceReader):
             json.loads(begin) if begin else load_progress(options.get("progressPath"), self.pattern)
         )
         self.end = json.loads(end) if end else None
+        self.wanted = Wanted.of(options)
 
     def partitions(self) -> list[InputPartition]:
-        end = find_end(self.pattern, self.begin) if self.end is None else self.end
-        return _ranges(self.begin, end, self.split_bytes)
+        end = find_end(self.pattern, self.begin, wanted=self.wanted) if self.end is None else self.end
+        return _ranges(self.begin, end, self.split_bytes, self.wanted)
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is not None:
@@ -374,10 +426,34 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(LogTail)
 
 
-def read_logs(spark: SparkSession, path: str, **options: object) -> DataFrame:
-    """All complete lines of the files now."""
+def read_logs(
+    spark: SparkSession,
+    path: str,
+    paths: Iterable[str] | None = None,
+    inodes: Iterable[int] | None = None,
+    from_offset: int | None = None,
+    to_offset: int | None = None,
+    **options: object,
+) -> DataFrame:
+    """All complete lines of the files now, or of some of them, or from one offset to before another.
+
+    What is left out this way is not read; a filter on the lines gives the same rows, but reads all.
+    """
     register(spark)
-    return spark.read.format("log_tail").options(**options).load(path)
+    found = spark.read.format("log_tail").options(**options)
+    if paths is not None:
+        found = found.option("onlyPaths", json.dumps(sorted(paths)))
+    if inodes is not None:
+        found = found.option("onlyInodes", json.dumps(sorted(inodes)))
+    # A range holds lines before and behind the wanted ones too.
+    if from_offset is not None:
+        found = found.option("fromOffset", from_offset)
+    if to_offset is not None:
+        found = found.option("toOffset", to_offset)
+    lines = found.load(path)
+    if from_offset is not None:
+        lines = lines.filter(lines["byte_offset"] >= from_offset)
+    return lines if to_offset is None else lines.filter(lines["byte_offset"] < to_offset)
 
 
 def tail_logs(spark: SparkSession, path: str, **options: object) -> DataFrame:
