@@ -244,9 +244,80 @@ def compile_pattern(spark: SparkSession, pattern: str) -> FieldPattern:
     return ready
 
 
+def _behind_group(java: str, at: int) -> int:
+    """The place behind the group or bracket class that opens at ``at``."""
+    depth, brackets = 0, 0
+    while at < len(java):
+        c = java[at]
+        if c == "\\":
+            at += 1
+        elif c == "[":
+            brackets += 1
+        elif c == "]" and brackets:
+            brackets -= 1
+        elif not brackets and c in "()":
+            depth += 1 if c == "(" else -1
+        at += 1
+        if not depth and not brackets:
+            break
+    return at
+
+
+def required_literals(java: str) -> list[str]:
+    """Texts that every match of a translated pattern holds; none where that is not plain to see.
+
+    Only what stands outside all groups counts. A choice, or a flag, leaves nothing certain.
+    """
+    runs: list[str] = [""]
+    at = 0
+    while at < len(java):
+        c = java[at]
+        quantifier = _QUANTIFIER.match(java, at) if c == "{" else None
+        if c == "|" or _FLAGS_SET.match(java, at) or _FLAGS_OPEN.match(java, at) and java[at + 2] not in ":=!<":
+            return []
+        if c in "*?+" or quantifier:
+            if _ZERO_TIMES.match(java, at):
+                runs[-1] = runs[-1][:-1]
+            runs.append("")
+            at = quantifier.end() if quantifier else at + 1
+            # A lazy or possessive mark changes nothing here.
+            at += java[at : at + 1] in ("?", "+")
+        elif c in "([":
+            runs.append("")
+            at = _behind_group(java, at)
+            # What a quantifier behind it drops is no literal.
+            runs.append("")
+        elif c == "\\":
+            escape = _PLAIN_ESCAPE.match(java, at)
+            text = escape[0] if escape else java[at:]
+            if len(text) == 2 and not text[1].isalnum():
+                runs[-1] += text[1]
+            else:
+                runs += ["", ""]
+            at += len(text)
+        elif c in ".^$":
+            runs += ["", ""]
+            at += 1
+        else:
+            runs[-1] += c
+            at += 1
+    return [run for run in runs if run]
+
+
+def _telling(java: str) -> str | None:
+    """The required text that lines are least likely to hold; none if any line may well hold all of them."""
+    found = [run for run in required_literals(java) if len(run) > 1 or not (run.isalnum() or run.isspace())]
+    return max(found, key=len, default=None)
+
+
 def matches(line: Column, pattern: FieldPattern) -> Column:
-    """Whether the pattern is found anywhere in the line."""
-    return line.rlike(f"(?d){pattern.java}")
+    """Whether the pattern is found anywhere in the line.
+
+    Lines without a text that every match holds are told by that, and their characters not matched.
+    """
+    found = line.rlike(f"(?d){pattern.java}")
+    telling = _telling(pattern.java)
+    return found if telling is None else line.contains(telling) & found
 
 
 def group_texts(line: Column, pattern: FieldPattern) -> list[tuple[str, Column]]:
@@ -255,6 +326,21 @@ def group_texts(line: Column, pattern: FieldPattern) -> list[tuple[str, Column]]
     return [(name, F.regexp_extract(line, java, number)) for name, number in pattern.fields]
 
 
+# Parts the texts of groups; a line that holds it is matched once per group instead.
+_PART = "\x01"
+
+
+def group_list(line: Column, pattern: FieldPattern) -> Column:
+    """The texts of all named groups in the first match, in order, by one match; for lines that match."""
+    each = [text for _, text in group_texts(line, pattern)]
+    if len(each) == 1:
+        return F.array(*each)
+    # The line becomes the texts of its groups; the lazy beginning leaves the first match where it is.
+    whole = rf"(?d)\A(?s:.*?)(?:{pattern.java})(?s:.*)\z"
+    texts = F.regexp_replace(line, whole, _PART.join(f"${number}" for _, number in pattern.fields))
+    return F.when(line.contains(_PART), F.array(*each)).otherwise(F.split(texts, _PART, -1))
+
+
 def was_set(line: Column, pattern: FieldPattern, group: int) -> Column:
     """Whether the first match set this group or any behind it.
 

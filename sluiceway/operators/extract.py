@@ -9,6 +9,7 @@ from sluiceway.functions.json_text import json_object, wrap_line
 from sluiceway.functions.patterns import (
     FieldPattern,
     compile_pattern,
+    group_list,
     group_texts,
     matches,
     was_set,
@@ -30,11 +31,17 @@ def extract_fields(lines: DataFrame, pattern: str, line: str = "line") -> DataFr
     """Matching lines with one string column per named group; an unset group is ``''``."""
     ready = compile_pattern(lines.sparkSession, pattern)
     found = lines.filter(matches(F.col(line), ready))
-    return found.select("*", *[text.alias(n) for n, text in group_texts(F.col(line), ready)])
+    listed = found.withColumn("_groups", group_list(F.col(line), ready))
+    return listed.select(*found.columns, *[text.alias(n) for n, text in _named(ready)])
 
 
-def _payload(line: Column, pattern: FieldPattern) -> Column:
-    named = group_texts(line, pattern)
+def _named(pattern: FieldPattern) -> list[tuple[str, Column]]:
+    """Name and text of each group, out of the column ``_groups``."""
+    return [(name, F.get("_groups", F.lit(i))) for i, (name, _) in enumerate(pattern.fields)]
+
+
+def _payload(line: Column, pattern: FieldPattern, named: list[tuple[str, Column]] | None = None) -> Column:
+    named = named or group_texts(line, pattern)
     if len(pattern.unset) < len(named):
         present = {
             name: was_set(line, pattern, n) for name, n in pattern.fields if n in pattern.unset
@@ -57,7 +64,8 @@ def extract_payload(
     """
     ready = compile_pattern(lines.sparkSession, pattern)
     found = drop_blank(lines, line).filter(matches(F.col(line), ready))
-    return found.withColumn(payload, _payload(F.col(line), ready))
+    listed = found.withColumn("_groups", group_list(F.col(line), ready))
+    return listed.withColumn(payload, _payload(F.col(line), ready, _named(ready))).drop("_groups")
 
 
 def record_of(line: Column, pattern: FieldPattern | None) -> Column:

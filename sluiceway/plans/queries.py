@@ -15,7 +15,8 @@ from sluiceway.plans import tables as t
 from sluiceway.session import fresh_path, prepare
 from sluiceway.sources import heartbeat as hb
 from sluiceway.sources import lines, sensors, tail
-from sluiceway.streaming import run, table_sink, writers
+from sluiceway.streaming import run, writers
+from sluiceway.streaming import table_sink as committed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -518,7 +519,7 @@ def stream_sink(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def committed_sink(spark: SparkSession, folder: str) -> DataFrame:
     """The same stream through the sink that commits batch by batch."""
-    table_sink.register(spark)
+    committed.register(spark)
     path, checkpoint = fresh_path(spark, "committed"), fresh_path(spark, "checkpoint")
     schema = t.table(spark, folder, "events").schema
     arriving = spark.readStream.schema(schema).parquet(f"{folder}/{{events.parquet}}")
@@ -528,7 +529,7 @@ def committed_sink(spark: SparkSession, folder: str) -> DataFrame:
     routed = routing.route_exact(events, t.ROUTES).select("database", "table", "event_id", "event_data")
     out = routed.writeStream.format("event_tables").option("checkpointLocation", checkpoint).option("path", path)
     out.trigger(availableNow=True).start().awaitTermination()
-    return table_sink.read_committed(spark, path)
+    return committed.read_committed(spark, path)
 
 
 # --- progress ------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.config import ConfigError
 from sluiceway.functions.json_text import json_literal, json_quote
-from sluiceway.functions.patterns import compile_pattern, matches, translate
+from sluiceway.functions.patterns import compile_pattern, group_texts, matches, required_literals, translate
 from sluiceway.operators import extract
 
 
@@ -145,3 +145,51 @@ def test_ten_groups_and_more(spark, rows):
     assert [r.line for r in found] == ["abcdefghijj"]
     with pytest.raises(ConfigError):
         translate(r"(?<a>x)\10")
+
+
+@pytest.mark.parametrize(
+    "pattern, literals",
+    [
+        (r"(?<a>\w+) \| (?<b>[a-m]+)[,.]?", [" | "]),
+        (r"^(?<word>[A-Za-z]+) (?<rest>.*)\.$", [" ", "."]),
+        (r"(?<a>x)abc*d+e?f{2}g{0,1}h", ["ab", "d", "f", "h"]),
+        (r"(?<a>x)ab|cd", []),
+        (r"(?i)(?<a>x)ab", []),
+        (r"(?i:(?<a>x))ab", []),
+        (r"(?:(?<a>x)|zz)ab(?=cd)ef(?!gh)", ["ab", "ef"]),
+        (r"(?<a>[)\]x(]+)\)\\q[^(]z", [")\\q", "z"]),
+        (r"(?<a>.)\d\x41b\Q.*\Ec\bd", ["b.*c", "d"]),
+        (r"(?<a>x)+b*?c++d", ["c", "d"]),
+        (r"(?<a>x){2}y{1,}?z", ["y", "z"]),
+    ],
+)
+def test_literals_that_every_match_holds(pattern, literals):
+    assert required_literals(translate(pattern).java) == literals
+
+
+def test_literals_never_hide_a_match(spark, rows):
+    """Random patterns find what they find without the test for a literal."""
+    pick = random.Random(11)
+    parts = ["a", "bc", "d?", "e*", "f+", "(?<x{}>a|b)", "(?:g|h)?", "[a-f]", ".", r"\.", "{2}", "^", "$", r"\w", "é", "(?=a)"]
+    lines = ["".join(pick.choice("aabbccdefgh.é") for _ in range(pick.randrange(12))) for _ in range(300)]
+    frame = rows(*lines).cache()
+    for _ in range(40):
+        pattern = "(?<first>a?)" + "".join(pick.choice(parts).replace("{}", str(i)) for i in range(pick.randrange(1, 6)))
+        try:
+            ready = compile_pattern(spark, pattern)
+        except ConfigError:
+            continue
+        plain = frame.filter(F.col("line").rlike(f"(?d){ready.java}")).collect()
+        assert frame.filter(matches(F.col("line"), ready)).collect() == plain, pattern
+        got = extract.extract_fields(frame, pattern).collect()
+        wanted = frame.filter(F.col("line").rlike(f"(?d){ready.java}")).select(
+            "line", *[t.alias(n) for n, t in group_texts(F.col("line"), ready)]
+        )
+        assert got == wanted.collect(), pattern
+
+
+def test_lines_with_the_byte_that_parts_groups(rows):
+    frame = rows("a\x01b c", "\x01 \x01", "x y", "\x01")
+    got = extract.extract_fields(frame, r"(?<l>\S*) (?<r>.*)").collect()
+    assert [(r.l, r.r) for r in got] == [("a\x01b", "c"), ("\x01", "\x01"), ("x", "y")]
+    assert payloads(frame, r"(?<l>\S*) (?<r>[xyc\x01])")[2] == '{"l":"x","r":"y"}'
