@@ -1,18 +1,21 @@
 """Packing token ids into sequences of a fixed capacity by hierarchical residual packing.
 
-Every partition cuts its documents into pieces and packs them by best fit, the longest
+Documents are cut into pieces, and the pieces, which are narrow rows, dealt out in turn, so that every task
+has a mix of lengths however the table was sorted. Each task packs its own by best fit, the longest
 first. Bins that are nearly full are final. The others move up a tree as items of their
 own, a node taking those of ``FAN_IN`` children, where best fit combines them again,
 until one node is left. A row travels only while its bin is underfull.
 
 A node passes on at most ``KEEP`` underfull bins, the emptiest; the rest are final as
-they are. So no task grows with the corpus, and no piece is lost: where hardly any two
-bins fit together, the sequences are only as full as they can be.
+they are, and no piece is lost. That costs one sequence per node at most: of two bins that are half empty or more,
+best fit would have put one into the other, so a node has one such bin at most, and two bins
+that are over half full fit together nowhere. Whatever a later node combines therefore has
+one of these half-empty bins in it, and of the others the emptiest are there to take it.
 
 Null text counts as empty: its piece is the separator alone. Repeated rows are packed
 each on its own, null keys are kept, and an empty table gives no sequences. Other
-columns are not read. Nothing depends on the order in which rows of a shuffle arrive, so
-a task that runs again gives the same bins.
+columns are not read. A task names its bins after itself and writes them before anything is made of them,
+so one that runs again replaces them all.
 """
 
 from __future__ import annotations
@@ -210,8 +213,13 @@ def pack(
     """One row per piece: ``key``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``."""
     schema = _schema(docs.schema[key].dataType)
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens(vocabulary)
+        for batch in batches:
+            if batch.num_rows:
+                yield from pieces(batch.column(0), batch.column(1), own, capacity, 0).to_batches()
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node = Node(0, TaskContext.get().partitionId(), capacity, slack)
         held: list[pa.Table] = []
         n = 0
@@ -219,9 +227,11 @@ def pack(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = pieces(batch.column(0), batch.column(1), own, capacity, -(1 << 60) + n)
+            new = pa.Table.from_batches([batch])
+            # Each piece is a bin of its own, numbered below all names of nodes.
+            at = new.schema.get_field_index("bin")
+            held.append(new.set_column(at, "bin", pa.array(np.arange(len(new)) - (1 << 60) + n)))
             n += len(new)
-            held.append(new)
             if sum(map(len, held)) >= ROUND:
                 rows = node.pack(pa.concat_tables(held))
                 is_open = rows["open"]
@@ -237,7 +247,10 @@ def pack(
         return combine
 
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = saved(rows.mapInArrow(local, schema), "pack-0")
+    # Pieces are narrow; dealt out in turn, every task gets a mix of lengths, however the documents were sorted.
+    spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.mapInArrow(cut, schema).repartition(spread)
+    rows = saved(dealt.mapInArrow(local, schema), "pack-0")
     done = [rows.filter(~F.col("open"))]
     last = rows.agg(F.max("node")).first()[0] or 0
     level = 0

@@ -10,7 +10,8 @@ blocks of text between template tokens, each under its innermost template contai
 From the slots the main text is taken: those inside an article or main container if there
 are any, else all whose text varies over the pages of the host and is not links; lists, tables and
 quotes belong to the container around them, and a slot of any size counts. Menus, headers, footers, sidebars,
-notices, adverts, forms and comments are told by element, role, class and id. Text that
+notices, adverts, forms and comments are told by element, by how a role or a class name begins, and by a whole id;
+an article by a whole class name alone, a main container or the body by none. A page of nothing but links has no main text. Text that
 itself belongs to the template is left out, unless it is inside an article or main container
 or nothing else would be left. Such text is on just the pages that the frame of the host is on,
 its most common container; text that copies or near copies share is not.
@@ -56,7 +57,8 @@ TAG = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?(?=[\s/>]|\Z)", re.I)
+# One attribute after the other, so that what stands in a value is never taken for one.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
 
 # Elements whose content is no text of a page.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title"}
@@ -78,14 +80,17 @@ MAIN = {"article", "main"}
 OUTSIDE = {
     "head", "nav", "footer", "aside", "form", "dialog", "menu", "select", "button", "fieldset", "header",
 }
-# Parts of class names, ids and roles that tell what is not main text.
-OUTSIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side"
+# How class names and roles begin that tell what is not main text; an id only counts as a whole.
+OUTSIDE_WORDS = (
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side"
     r"|aside|footer|header|masthead|comments?|commentlist|replies|disqus\w*|cookies?|consent|gdpr|notices?|alert|popup"
     r"|modal|overlay|newsletter|subscribe\w*|signup|login|share|sharing|social|related|recommended|widget\w*|toolbar"
-    r"|pagination|pager|complementary|contentinfo|navigation|search)(?=$|[\s_-])",
-    re.I,
+    r"|pagination|pager|complementary|contentinfo|navigation|search)"
 )
+OUTSIDE_CLASS = re.compile(rf"(?:^|\s)(?:site-|page-|main-|post-)?{OUTSIDE_WORDS}(?=$|[\s_-])", re.I)
+OUTSIDE_WORD = re.compile(OUTSIDE_WORDS, re.I)
+# Elements that hold the main text whatever their names say of the parts of the page; an article may be a comment.
+WHOLE = {"html", "body", "main"}
 MAIN_NAMES = re.compile(
     r"(?:^|[\s_-])(?:main|article|post|entry|story)(?:[\s_-]?(?:content|body|text))?(?=$|\s)", re.I
 )
@@ -114,19 +119,28 @@ def _text_token(*parts: object) -> int:
 
 def _kind(name: str, rest: str) -> tuple[str, str]:
     """What a container says of its content (main, outside or nothing), and its class and id."""
-    said, hidden = [], False
+    said: dict[str, str] = {}
     for attribute, value in ATTRIBUTE.findall(rest):
-        attribute, value = attribute.lower(), value.strip("\"'")
-        if attribute in ("class", "id", "role"):
-            said.append(value)
-        elif attribute == "hidden" or attribute == "aria-hidden" and value == "true":
-            hidden = True
-        elif attribute == "style" and re.search(r"display\s*:\s*none", value):
-            hidden = True
-    names = " ".join(said)
-    if hidden or name in OUTSIDE or OUTSIDE_NAMES.search(names):
+        # The first of several attributes of one name counts.
+        said.setdefault(attribute.lower(), value.strip("\"'"))
+    names = " ".join(said[a] for a in ("class", "id", "role") if a in said)
+    hidden = (
+        "hidden" in said
+        or said.get("aria-hidden") == "true"
+        or re.search(r"display\s*:\s*none", said.get("style", ""))
+    )
+    if hidden or name in OUTSIDE:
+        return "outside", names
+    if name == "article":
+        if any(OUTSIDE_WORD.fullmatch(word) for word in said.get("class", "").split()):
+            return "outside", names
+    elif name not in WHOLE and (
+        OUTSIDE_CLASS.search(said.get("class", ""))
+        or OUTSIDE_CLASS.search(said.get("role", ""))
+        or OUTSIDE_WORD.fullmatch(said.get("id", ""))
+    ):
         return "outside", names
-    if name in MAIN or MAIN_NAMES.search(names):
+    if name in MAIN or name not in WHOLE and MAIN_NAMES.search(names):
         return "main", names
     return "", names
 
@@ -312,13 +326,13 @@ def main_text(html: str | None, template: set[int], of: int) -> str:
     else:
         # Where no template tells the menus, links in lists are menus.
         if of < LEAST_PAGES:
-            blocks = [b for b in blocks if not b.listed or not _links(b)] or blocks
+            blocks = [b for b in blocks if not b.listed or not _links(b)]
         # Slots by their innermost template container, or by their own where no template is known.
         slots: dict[int, list[Block]] = defaultdict(list)
         for block in blocks:
             slots[_slot(block, template)].append(block)
         kept = {id(b) for slot, own in slots.items() if not _links(*own) and not (slot in framed and _number(own)) for b in own}
-        blocks = [b for b in blocks if id(b) in kept] or blocks
+        blocks = [b for b in blocks if id(b) in kept]
     return "\n\n".join(b.text for b in blocks)
 
 

@@ -151,3 +151,25 @@ def test_op8(spark, given):
     for page in given_pages:
         assert rows[page.page_id].text == known(page.html)
         assert rows[page.page_id].url == page.url and rows[page.page_id].n_chars == len(known(page.html))
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<main aria-label="the hidden valley"><p>Whole.</p></main>', "Whole."),
+        ('<main data-hidden="false"><p>Whole.</p></main>', "Whole."),
+        ('<article data-id="menu"><p>Whole.</p></article>', "Whole."),
+        ('<section title="the hidden valley"><p>Whole.</p></section>', "Whole."),
+        ("<div title='class=\"ads\" hidden'><p>Whole.</p></div>", "Whole."),
+        ('<article class="post has-sidebar"><p>Whole.</p></article>', "Whole."),
+        ('<body class="single no-sidebar"><p>Whole.</p></body>', "Whole."),
+        ('<article><h2>A</h2><section id="related-work"><p>B</p></section></article>', "A\n\nB"),
+        ('<article><section id="binary-search"><p>B</p></section></article>', "B"),
+        ('<article><p>A</p><div class="share-links"><p>Tweet</p></div><div id="comments">x</div></article>', "A"),
+        ("<article hidden><p>A</p></article><div><p>B</p></div>", "B"),
+        ('<div class="sidebar-left"><p>A</p></div><div><p>B</p></div>', "B"),
+        ('<ul><li><a href="/">Home</a></li><li><a href="/a">About</a></li></ul>', ""),
+    ],
+)
+def test_names_and_attributes(html, text):
+    assert pages.main_text(html, set(), 0) == text

@@ -134,3 +134,13 @@ def test_op4(spark, given):
 
 def test_vocabularies_are_found():
     assert BYTES == public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("lengths", [(1030, 1018), (1100, 900)])
+def test_partitions_of_one_length_each(spark, lengths):
+    """Documents sorted by length pack as well as mixed ones."""
+    rows = [(n * 1000 + i, " ".join(["a"] * (length - 1))) for n, length in enumerate(lengths) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id")
+    made = packing.pack(docs, WORDS).collect()
+    assert {r.length for r in made} == set(lengths) and len(made) == 2000
+    assert len({r.sequence_id for r in made}) <= 1020
