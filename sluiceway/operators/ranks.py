@@ -87,7 +87,10 @@ def position(
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: str, name: str = "previous", limit: int = LIMIT
 ) -> DataFrame:
-    """Rows that follow another within their keys, with the order value before theirs."""
+    """Rows that follow another within their keys, with the order value before theirs.
+
+    Rows without an order value follow nothing and are left out.
+    """
     by_range = [*keys, "_range"]
     slim = df.select(*keys, order)
     large = _large_keys(slim, keys, order, limit)
