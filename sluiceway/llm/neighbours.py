@@ -5,12 +5,14 @@ a tile, worked on by one task call. In a tile vectors of length one are quantise
 one matrix product gives all cosines up to an error that is bounded from the lengths of what
 rounding took away. A pair survives if its cosine can still be among the best of its query;
 survivors are recomputed from the original vectors in double precision and kept in a heap for
-each query, whose worst entry cuts the next block of candidates. So the result
+each query, whose worst entry cuts the next block of candidates. Heaps and cuts count ids, not
+vectors, so an id with many vectors takes one place. So the result
 is exact. The tiles' heaps are merged by Spark, with a limit before the shuffle.
 
 Vectors that are null, empty, zero or hold a null or a value that is not finite take no part,
 nor do null ids. Rows that repeat an id and a vector count once, as do many equal vectors: a
-tile keeps only as many of them as a query can return. If an id has several vectors, each is
+tile keeps only as many of them as a query can return. Very large and very small values count
+as they are: vectors are brought to one magnitude by a power of two before any product. If an id has several vectors, each is
 a candidate, and as a query the id is as near as the nearest of them. Vectors of different
 lengths are not compared. An empty table gives no rows. Other columns are not read.
 """
@@ -51,6 +53,41 @@ def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that no product overflows or vanishes; cosines stay exactly the same."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))
+    return np.ldexp(vectors + 0.0, -exponent)
+
+
+class Nearest:
+    """The nearest ids of a query, each with its best cosine."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.heap: list[tuple[float, int]] = []
+        self.best: dict[int, float] = {}
+
+    @property
+    def least(self) -> float:
+        """What a cosine must reach to matter."""
+        return self.heap[0][0] if len(self.heap) == self.size else -np.inf
+
+    def add(self, score: float, number: int) -> None:
+        entry = (score, -number)
+        held = self.best.get(number)
+        if held is not None:
+            if score > held:
+                self.heap[self.heap.index((held, -number))] = entry
+                heapq.heapify(self.heap)
+                self.best[number] = score
+        elif len(self.heap) < self.size:
+            heapq.heappush(self.heap, entry)
+            self.best[number] = score
+        elif entry > self.heap[0]:
+            del self.best[-heapq.heapreplace(self.heap, entry)[1]]
+            self.best[number] = score
+
+
 class Quantised:
     """Vectors of length one as int8 with a scale each, and how far rounding has moved them."""
 
@@ -86,15 +123,16 @@ def tile(
     """For each query its nearest candidates of a tile: query, candidate and cosine."""
     # One more than a query returns, as it may find itself among equal vectors.
     kept = _first_of_equal(ids, candidates, nearest + 1)
-    ids, candidates = ids[kept], candidates[kept]
-    queries = queries + 0.0
+    kept = kept[np.argsort(ids[kept], kind="stable")]
+    ids, candidates = ids[kept], scaled(candidates[kept])
+    queries = scaled(queries)
     q, c = Quantised(queries), Quantised(candidates)
     q_length, c_length = np.sqrt(products(queries, queries)), np.sqrt(products(candidates, candidates))
     found = []
     for first in range(0, len(queries), STEP_QUERIES):
         rows = slice(first, first + STEP_QUERIES)
         left = q.values[rows].astype(np.float32)
-        heaps: list[list[tuple[float, int]]] = [[] for _ in range(len(left))]
+        heaps = [Nearest(nearest) for _ in range(len(left))]
         for begin in range(0, len(ids), STEP_CANDIDATES):
             columns = slice(begin, begin + STEP_CANDIDATES)
             # Products of int8 are exact here: single precision holds every integer up to 2 ** 24.
@@ -104,25 +142,28 @@ def tile(
             bound = c.error[columns] + q.error[rows, None] * c.length[columns] + ROUNDING
             own = query_ids[rows, None] == ids[None, columns]
             near[own] = -np.inf
-            least = np.array([heap[0][0] if len(heap) == nearest else -np.inf for heap in heaps])
-            if near.shape[1] > nearest:
-                worst = np.partition(near - bound, -nearest, axis=1)[:, -nearest]
-                least = np.maximum(least, worst)
+            least = np.array([heap.least for heap in heaps])
+            # Candidates stand by id: the best that each id is sure to reach.
+            of_id = np.flatnonzero(np.diff(ids[columns], prepend=ids[begin] - 1) != 0)
+            sure = np.maximum.reduceat(near - bound, of_id, axis=1)
+            if len(of_id) > nearest:
+                least = np.maximum(least, np.partition(sure, -nearest, axis=1)[:, -nearest])
             row, column = np.nonzero((near + bound >= least[:, None]) & ~own)
             for part in range(0, len(row), 1 << 16):
                 r, at = row[part : part + (1 << 16)], column[part : part + (1 << 16)] + begin
                 score = products(queries[first + r], candidates[at]) / (q_length[first + r] * c_length[at])
                 for i, s, number in zip(r.tolist(), score.tolist(), ids[at].tolist()):
-                    heap = heaps[i]
-                    if len(heap) < nearest:
-                        heapq.heappush(heap, (s, -number))
-                    elif (s, -number) > heap[0]:
-                        heapq.heapreplace(heap, (s, -number))
+                    heaps[i].add(s, number)
         for query, heap in zip(query_ids[rows].tolist(), heaps):
-            found += [(query, -number, s) for s, number in heap]
+            found += [(query, number, s) for number, s in heap.best.items()]
     return found
 
 
+def dealt(blocks: int) -> Column:
+    """A block for each row, by a hash of its number, so that no id, vector or partition can fill a block."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(blocks)), F.lit(blocks)).cast("int")
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     is_query: Column,
@@ -143,12 +184,8 @@ def nearest_neighbours(
     n = rows.agg(F.count("*").alias("all"), F.count_if("query").alias("queries")).first()
     blocks = -(-n["all"] // CANDIDATES) or 1
     query_blocks = -(-n["queries"] // QUERIES) or 1
-    # Dealt in turn, so that no id or vector can fill a block.
-    turn = F.monotonically_increasing_id()
     rows = saved(
-        rows.withColumn("block", F.pmod(turn, F.lit(blocks)).cast("int")).withColumn(
-            "query_block", F.pmod(F.hash(turn), F.lit(query_blocks)).cast("int")
-        ),
+        rows.withColumn("block", dealt(blocks)).withColumn("query_block", dealt(query_blocks)),
         "vectors",
     )
 

@@ -135,7 +135,9 @@ def sql() -> dict[str, str]:
     """What plain SQL can say of these operators; the others are tested against plain Python."""
     return {
         "op3_neighbours": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e,
-              sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+              sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings
+              WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
             pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
               list_inner_product(q.e, c.e) / (q.n * c.n) AS score
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)

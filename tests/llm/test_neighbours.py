@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -51,6 +52,56 @@ def test_ties_copies_and_unusable_vectors(spark, monkeypatch):
     assert found == brute(good)
 
 
+def test_repeated_ids_take_one_place_each(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "STEP_CANDIDATES", 7)
+    rng = random.Random(3)
+    rows = [(0, [1.0, 0.0, 0.0, 0.0]), (50, [0.0, 1.0, 0.0, 0.0])]
+    # Many vectors of two ids stand nearer than all others, and some ids are near only by their last vector.
+    rows += [(i, [1.0, rng.random() / 9, rng.random() / 9, 0.0]) for i in (1, 2) for _ in range(40)]
+    rows += [(i, [rng.random() - 0.5 for _ in range(4)]) for i in range(3, 20) for _ in range(5)]
+    rows += [(0, [rng.random() - 0.5 for _ in range(4)]) for _ in range(3)]
+    table = vectors(spark, [(i, [float(np.float32(x)) for x in v], "") for i, v in rows]).repartition(3)
+    found = searched(neighbours.nearest_neighbours(table, F.col("vec_id") % 50 == 0))
+    want = {}
+    held = [(r.vec_id, list(r.embedding)) for r in table.collect()]
+    for q in (0, 50):
+        best = {}
+        for v in (v for i, v in held if i == q):
+            for i, w in held:
+                if i != q:
+                    score = sum(a * b for a, b in zip(v, w)) / math.sqrt(sum(a * a for a in v) * sum(b * b for b in w))
+                    best[i] = max(score, best.get(i, -2))
+        want[q] = [(i, round(s, 9)) for i, s in sorted(best.items(), key=lambda s: (-s[1], s[0]))[:5]]
+    assert found == want
+
+
+def test_extreme_values_against_exact_arithmetic(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        size = rng.choice((1e200, 1e-200, 1.0, 1e300, 1e-310))
+        rows.append((i, [rng.choice((-3, -2, -1, 1, 2, 3)) * size for _ in range(4)]))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {i: [Fraction(x) for x in v] for i, v in rows}
+    for query, found in searched(neighbours.nearest_neighbours(table, F.col("vec_id") % 50 == 0)).items():
+        v = exact[query]
+        want = {}
+        for i, w in exact.items():
+            dot = sum(a * b for a, b in zip(v, w))
+            square = dot * dot / (sum(a * a for a in v) * sum(b * b for b in w))
+            want[i] = math.sqrt(square) if dot > 0 else -math.sqrt(square)
+        del want[query]
+        best = sorted(want.values(), reverse=True)[:5]
+        assert [s for _, s in found] == [round(s, 9) for s in best]
+        assert all(abs(want[i] - s) < 1e-9 for i, s in found)
+
+
+def test_blocks_are_even_whatever_the_partitions(spark):
+    table = vectors(spark, [(i, [1.0, float(i)], "") for i in range(4000)]).repartition(100)
+    counts = table.groupBy(neighbours.dealt(8).alias("block")).count().collect()
+    assert len(counts) == 8 and max(r["count"] for r in counts) < 700
+
+
 def test_few_candidates_and_other_lengths(spark):
     rows = [(0, [1.0, 0.0], ""), (1, [1.0, 1.0], ""), (2, [0.0, 1.0], ""), (50, [1.0, 0.0, 0.0], "")]
     found = searched(neighbours.nearest_neighbours(vectors(spark, rows), F.col("vec_id") % 50 == 0))
