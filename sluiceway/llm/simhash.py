@@ -4,15 +4,14 @@ A fingerprint holds 64 bits, by majority over the XXH64 hashes of the word shing
 a text. Two fingerprints link if at most ``ERRORS`` bits differ; documents are near
 duplicates if a chain of links joins them.
 
-The self-join walks a binary trie of the distinct fingerprints, pairs of nodes
+The self-join walks one binary trie of the distinct fingerprints, pairs of nodes
 together: both go down by one bit at a time, bits that differ are added up, and a pair is
-dropped as soon as they exceed the budget. To share the work out, the 64 bits are
-cut into six blocks. Four errors leave two blocks at least without any, so each pair
-of blocks gives one trie, with the bits of these two blocks first and no error allowed
-there: every node at the end of these bits roots a join of its own. A fingerprint is sent
-to 15 such nodes, and every link is found at one of them at least.
+dropped as soon as they exceed the budget. To share the work out, the trie is cut at a depth
+that the number of fingerprints gives, and every pair of nodes there within the budget is a
+task, which goes on down with the errors it has already. With d bits above the cut a fingerprint
+takes part in one task per set of at most ``ERRORS`` of them: 57 for 6 bits, 386 for 10.
 
-A node with more than ``LIMIT`` fingerprints is cut by hash into chunks, and every pair of
+A task with more than ``LIMIT`` fingerprints is cut by hash into chunks, and every pair of
 chunks is a task of its own. A task gives no list of its pairs but a star of each set that it
 finds connected, and leaves out node pairs that are connected already, so a dense group
 of copies costs little and emits one row per member. The stars are joined into components
@@ -40,17 +39,15 @@ from sluiceway.llm.common import saved
 ERRORS = 4
 SHINGLE = 4
 SEED = 42
-# Widths of the blocks, from the highest bit: two more than there are errors.
-BLOCKS = (11, 11, 11, 11, 10, 10)
-# A node's key: the number of its pair of blocks above the bits of two blocks.
-KEY_BITS = 24
-NODE_BITS = KEY_BITS + 4
-# Fingerprints below one node that a task takes at a time.
-LIMIT = 20_000
+# The trie is cut below so many bits at least, and where nodes hold about so many fingerprints.
+DEPTH = 6
+PER_NODE = 1 << 16
+# Fingerprints of a pair of nodes that a task takes at a time.
+LIMIT = 1 << 18
 # Pairs of fingerprints compared at a time.
 COMPARED = 1 << 20
 # Two nodes of so many pairs are compared directly.
-SMALL = 64
+SMALL = 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -82,20 +79,20 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     return signed(text)
 
 
-def block_keys(fingerprint: Column) -> Column:
-    """The nodes at which a fingerprint takes part: one per pair of blocks."""
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    values = [
-        F.shiftrightunsigned(F.shiftleft(fingerprint, start), 64 - width)
-        for start, width in zip(starts, BLOCKS)
-    ]
-    keys, number = [], 0
-    for i in range(len(BLOCKS)):
-        for j in range(i + 1, len(BLOCKS)):
-            both = F.shiftleft(values[i], BLOCKS[j]).bitwiseOR(values[j])
-            keys.append(F.shiftleft(F.lit(number).cast("long"), KEY_BITS).bitwiseOR(both))
-            number += 1
-    return F.array(*keys)
+def depth_for(count: int) -> int:
+    """How many bits of the trie lie above the cut."""
+    return max(DEPTH, (max(count, 1) - 1).bit_length() - (PER_NODE.bit_length() - 1))
+
+
+def node_pairs(node: Column, depth: int) -> Column:
+    """The pairs of nodes at ``depth`` bits that ``node`` is part of, the smaller node in the higher bits."""
+    others = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit((1 << depth) - 1)), lambda bits: F.bit_count(bits) <= ERRORS),
+        lambda bits: node.bitwiseXOR(bits.cast("long")),
+    )
+    return F.transform(
+        others, lambda other: F.shiftleft(F.least(node, other), depth).bitwiseOR(F.greatest(node, other))
+    )
 
 
 class Connected:
@@ -131,18 +128,47 @@ def _expand(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarr
     return low[pair] + at // width[pair], low2[pair] + at % width[pair]
 
 
-def trie_join(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+class Ones:
+    """For each depth of the trie how many entries before a place have a one there."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.known: dict[int, np.ndarray] = {}
+
+    def middle(self, low: np.ndarray, high: np.ndarray, depth: int) -> np.ndarray:
+        """Where the ones begin in ranges that agree in all bits above."""
+        if depth not in self.known:
+            bit = (self.values >> np.uint64(63 - depth)) & np.uint64(1)
+            self.known[depth] = np.concatenate([[0], np.cumsum(bit)]).astype(np.int32)
+        before = self.known[depth]
+        return high - (before[high] - before[low])
+
+
+def trie_join(
+    values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int = 0, tally: dict[str, int] | None = None
+) -> np.ndarray:
     """Connect the fingerprints of each range of ``values`` that differ in few bits.
 
-    ``values`` is unsigned and sorted inside each range. A node of the trie is a range of
-    entries that agree in their highest bits. The result has the smallest connected
-    entry for each entry.
+    ``values`` is unsigned and sorted inside each range. A range holds all entries of one node at
+    ``depth`` bits, or of a pair of such nodes, which are then joined with each other and not each with itself.
+    A node of the trie is a range of entries that agree in their highest bits. The result has the smallest
+    connected entry for each entry. ``tally`` counts node pairs that are walked, pruned and compared.
     """
     found = Connected(len(values))
-    low, high = starts, ends
-    big = high - low > 1
-    # Pairs of nodes still to be walked, a block at a time: both ranges, errors, depth.
-    todo = [(low[big], high[big], low[big], high[big], np.zeros(big.sum(), np.int8), 0)]
+    ones = Ones(values)
+    first, last = values[starts], values[ends - 1]
+    apart = (first ^ last) >> np.uint64(64 - depth) if depth else np.zeros(len(starts), np.uint64)
+    whole = apart == 0
+    # Where the second node of a pair begins: behind all entries that share the first one's bits.
+    middle = starts.copy()
+    for at in np.flatnonzero(~whole):
+        edge = ((first[at] >> np.uint64(64 - depth)) + np.uint64(1)) << np.uint64(64 - depth)
+        middle[at] += np.searchsorted(values[starts[at] : ends[at]], edge)
+    low, high = starts, np.where(whole, ends, middle)
+    low2, high2, errors = middle, ends, np.bitwise_count(apart).astype(np.int8)
+    big = (high - low > 1) | ~whole
+    # Pairs of nodes still to be walked: both ranges, errors, depth.
+    todo = [(low[big], high[big], low2[big], high2[big], errors[big], depth)]
     while todo:
         low, high, low2, high2, errors, depth = todo.pop()
         # Leave out what is connected already.
@@ -152,6 +178,9 @@ def trie_join(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np
             low, high, low2, high2, errors = (x[~same] for x in (low, high, low2, high2, errors))
         count = (high - low) * (high2 - low2)
         small = (count <= SMALL) | (depth == 64)
+        if tally is not None:
+            tally["walked"] = tally.get("walked", 0) + len(count)
+            tally["compared"] = tally.get("compared", 0) + int(count[small].sum())
         if small.any():
             compared = np.cumsum(count[small]) // COMPARED
             chosen = np.flatnonzero(small)
@@ -167,9 +196,7 @@ def trie_join(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np
             for part in (slice(half, None), slice(0, half)):
                 todo.append((low[part], high[part], low2[part], high2[part], errors[part], depth))
             continue
-        bit = (values >> np.uint64(63 - depth)) & np.uint64(1)
-        ones = np.concatenate([[0], np.cumsum(bit)]).astype(np.int64)
-        middle, middle2 = (h - (ones[h] - ones[l]) for l, h in ((low, high), (low2, high2)))
+        middle, middle2 = ones.middle(low, high, depth), ones.middle(low2, high2, depth)
         itself = low == low2
         children = [
             (low, middle, low2, middle2, errors),
@@ -179,7 +206,10 @@ def trie_join(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np
         cross = ~itself
         children.append(tuple(x[cross] for x in (middle, high, low2, middle2, errors + 1)))
         joined = [np.concatenate([child[i] for child in children]) for i in range(5)]
-        alive = (joined[0] < joined[1]) & (joined[2] < joined[3]) & (joined[4] <= ERRORS)
+        alive = (joined[0] < joined[1]) & (joined[2] < joined[3])
+        if tally is not None:
+            tally["pruned"] = tally.get("pruned", 0) + int((alive & (joined[4] > ERRORS)).sum())
+        alive &= joined[4] <= ERRORS
         # A single entry with itself has nothing to compare.
         alive &= ~((joined[0] == joined[2]) & (joined[1] - joined[0] == 1))
         if alive.any():
@@ -187,52 +217,63 @@ def trie_join(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np
     return found.root
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by node and fingerprint, the stars that connect the fingerprints of each node."""
+def _stars(depth: int):
+    """Of rows sorted by task, the stars that connect the fingerprints of each pair of nodes at ``depth`` bits."""
 
     def joined(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        ends = np.append(starts[1:], len(keys))
-        # Only nodes with several fingerprints matter.
-        several = np.repeat(ends - starts > 1, ends - starts)
-        keys, values = keys[several], values[several]
-        if not len(keys):
-            return pa.RecordBatch.from_pydict({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         order = np.lexsort((values, keys))
         keys, values = keys[order], values[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        root = trie_join(values, starts, np.append(starts[1:], len(keys)))
+        ends = np.append(starts[1:], len(keys))
+        # A node without its partner has nothing to meet; its own pairs are another task.
+        own = (keys[starts] >> depth) % (1 << depth) == keys[starts] % (1 << depth)
+        met = own | ((values[starts] ^ values[ends - 1]) >> np.uint64(64 - depth) > 0)
+        root = trie_join(values, starts[met], ends[met], depth)
         linked = np.flatnonzero(root != np.arange(len(root)))
         u, v = values[linked].view(np.int64), values[root[linked]].view(np.int64)
         return pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v)})
 
-    held_keys, held_values = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for batch in batches:
-        keys = np.concatenate([held_keys, batch.column(0).to_numpy()])
-        values = np.concatenate([held_values, batch.column(1).to_numpy().view(np.uint64)])
-        # The last node may go on in the next batch.
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-        held_keys, held_values = keys[cut:], values[cut:]
-        if cut:
-            yield joined(keys[:cut], values[:cut])
-    if len(held_keys):
-        yield joined(held_keys, held_values)
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        task = None
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            values = batch.column(1).to_numpy().view(np.uint64)
+            # The last task may go on in the next batch.
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if cut or (len(keys) and keys[0] != task and held):
+                held.append((keys[:cut], values[:cut]))
+                yield joined(*map(np.concatenate, zip(*held)))
+                held = []
+            if len(keys):
+                held.append((keys[cut:], values[cut:]))
+                task = keys[-1]
+        if held:
+            yield joined(*map(np.concatenate, zip(*held)))
+
+    return stars
 
 
 def links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Stars ``u``, ``v`` that connect the distinct values of ``fingerprint``; zero rows where nothing is near."""
-    nodes = prints.select(F.explode(block_keys(F.col("fingerprint"))).alias("node"), "fingerprint")
-    large = nodes.groupBy("node").count().filter(F.col("count") > limit)
-    large = saved(large.select("node", F.ceil(F.col("count") / limit).alias("chunks")), "large-nodes")
-    # Of a large node every pair of chunks is a task, so a fingerprint goes to as many tasks as there are chunks.
+    depth = depth_for(prints.count())
+    node = F.shiftrightunsigned("fingerprint", 64 - depth)
+    pairs = prints.select("fingerprint", node.alias("node"))
+    pairs = pairs.select(F.explode(node_pairs(F.col("node"), depth)).alias("pair"), "fingerprint")
+    # The sizes of all nodes give those of the pairs.
+    sizes = prints.groupBy(node.alias("node")).count()
+    sizes = sizes.select(F.explode(node_pairs(F.col("node"), depth)).alias("pair"), "count")
+    sizes = sizes.groupBy("pair").agg(F.sum("count").alias("count")).filter(F.col("count") > limit)
+    large = saved(sizes.select("pair", F.ceil(F.col("count") / limit).alias("chunks")), "large-pairs")
+    # Of a large pair every two chunks are a task, so a fingerprint goes to as many tasks as there are chunks.
     tasks = F.expr(
-        f"""CASE WHEN chunks IS NULL THEN array(node)
+        f"""CASE WHEN chunks IS NULL THEN array(pair)
             ELSE transform(sequence(0L, chunks - 1), other -> shiftleft(
                 1 + least(other, pmod(xxhash64(fingerprint), chunks)) * chunks
-                + greatest(other, pmod(xxhash64(fingerprint), chunks)), {NODE_BITS}) | node) END"""
+                + greatest(other, pmod(xxhash64(fingerprint), chunks)), {2 * depth}) | pair) END"""
     )
-    nodes = nodes.join(large, "node", "left").select(F.explode(tasks).alias("task"), "fingerprint")
-    return nodes.repartition("task").sortWithinPartitions("task").mapInArrow(_stars, "u long, v long")
+    pairs = pairs.join(large, "pair", "left").select(F.explode(tasks).alias("task"), "fingerprint")
+    return pairs.repartition("task").sortWithinPartitions("task").mapInArrow(_stars(depth), "u long, v long")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

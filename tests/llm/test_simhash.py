@@ -56,9 +56,51 @@ def test_trie_join(prints):
     assert found.tolist() == brute(prints)
 
 
+def test_the_walk_finds_every_link_and_prunes():
+    prints = dense(4, 400, 8) + [random.Random(5).getrandbits(64) for _ in range(2000)]
+    prints = sorted(set(prints))
+    tally = {}
+    found = simhash.trie_join(np.array(prints, np.uint64), np.array([0]), np.array([len(prints)]), 0, tally)
+    assert found.tolist() == brute(prints)
+    assert tally["walked"] and tally["pruned"]
+    # Most pairs are never compared.
+    assert tally["compared"] < len(prints) ** 2 / 4
+
+
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_pairs_of_nodes_below_a_cut(depth):
+    prints = dense(6, 250, 6)
+    groups = {}
+    for value in prints:
+        top = value >> (64 - depth)
+        for other in range(1 << depth):
+            if (top ^ other).bit_count() <= 4:
+                groups.setdefault((min(top, other), max(top, other)), []).append(value)
+    place = {value: i for i, value in enumerate(prints)}
+    edges = []
+    for (a, b), group in groups.items():
+        group = sorted(group)
+        if a == b or len({v >> (64 - depth) for v in group}) == 2:
+            found = simhash.trie_join(np.array(group, np.uint64), np.array([0]), np.array([len(group)]), depth)
+            edges += [(place[v], place[group[r]]) for v, r in zip(group, found.tolist())]
+    joined = simhash.Connected(len(prints))
+    joined.link(*(np.array(side) for side in zip(*edges)))
+    assert joined.root.tolist() == brute(prints)
+
+
+def test_depth_grows_with_the_fingerprints():
+    assert [simhash.depth_for(n) for n in (0, 1, 1 << 22, (1 << 22) + 1, 1 << 26)] == [6, 6, 6, 7, 10]
+
+
+def clustered():
+    """Fingerprints that agree in their first bits, so that one node holds nearly all."""
+    rng = random.Random(7)
+    return sorted({5 << 58 | rng.getrandbits(12) << rng.choice((0, 20)) for _ in range(300)} | {1 << 63, 3 << 62, 0})
+
+
 @pytest.mark.parametrize("limit", [20_000, 7])
-def test_links_and_components(spark, limit):
-    prints = dense(3, 300, 7)
+@pytest.mark.parametrize("prints", [dense(3, 300, 7), clustered()], ids=["dense", "clustered"])
+def test_links_and_components(spark, limit, prints):
     rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in prints], "fingerprint long")
     found = {r.node: r.component for r in simhash.components(simhash.links(rows, limit)).collect()}
     root = brute(prints)
