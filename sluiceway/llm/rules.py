@@ -2,8 +2,8 @@
 
 Statistics of each text are counted by SQL functions alone. From the labelled ones,
 sequential covering learns conjunctions of thresholds that tell poor texts: a rule grows
-by the condition with the best information gain, is pruned on documents it has not seen,
-and what it covers is set aside before the next rule is grown. Each step is one
+by the condition with the best information gain, is pruned on documents it has not seen
+to what is beyond luck there, and what it covers is set aside before the next rule is grown. Each step is one
 aggregate over the labelled statistics, cut into at most twice ``BINS`` bins per statistic, so
 all labelled documents count and only bin counts reach the driver. The list becomes one
 ordered conditional expression.
@@ -16,9 +16,9 @@ empty and every text passes it. Rows are judged each on its own; other columns a
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log2
+from math import exp, lgamma, log2
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import fold, saved
@@ -30,10 +30,10 @@ WINDOW = 3
 BINS = 32
 MAX_RULES = 10
 MAX_CONDITIONS = 3
-# A rule needs this share of poor texts among those it covers on the documents kept for pruning.
+# A rule needs this share of poor texts among those it covers, on the documents for growing and on those for pruning.
 PRECISION = 0.97
-# And so many of them.
-LEAST = 3
+# And chance would cover so many poor ones, on either, with this probability at most.
+CHANCE = 0.001
 # Grow on the folds below this one and prune on it; fold 0 is held out.
 PRUNE_FOLD = 4
 
@@ -214,24 +214,49 @@ def _grow(rows: DataFrame, thresholds: list[list[float]]) -> Rule:
     return rule
 
 
+def luck(poor: int, covered: int, all_poor: int, everything: int) -> float:
+    """How likely ``covered`` documents drawn by chance hold ``poor`` or more of the poor ones."""
+
+    def ways(n: int, k: int) -> float:
+        return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+
+    total = 0.0
+    for k in range(min(covered, all_poor), max(poor, covered + all_poor - everything) - 1, -1):
+        total += exp(ways(all_poor, k) + ways(everything - all_poor, covered - k) - ways(everything, covered))
+    return total
+
+
 def _prune(rows: DataFrame, rule: Rule) -> Rule:
-    """The beginning of a rule that is best on the documents for pruning; empty if none is good enough."""
+    """The beginning of a rule that is best on the documents for pruning; empty if none is good enough.
+
+    Good enough asks no number of documents, but that the rule is nearly pure and beyond luck.
+    """
     if not rule:
         return ()
-    sums = []
+    sums = [F.sum("poor").alias("poor0"), F.sum(1 - F.col("poor")).alias("good0")]
     for n in range(1, len(rule) + 1):
         held = _covered(rule[:n])
         sums += [
             F.sum(F.when(held, F.col("poor"))).alias(f"poor{n}"),
             F.sum(F.when(held, 1 - F.col("poor"))).alias(f"good{n}"),
         ]
-    found = rows.filter(F.col("part") == PRUNE_FOLD).agg(*sums).first()
+    pruned = (F.col("part") == PRUNE_FOLD).alias("pruned")
+    found = {r["pruned"]: r for r in rows.groupBy(pruned).agg(*sums).collect()}
+    if len(found) < 2:
+        return ()
+
+    def holds(part: Row, n: int) -> bool:
+        poor, good = part[f"poor{n}"] or 0, part[f"good{n}"] or 0
+        if not poor or poor / (poor + good) < PRECISION:
+            return False
+        return luck(poor, poor + good, part["poor0"], part["poor0"] + part["good0"]) <= CHANCE
+
     best = (0, ())
     for n in range(1, len(rule) + 1):
-        poor, good = found[f"poor{n}"] or 0, found[f"good{n}"] or 0
+        gained = (found[True][f"poor{n}"] or 0) - (found[True][f"good{n}"] or 0)
         # A shorter rule is kept if a longer one is not better.
-        if poor >= LEAST and poor / (poor + good) >= PRECISION and poor - good > best[0]:
-            best = (poor - good, rule[:n])
+        if gained > best[0] and all(holds(part, n) for part in found.values()):
+            best = (gained, rule[:n])
     return best[1]
 
 

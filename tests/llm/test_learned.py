@@ -1,5 +1,6 @@
 """Learned operators: toxicity, language and quality rules."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -184,3 +185,38 @@ def test_no_python_in_native_operators(spark, given):
     for name in ("op2_personal_data", "op9_rules"):
         plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_luck_is_the_tail_of_drawing_without_putting_back():
+    from math import comb
+
+    for poor, covered, all_poor, everything in ((0, 3, 4, 20), (2, 2, 2, 82), (1, 1, 1, 1000), (3, 5, 6, 30), (5, 5, 5, 5)):
+        ways = sum(
+            comb(all_poor, k) * comb(everything - all_poor, covered - k) for k in range(poor, min(covered, all_poor) + 1)
+        )
+        assert abs(rules.luck(poor, covered, all_poor, everything) - ways / comb(everything, covered)) < 1e-9
+
+
+def test_a_rule_of_two_conditions_where_neither_is_enough(spark):
+    rng = random.Random(11)
+    stats, labels = [], []
+    for i in range(1200):
+        symbols, shouts = rng.random() < 0.3, rng.random() < 0.3
+        n = rng.randint(100, 300)
+        stats.append((i, n, 5 * n, 40 if symbols else rng.randint(0, 5), 0, 0, 10, 0, 5, 60 if shouts else rng.randint(0, 5)))
+        labels.append((i, 0 if symbols and shouts else 1))
+    names = "key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+    rows = spark.createDataFrame(stats, names + ", n_capitals long, n_marks long, n_shouts long")
+    learned = rules.learn(rows, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert {c.feature for c in learned[0]} == {"symbols_per_word", "shouts_per_word"}
+    got = {r.key for r in rows.withColumn("rule", rules.decision(learned)).filter("rule IS NOT NULL").collect()}
+    assert got == {i for i, label in labels if label == 0}
+
+
+def test_nothing_is_learned_from_chance_labels(spark):
+    rng = random.Random(12)
+    stats = [(i, 200, 1000, rng.randint(0, 50), 0, 0, 10, rng.randint(0, 50), 5, rng.randint(0, 50)) for i in range(800)]
+    names = "key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+    rows = spark.createDataFrame(stats, names + ", n_capitals long, n_marks long, n_shouts long")
+    labels = [(i, 0 if rng.random() < 0.1 else 1) for i in range(800)]
+    assert rules.learn(rows, spark.createDataFrame(labels, "doc_id long, quality int")) == []
