@@ -46,3 +46,18 @@ def resume_offsets(files: DataFrame, saved: DataFrame) -> DataFrame:
         .withColumn("start", F.when(valid, F.col("_offset")).otherwise(F.lit(0)).cast("bigint"))
         .drop("checkpoint_key", "_inode", "_offset")
     )
+
+
+def behind(checkpoints: DataFrame, files: DataFrame) -> DataFrame:
+    """Add to checkpoints the ``size`` of their file and its ``lag``, the bytes still to be read.
+
+    A file that was rotated or truncated lags by all of its bytes. Bytes of a line that has no end yet
+    count as well. Checkpoints of files that are gone are left out.
+    """
+    now = files.select(
+        checkpoint_key(F.col("path")).alias("checkpoint_key"), F.col("inode").alias("_inode"), "size"
+    )
+    goes_on = (F.col("inode") == F.col("_inode")) & (F.col("size") >= F.col("offset"))
+    found = checkpoints.join(now, "checkpoint_key")
+    lag = F.when(goes_on, F.col("size") - F.col("offset")).otherwise(F.col("size"))
+    return found.withColumn("lag", lag.cast("bigint")).drop("_inode")

@@ -313,6 +313,15 @@ def all_sql() -> dict[str, str]:
               FROM documents)
             SELECT 'log_' || sha1(path) AS checkpoint_key, inode, "offset"::BIGINT AS "offset"
             FROM f WHERE "offset" > 0 AND NOT (lang = 'en' AND "offset" = first_line)""",
+        "source_lag": """WITH f AS (SELECT lang, 'log_' || sha1('/logs/' || source || '/' || doc_id) AS checkpoint_key,
+              doc_id + 100 AS inode, strlen(text) AS whole,
+              strlen(text) - strlen(list_last(string_split(text, chr(10)))) AS complete,
+              strlen(string_split(text, chr(10))[1]) + 1 AS first_line FROM documents),
+            r AS (SELECT *, CASE lang WHEN 'en' THEN least(complete, first_line) ELSE complete END AS read,
+              CASE lang WHEN 'fr' THEN 1 ELSE whole END AS now FROM f WHERE complete > 0)
+            SELECT checkpoint_key, inode, read::BIGINT AS "offset", now::BIGINT AS size,
+              (CASE WHEN lang = 'de' OR now < read THEN now ELSE now - read END)::BIGINT AS lag
+            FROM r WHERE whole IS NOT NULL""",
         "field_profile": " UNION ALL ".join(
             [_shapes("events", c) for c in ("event_type", "user_id", "value", "props")]
             + [_shapes("orders", c) for c in ("o_orderstatus", "o_orderkey", "o_orderpriority")]

@@ -548,6 +548,25 @@ def checkpoint(spark: SparkSession, folder: str) -> DataFrame:
     return progress.checkpoints(found, previous)
 
 
+@query
+def source_lag(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each log lies behind its file: English ones stopped after a line, German ones were rotated, French ones cut."""
+    files = t.log_files(spark, folder)
+    read = progress.checkpoints(lines.scan_lines(files, keys=["path", "inode"]))
+    first_line = (F.octet_length(F.substring_index("text", "\n", 1)) + 1).cast("bigint")
+    stopped = files.filter("lang = 'en'").select(
+        progress.checkpoint_key(F.col("path")).alias("checkpoint_key"), first_line.alias("_stop")
+    )
+    read = read.join(stopped, "checkpoint_key", "left")
+    read = read.withColumn("offset", F.least("offset", F.coalesce("_stop", "offset"))).drop("_stop")
+    now = files.select(
+        "path",
+        F.when(F.col("lang") == "de", F.col("inode") + 1).otherwise(F.col("inode")).alias("inode"),
+        F.when(F.col("lang") == "fr", F.lit(1).cast("bigint")).otherwise(F.col("size")).alias("size"),
+    )
+    return progress.behind(read, now)
+
+
 # --- columns -------------------------------------------------------------------
 
 

@@ -456,6 +456,13 @@ def read_logs(
     return lines if to_offset is None else lines.filter(lines["byte_offset"] < to_offset)
 
 
+def list_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The files that a path or glob means now, with ``path``, ``inode`` and ``size``."""
+    with ThreadPoolExecutor(_PARALLEL) as pool:
+        found = [f for f in pool.map(lambda p: _grown(p, None), _paths(path)) if f]
+    return spark.createDataFrame([(p, inode, size) for p, inode, _, size in found], "path string, inode bigint, size bigint")
+
+
 def tail_logs(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """The lines of the files as they are written."""
     register(spark)

@@ -1,0 +1,134 @@
+"""The progress of running streams as a table."""
+
+import os
+import threading
+import time
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
+
+from sluiceway.operators import progress
+from sluiceway.sources.tail import list_logs, read_logs, tail_logs
+from sluiceway.streaming import run
+from sluiceway.streaming.progress_log import ProgressListener, log_checkpoints, read_progress, stalled
+
+
+@pytest.fixture
+def watched(spark, tmp_path):
+    """A folder that a listener writes to."""
+    folder = str(tmp_path / "progress")
+    listener = ProgressListener(spark, folder)
+    spark.streams.addListener(listener)
+    yield folder
+    spark.streams.removeListener(listener)
+
+
+def until(read, wanted, seconds=40):
+    """Events come a little later than what they tell of."""
+    end = time.time() + seconds
+    while (found := read()) != wanted and time.time() < end:
+        time.sleep(0.3)
+    assert found == wanted
+
+
+def append(path, data):
+    with open(path, "ab") as file:
+        file.write(data)
+
+
+def positions(spark, folder):
+    if not os.path.isdir(folder):
+        return []
+    found = log_checkpoints(read_progress(spark, folder)).select("checkpoint_key", "inode", "offset")
+    return sorted(tuple(r) for r in found.collect())
+
+
+def expected(spark, pattern):
+    return sorted(
+        tuple(r)
+        for r in progress.checkpoints(read_logs(spark, pattern)).select("checkpoint_key", "inode", "offset").collect()
+    )
+
+
+def sources(spark, folder, *columns):
+    return [tuple(r) for r in read_progress(spark, folder).select(*columns).collect()]
+
+
+def test_offsets_counts_and_a_stalled_source(spark, tmp_path, watched):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    pattern = str(logs / "*.log")
+    append(logs / "a.log", b"one\ntwo\n")
+    append(logs / "b.log", b"three\nunfinished")
+    free = threading.Event()
+    free.set()
+
+    def write(batch, batch_id):
+        free.wait(60)
+        batch.count()
+
+    query = run.start(tail_logs(spark, pattern), write, str(tmp_path / "checkpoint"), interval_us=200_000)
+    try:
+        query.processAllAvailable()
+        want = expected(spark, pattern)
+        assert len(want) == 2
+        until(lambda: positions(spark, watched), want)
+        assert sources(spark, watched, "query_id", "rows", "error") == [(str(query.id), 3, None)]
+
+        def waiting(patience):
+            found = stalled(
+                read_progress(spark, watched), list_logs(spark, str(logs / "a.log")), datetime.now(timezone.utc), patience
+            )
+            return [(r.query_id, r.source_no, r.files, r.lag) for r in found.collect()]
+
+        assert waiting(timedelta()) == []
+        # The output hangs while the log grows.
+        free.clear()
+        append(logs / "a.log", b"four\nfive\n")
+        until(lambda: waiting(timedelta(seconds=1)), [(str(query.id), 1, 1, 10)])
+        assert waiting(timedelta(hours=1)) == []
+        free.set()
+        query.processAllAvailable()
+        until(lambda: positions(spark, watched), expected(spark, pattern))
+        assert waiting(timedelta()) == []
+        assert sources(spark, watched, "rows") == [(5,)]
+    finally:
+        free.set()
+        query.stop()
+    until(lambda: sources(spark, watched, "state"), [("ended",)])
+    # One file, however many batches there were.
+    assert len([f for f in os.listdir(watched) if f.endswith(".json") and not f.startswith(".")]) == 1
+
+
+def test_counts_go_on_after_a_restart_and_a_failure_is_told(spark, tmp_path, watched):
+    path = str(tmp_path / "app.log")
+    checkpoint = str(tmp_path / "checkpoint")
+    append(path, b"one\ntwo\n")
+    run.start(tail_logs(spark, path), lambda b, n: b.count(), checkpoint, drain=True).awaitTermination(60)
+    until(lambda: sources(spark, watched, "state", "rows", "batch"), [("ended", 2, 0)])
+    append(path, b"three\n")
+
+    def broken(batch, batch_id):
+        raise ValueError("no output")
+
+    with pytest.raises(StreamingQueryException):
+        run.start(tail_logs(spark, path), broken, checkpoint, drain=True).awaitTermination(60)
+    until(lambda: sources(spark, watched, "state", "rows", "batch"), [("failed", 2, 0)])
+    assert "no output" in sources(spark, watched, "error")[0][0]
+    # The batch that failed comes again.
+    run.start(tail_logs(spark, path), lambda b, n: b.count(), checkpoint, drain=True).awaitTermination(60)
+    until(lambda: sources(spark, watched, "state", "rows", "batch", "error"), [("ended", 3, 1, None)])
+    assert positions(spark, watched) == expected(spark, path)
+
+
+def test_lags_of_rotated_cut_and_missing_files(spark):
+    names = ["read", "grown", "rotated", "cut", "gone"]
+    key = progress.checkpoint_key(F.col("path"))
+    saved = spark.createDataFrame([(n, 1, 10) for n in names], "path string, inode long, offset long")
+    saved = saved.select(key.alias("checkpoint_key"), "inode", "offset")
+    files = [("read", 1, 10), ("grown", 1, 14), ("rotated", 2, 30), ("cut", 1, 4), ("new", 9, 9)]
+    files = spark.createDataFrame(files, "path string, inode long, size long")
+    lags = progress.behind(saved, files).join(files.select(key.alias("checkpoint_key"), "path"), "checkpoint_key")
+    assert {r.path: r.lag for r in lags.collect()} == {"read": 0, "grown": 4, "rotated": 30, "cut": 4}
