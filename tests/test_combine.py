@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluiceway.config import ConfigError
-from sluiceway.operators import combine, envelope
+from sluiceway.operators import combine, envelope, ranks
 from sluiceway.operators.ranks import _cut, _large_keys, position, with_previous
 from sluiceway.sources.heartbeat import heartbeat
 
@@ -130,6 +130,41 @@ def test_ranges_follow_the_rows_and_not_the_values(spark):
     assert ranked.filter("n <> CASE WHEN v > 10000 THEN 10000 ELSE v END").count() == 0
 
 
+def test_rows_of_equal_order_are_cut_by_their_ties(spark):
+    frame = spark.range(20_000).selectExpr("'k' AS k", "0L AS v", "concat('/logs/', id % 10000) AS path", "id DIV 10000 AS n")
+    ties = ["path", "n"]
+    cut = _cut(frame, _large_keys(frame, ["k"], "v", 1000, ties), ["k"], "v", "left", ties)
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 1200
+    ranked = position(frame, ["k"], "v", "at", 1000, ties)
+    want = sorted((f"/logs/{i % 10000}", i // 10000) for i in range(20_000))
+    assert [(r.path, r.n) for r in ranked.orderBy("at").collect()] == want
+    assert ranked.agg(F.min("at"), F.max("at"), F.count_distinct("at")).first()[:] == (1, 20_000, 20_000)
+
+
+def test_ranges_from_a_sample(spark, monkeypatch):
+    """Rare values stand for each other, frequent ones count for themselves."""
+    monkeypatch.setattr(ranks, "SAMPLE", 500)
+    frame = spark.range(20_000).selectExpr("'k' AS k", "CASE WHEN id < 5000 THEN 700L ELSE id END AS v", "id")
+    cut = _cut(frame, _large_keys(frame, ["k"], "v", 1000), ["k"], "v", "left")
+    sizes = sorted(r["count"] for r in cut.groupBy("_range").count().collect())
+    # The frequent value cannot be cut; no other range is far from the limit.
+    assert sizes[-1] < 6500 and sizes[-2] < 2000 and sum(sizes) == 20_000
+    ranked = position(frame, ["k"], "v", "at", 1000, ["id"])
+    assert ranked.filter("at <> id + 1").count() == 0
+
+
+def test_nulls_in_order_and_ties_come_first(spark):
+    rows = [("k", v, t) for v in (None, 1, 2) for t in (None, "a", "b")] * 2
+    frame = spark.createDataFrame(rows, "k string, v bigint, t string")
+    for limit in (1, 5, 100):
+        ranked = position(frame, ["k"], "v", "at", limit, ["t"]).orderBy("at").collect()
+        assert [r.at for r in ranked] == list(range(1, 19))
+        assert [(r.v, r.t) for r in ranked] == sorted(
+            ((v, t) for _, v, t in rows), key=lambda p: (p[0] or 0, p[1] or "")
+        )
+
+
 def test_equal_offsets_of_several_files(spark):
     rows = [("e", "a", p, o, f"{p}{o}") for p in ("y", "x") for o in (0, 5)]
     frame = spark.createDataFrame(
