@@ -1,7 +1,8 @@
 """Personal data: identifiers by form, and more of them by bootstrapped context.
 
 Emails, network addresses, card and phone numbers have a form of their own and are found by
-pattern. They are the seeds: the words before them induce lexical patterns, and other words,
+pattern. They are the seeds, with the values that a label and their shape tell, like
+``token = "24be64439e..."``: the words before them induce lexical patterns, and other words,
 or runs of words, that look like identifiers are instances of the patterns they follow. Spark scores the graph
 of patterns and instances in rounds. A pattern is worth the mean of its distinct
 instances, each instance as much as the best pattern it follows; seeds are worth 1.
@@ -20,6 +21,8 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +78,11 @@ CONTEXT_WORDS = (1, 2)
 # Matches before a match that hold so many words, whatever text is between.
 BACK = max(CONTEXT_WORDS) + 1
 
+# A value that is a seed by its label and shape: a long run of hexadecimal digits and letters behind a name and a
+# sign, unless the name is that of a checksum.
+LABEL = r"(?:^|[\s\"'{,(<])(?!(?:sha|md5|crc|commit|checksum|hash|digest|rev)[0-9a-z_-]*[\"']?\s?:?[=:]$)[\p{L}_][\p{L}0-9_.-]*[\"']?\s?:?[=:]$"
+SECRET = r"^(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{16,}$"
+
 ROUNDS = 3
 # A pattern counts with so many different known instances and this worth.
 SUPPORT = 5
@@ -239,15 +247,22 @@ def _nodes(c: Column) -> Column:
     )
 
 
+def labelled(c: Column) -> Column:
+    """Whether a candidate is known by its label and shape alone."""
+    return c["instance"].rlike(SECRET) & c["before"].rlike(LABEL)
+
+
 def graph(found: DataFrame) -> DataFrame:
     """Edges between ``pattern`` (the words before) and ``instance``, and whether that is a ``seed``."""
 
-    def all_of(column: str, seed: bool) -> Column:
+    def all_of(column: str, seed: Callable[[Column], Column]) -> Column:
         return F.transform(
-            column, lambda c: F.struct(c["instance"].alias("instance"), c["before"].alias("before"), F.lit(seed).alias("seed"))
+            column, lambda c: F.struct(c["instance"].alias("instance"), c["before"].alias("before"), seed(c).alias("seed"))
         )
 
-    edges = found.select(F.explode(F.concat(all_of("seeds", True), all_of("candidates", False))).alias("c"))
+    edges = found.select(
+        F.explode(F.concat(all_of("seeds", lambda c: F.lit(True)), all_of("candidates", labelled))).alias("c")
+    )
     edges = edges.select("c.seed", F.explode(_nodes(F.col("c"))).alias("node")).select("node.*", "seed")
     return edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"))
 
