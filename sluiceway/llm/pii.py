@@ -7,7 +7,7 @@ or runs of words, that look like identifiers are instances of the patterns they
 of patterns and instances in rounds. A pattern is worth the mean of its distinct
 instances, each instance as much as the best pattern it follows; seeds are worth 1.
 Patterns with enough different known instances and a high worth make their instances
-known for the next round. In the end all occurrences of known instances are spans. A short
+known for the next round, but for single words that mostly stand before something else. In the end all occurrences of known instances are spans. A short
 instance is one of its own for each pattern, so it is a span only where it follows a good one.
 
 All of this is DataFrame work on columns, without Python on the executors. Offsets count code
@@ -87,6 +87,8 @@ ROUNDS = 3
 # A pattern counts with so many different known instances and this worth.
 SUPPORT = 5
 WORTH = 0.8
+# A pattern of one word stands before an instance at least so often.
+SHARE = 0.1
 
 SPAN = "struct<kind:string,start:int,end:int>"
 
@@ -237,7 +239,8 @@ def _nodes(c: Column) -> Column:
     patterns = F.array(
         *[F.when(F.size(words) >= n, F.array_join(F.slice(words, -n, n), " ")) for n in CONTEXT_WORDS]
     )
-    patterns = F.filter(patterns, lambda p: p.isNotNull() & (p != ""))
+    # Signs alone are no context.
+    patterns = F.filter(patterns, lambda p: p.isNotNull() & p.rlike(r"\p{L}"))
     short = F.length(c["instance"]) < LEAST_LENGTH
     return F.transform(
         patterns,
@@ -264,17 +267,38 @@ def graph(found: DataFrame) -> DataFrame:
         F.explode(F.concat(all_of("seeds", lambda c: F.lit(True)), all_of("candidates", labelled))).alias("c")
     )
     edges = edges.select("c.seed", F.explode(_nodes(F.col("c"))).alias("node")).select("node.*", "seed")
-    return edges.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"))
+    return edges.groupBy("pattern", "instance").agg(
+        F.max(F.col("seed").cast("double")).alias("seed"), F.count("*").alias("times")
+    )
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, worth: float = WORTH) -> DataFrame:
-    """The known instances with their ``worth``, seeds with 1."""
+def common_words(
+    docs: DataFrame, edges: DataFrame, text: str = "text", support: int = SUPPORT, share: float = SHARE
+) -> DataFrame:
+    """Each ``pattern`` of one word that mostly stands before something else: no context, though cards may follow it."""
+    used = edges.filter(~F.contains("pattern", F.lit(" "))).groupBy("pattern")
+    used = used.agg(F.count("*").alias("instances"), F.sum("times").alias("times")).filter(F.col("instances") >= support)
+    words = docs.select(F.explode(F.split(F.lower(F.col(f"`{text}`")), rf"[{SPACE}]+")).alias("pattern"))
+    words = words.groupBy("pattern").agg(F.count("*").alias("everywhere"))
+    return used.join(words, "pattern").filter(F.col("times") < share * F.col("everywhere")).select("pattern")
+
+
+def bootstrap(
+    edges: DataFrame,
+    rounds: int = ROUNDS,
+    support: int = SUPPORT,
+    worth: float = WORTH,
+    common: DataFrame | None = None,
+) -> DataFrame:
+    """The known instances with their ``worth``, seeds with 1. Patterns in ``common`` make nothing known."""
     known = edges.groupBy("instance").agg(F.max("seed").alias("worth"))
     for turn in range(rounds):
         scores = edges.join(known, "instance").groupBy("pattern").agg(
             F.avg("worth").alias("score"), F.count_if(F.col("worth") > 0).alias("known")
         )
         good = scores.filter((F.col("known") >= support) & (F.col("score") >= worth)).select("pattern", "score")
+        if common is not None:
+            good = good.join(common, "pattern", "left_anti")
         known = edges.join(good, "pattern", "left").groupBy("instance").agg(
             F.greatest(F.max("seed"), F.coalesce(F.max("score"), F.lit(0.0))).alias("worth")
         )
@@ -286,7 +310,8 @@ def _all_spans(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
     """``identifiers`` with ``all``: the base spans and the discovered."""
     found = identifiers(docs, key, text, carry).withColumn("row", F.monotonically_increasing_id())
     found = saved(found, "identifiers")
-    known = bootstrap(saved(graph(found), "graph"))
+    edges = saved(graph(found), "graph")
+    known = bootstrap(edges, common=saved(common_words(docs, edges, text), "common-words"))
     # Long instances are known wherever they are, short ones by the patterns that they follow.
     new = found.select("row", F.explode("candidates").alias("c"))
     own = F.when(F.length("c.instance") < LEAST_LENGTH, F.transform(_nodes(F.col("c")), lambda node: node["instance"]))

@@ -92,6 +92,39 @@ def test_weak_patterns_discover_nothing(docs):
     assert sum(s.kind == "id" for r in found for s in r.spans) == 0
 
 
+def test_labelled_values_are_found_and_lead_to_others(docs):
+    rows = [(i, f'then token = "{i:08x}a0b1c2d3e4f5{i:08x}" in it') for i in range(1, 9)]
+    rows += [(20, "key: 00aa11bb22cc33dd44ee55ff"), (21, "commit: 00aa11bb22cc33dd44ee55ff66"), (22, 'token = "zz-9981-qq" too')]
+    rows += [(23, "the 00aa11bb22cc33dd44ee55ff77 alone"), (24, "sum = 12345678901234567890"), (25, "word = abcdefabcdefabcdefab")]
+    table = docs(*rows)
+    found = discovered(pii.personal_data(table).join(table, "doc_id").collect())
+    assert all(found[i] == [f"{i:08x}a0b1c2d3e4f5{i:08x}"] for i in range(1, 9))
+    assert found[20] == ["00aa11bb22cc33dd44ee55ff"] and found[22] == ["zz-9981-qq"]
+    assert not {21, 23, 24, 25} & set(found)
+
+
+def test_common_words_are_no_context(docs):
+    cards = [n for n in range(4111111111110000, 4111111111110200) if luhn(str(n))]
+    rows = [(i, f"much of {n} there, in spite of " + "all of it or some of that " * 9) for i, n in enumerate(cards)]
+    rows += [(100, "some of 4111111111110001 there"), (101, "holder 4111111111110002 there")]
+    rows += [(200 + i, f"her holder {n} there") for i, n in enumerate(cards)]
+    table = docs(*rows)
+    found = discovered(pii.personal_data(table).join(table, "doc_id").collect())
+    assert 100 not in found and found[101] == ["4111111111110002"]
+
+
+def test_planted_secrets_and_decoys(spark):
+    """Every planted secret is found, and few numbers that only look like cards."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wanted, got = set(), set()
+    rows = pii.personal_data(docs).join(docs.select("doc_id", "text"), "doc_id").collect()
+    for row in rows:
+        wanted |= {(row.doc_id, m.start(1), m.end(1)) for m in re.finditer('(?i)token = "([0-9a-f]{40})"', row.text or "")}
+        got |= {(row.doc_id, s.start, s.end) for s in row.spans if s.kind == "id"}
+    assert wanted and wanted <= got
+    assert len(got - wanted) <= len(got) / 10
+
+
 def test_masked(docs):
     text = "é a@b.co, 10.0.0.1 and 4111 1111 1111 1111."
     rows = docs((1, text), (1, text), (2, None), (None, "none")).withColumn("n_chars", F.length("text").cast("long"))
