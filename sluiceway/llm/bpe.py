@@ -9,7 +9,8 @@ merges, and so the ids, are the same.
 
 Null text is encoded like empty text: no ids. Ids that the vocabulary lacks raise a
 ``ValueError``; null ids decode to empty text. Special tokens written out in a text
-become their own ids, as the tokenizers library does by default.
+become their own ids, as the tokenizers library does by default. Rows are encoded each on its own, and an empty
+table gives no rows. Columns go along; one of the name of the result is replaced by it.
 """
 
 from __future__ import annotations

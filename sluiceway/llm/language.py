@@ -13,7 +13,7 @@ length are kept, so its size is fixed and it is sent to every task.
 
 Text that is null or holds no letter is ``und`` with score 0, as is all text where
 nothing can be learned. Equally likely languages: the first by name. Of rows with the same id
-one is learned from; each is predicted on its own.
+one is learned from; each is predicted on its own. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ a little longer than the template. Texts whose words cannot reach the coverage a
 after one comparison of word sets. Of matches that overlap, the one with more words counts.
 
 Null and empty texts hold no license. Capitals, punctuation and line breaks make no
-difference. Each row is scanned on its own, whatever its id; other columns are not read.
+difference. Each row is scanned on its own, whatever its id; other columns are not read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ holds at most twice the tokens of a page, as each is on half of its pages.
 
 Null html gives empty text; a null url counts as a host of its own, as do all urls without a host.
 Repeated rows, and pages of equal ids, are pages each. Unclosed tags end where their parent
-does, and a page that breaks off inside a tag ends before it. Other columns are not read.
+does, and a page that breaks off inside a tag ends before it. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ ordered conditional expression.
 
 Null text has no words, and texts without words have all ratios 0. Null labels are left
 out; an id with several labels counts with each. Where nothing can be learned, the list is
-empty and every text passes it. Rows are judged each on its own; other columns are not read.
+empty and every text passes it. Rows, repeated ones too, are judged each on its own and by the whole text; other columns are
+not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ by alternating large and small stars, with a table written after each round.
 
 Null and empty texts have fingerprint zero, which links like any other. Repeated rows, and
 ids that occur twice, are rows of the result each. A null id gets the smallest id
-of its component, which is null only if all its ids are. Other columns are not read.
+of its component, which is null only if all its ids are. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

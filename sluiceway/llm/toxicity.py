@@ -13,8 +13,8 @@ terms count once.
 
 Null and empty texts have no terms and get the score of a text without any. Labels that
 are null are left out; an id with several labels counts with each of them. Where there is
-nothing to learn from, or one class only, every score is the share of toxic rows, 0 if none.
-Repeated rows are scored each.
+nothing to learn from, or one class only, every score is the share of toxic rows, as good as 0 if none.
+Repeated rows are scored each, a very long text by all of its words. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
