@@ -144,3 +144,53 @@ def test_partitions_of_one_length_each(spark, lengths):
     made = packing.pack(docs, WORDS).collect()
     assert {r.length for r in made} == set(lengths) and len(made) == 2000
     assert len({r.sequence_id for r in made}) <= 1020
+
+
+def test_no_bin_is_closed_while_shorter_pieces_follow(spark):
+    """In one task 210,000 bins wait for the pieces that fill them."""
+    n = 210_000
+    docs = spark.range(0, 2 * n, 1, 2).selectExpr("id AS doc_id", f"if(id < {n}, 'a', '') AS text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        made = packing.pack(docs, WORDS, capacity=3, slack=0)
+        made = made.selectExpr("count(*) pieces", "count(DISTINCT sequence_id) sequences").first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert tuple(made) == (2 * n, n)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bins_held_back_are_of_no_use(seed):
+    """A tree that passes on few bins of each length ends with as many as one that passes on all."""
+    choose = random.Random(seed)
+    leaves = []
+    for _ in range(choose.choice([9, 20, 27])):
+        sizes = np.array([choose.choice([33, 33, 33, 40, 60, 7, 3, 1]) for _ in range(choose.randint(1, 60))])
+        bins, _ = packing.best_fit(sizes, 64)
+        leaves.append(np.bincount(bins, sizes).astype(np.int64))
+
+    def climb(fan_in, keep):
+        levels = 0
+        while fan_in**levels < len(leaves):
+            levels += 1
+        nodes, done, named = {}, 0, 0
+        for i, used in enumerate(leaves):
+            goes_on = [size for size in set(used.tolist()) for _ in range(min((used == size).sum(), keep * levels))]
+            done += len(used) - len(goes_on)
+            nodes.setdefault(i // fan_in, []).extend(goes_on)
+        for above in reversed(range(levels)):
+            up = {}
+            for i, used in nodes.items():
+                names = np.arange(named, named + len(used))
+                named += len(used)
+                rows = packing.pa.table({"bin": names, "length": packing.pa.array(used, packing.pa.int64())})
+                found = packing.Node(above, i, 64, 0, keep).pack(rows).to_pylist()
+                goes_on = [r["used"] for r in found if r["open"]]
+                done += len({r["into"] for r in found}) - len(goes_on)
+                up.setdefault(i // fan_in, []).extend(goes_on)
+            nodes = up
+        return done
+
+    for fan_in in (2, 3):
+        assert climb(fan_in, fan_in) == climb(fan_in, 10**6)
