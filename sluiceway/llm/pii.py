@@ -7,7 +7,9 @@ or runs of words, that look like identifiers are instances of the patterns they
 of patterns and instances in rounds. A pattern is worth the mean of its distinct
 instances, each instance as much as the best pattern it follows; seeds are worth 1.
 Patterns with enough different known instances and a high worth make their instances
-known for the next round, but for single words that mostly stand before something else. In the end all occurrences of known instances are spans. A short
+known for the next round, but for single words that mostly stand before something else. No worth ever falls from round
+to round, and the rounds go on until all worths together rise by less than a thousandth, so it does not matter how many
+patterns lie between a seed and an instance. In the end all occurrences of known instances are spans. A short
 instance is one of its own for each pattern, so it is a span only where it follows a good one.
 
 All of this is DataFrame work on columns, without Python on the executors. Offsets count code
@@ -83,7 +85,8 @@ BACK = max(CONTEXT_WORDS) + 1
 LABEL = r"(?:^|[\s\"'{,(<])(?!(?:sha|md5|crc|commit|checksum|hash|digest|rev)[0-9a-z_-]*[\"']?\s?:?[=:]$)[\p{L}_][\p{L}0-9_.-]*[\"']?\s?:?[=:]$"
 SECRET = r"^(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{16,}$"
 
-ROUNDS = 3
+# The rounds end when all worths together rise by less.
+LEAST_RISE = 1e-3
 # A pattern counts with so many different known instances and this worth.
 SUPPORT = 5
 WORTH = 0.8
@@ -285,14 +288,18 @@ def common_words(
 
 def bootstrap(
     edges: DataFrame,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     support: int = SUPPORT,
     worth: float = WORTH,
     common: DataFrame | None = None,
 ) -> DataFrame:
-    """The known instances with their ``worth``, seeds with 1. Patterns in ``common`` make nothing known."""
+    """The known instances with their ``worth``, seeds with 1. Patterns in ``common`` make nothing known.
+
+    Without ``rounds`` there are as many as it takes until the worths rise no more.
+    """
     known = edges.groupBy("instance").agg(F.max("seed").alias("worth"))
-    for turn in range(rounds):
+    turn, before = 0, 0.0
+    while rounds is None or turn < rounds:
         scores = edges.join(known, "instance").groupBy("pattern").agg(
             F.avg("worth").alias("score"), F.count_if(F.col("worth") > 0).alias("known")
         )
@@ -303,6 +310,10 @@ def bootstrap(
             F.greatest(F.max("seed"), F.coalesce(F.max("score"), F.lit(0.0))).alias("worth")
         )
         known = saved(known, f"instances-{turn}")
+        total = known.agg(F.sum("worth")).first()[0] or 0.0
+        if total - before < LEAST_RISE:
+            break
+        turn, before = turn + 1, total
     return known.filter("worth > 0")
 
 

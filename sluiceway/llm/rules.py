@@ -3,7 +3,8 @@
 Statistics of each text are counted by SQL functions alone. From the labelled ones,
 sequential covering learns conjunctions of thresholds that tell poor texts: a rule grows
 by the condition with the best information gain, is pruned on documents it has not seen
-to what is beyond luck there, and what it covers is set aside before the next rule is grown. Each step is one
+to what is beyond luck there, and what it covers is set aside before the next rule is grown, until none is good enough;
+neither the rules nor the conditions of a rule are limited in number. Each step is one
 aggregate over the labelled statistics, cut into at most twice ``BINS`` bins per statistic, so
 all labelled documents count and only bin counts reach the driver. The list becomes one
 ordered conditional expression.
@@ -29,8 +30,6 @@ SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]"
 WINDOW = 3
 BINS = 32
-MAX_RULES = 10
-MAX_CONDITIONS = 3
 # A rule needs this share of poor texts among those it covers, on the documents for growing and on those for pruning.
 PRECISION = 0.97
 # And chance would cover so many poor ones, on either, with this probability at most.
@@ -183,7 +182,8 @@ def _gain(poor: int, good: int, before_poor: int, before_good: int) -> float:
 def _grow(rows: DataFrame, thresholds: list[list[float]]) -> Rule:
     """The conjunction that covering ends at on the documents for growing."""
     rule: Rule = ()
-    while len(rule) < MAX_CONDITIONS:
+    # Ends, as each condition leaves fewer documents.
+    while True:
         counts = (
             rows.filter((F.col("part") < PRUNE_FOLD) & _covered(rule))
             .select("poor", F.posexplode("bins").alias("feature", "bin"))
@@ -285,7 +285,8 @@ def learn(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     bins = F.zip_with("values", bounds, lambda value, t: F.size(F.filter(t, lambda low: value > low)))
     rows = saved(rows.select("poor", "part", bins.alias("bins")), "binned")
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES:
+    # Ends, as each rule covers poor documents that no rule before it does.
+    while True:
         rule = _prune(rows, _grow(rows, thresholds))
         if not rule:
             break

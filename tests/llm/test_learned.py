@@ -220,3 +220,24 @@ def test_nothing_is_learned_from_chance_labels(spark):
     rows = spark.createDataFrame(stats, names + ", n_capitals long, n_marks long, n_shouts long")
     labels = [(i, 0 if rng.random() < 0.1 else 1) for i in range(800)]
     assert rules.learn(rows, spark.createDataFrame(labels, "doc_id long, quality int")) == []
+
+
+def test_a_rule_has_as_many_conditions_as_it_takes(spark):
+    """Poor texts are those where five statistics are high."""
+    bits = "transform(sequence(0, 8), i -> if(i < 5, int(shiftright(id, i) & 1), 0))"
+    rows = spark.range(640).selectExpr("int(id % 32 = 31) AS poor", "1 AS part", f"{bits} AS bins")
+    rule = rules._grow(rows, [[0.5]] * len(rules.FEATURES))
+    assert {c.feature for c in rule} == set(list(rules.FEATURES)[:5]) and all(c.above for c in rule)
+
+
+def test_as_many_rules_as_there_are_kinds_of_poor_texts(spark):
+    """Texts are poor where the number of symbols is odd: twelve ranges, each between good ones."""
+    stats = spark.range(25 * 100).selectExpr("id AS key", "id % 25 AS n_symbols")
+    for name, value in [("n_words", 1000), ("word_chars", 5000), ("n_lines", 10)]:
+        stats = stats.selectExpr("*", f"{value}L AS {name}")
+    for name in ("n_dup_lines", "n_repeat_words", "n_capitals", "n_marks", "n_shouts"):
+        stats = stats.selectExpr("*", f"0L AS {name}")
+    labels = stats.selectExpr("key AS doc_id", "int(n_symbols % 2 = 0) AS quality")
+    learned = rules.learn(stats, labels)
+    found = stats.select("n_symbols", rules.decision(learned).isNotNull().alias("poor")).distinct().collect()
+    assert {r.n_symbols: r.poor for r in found} == {n: n % 2 == 1 for n in range(25)}

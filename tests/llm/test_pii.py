@@ -154,3 +154,24 @@ def test_op2(spark, given):
         assert ",".join(s for s in spans if not s.startswith("id:")) == base
         for kind in pii.FORMS:
             assert r[f"n_{kind}"] == sum(s.startswith(kind + ":") for s in spans)
+
+
+def known_from(spark, patterns):
+    """The instances that patterns make known; those that begin with s are seeds."""
+    rows = [(p, i, float(i[0] == "s"), 1) for p, instances in patterns.items() for i in instances]
+    edges = spark.createDataFrame(rows, "pattern string, instance string, seed double, times long")
+    return {r.instance for r in pii.bootstrap(edges).collect()}
+
+
+def test_discoveries_lead_on_however_far(spark):
+    """Each pattern has four seeds, what the pattern before made known, and a new instance."""
+    patterns = {f"p{k}": [f"s{k}{i}" for i in range(4)] + [f"n{k - 1}" if k else "seed", f"n{k}"] for k in range(7)}
+    assert {f"n{k}" for k in range(7)} <= known_from(spark, patterns)
+
+
+def test_rounds_without_a_new_instance_are_not_the_last(spark):
+    """The worth of q rises for some rounds before it is enough, and nothing else is new meanwhile."""
+    patterns = {"p": [f"s{i}" for i in range(20)] + [f"n{i}" for i in range(5)], "q": [f"n{i}" for i in range(5)] + ["last"]}
+    patterns["poor"] = ["n0", "n1", "n2", "n3", "n4", "x0", "x1"]
+    known = known_from(spark, patterns)
+    assert "last" in known and not {"x0", "x1"} & known
