@@ -9,12 +9,26 @@ from sluiceway.session import fresh_path
 
 # One document in this many is held out from learning.
 FOLDS = 5
+# Bytes of a batch that goes to Python; Spark's bound is 10,000 rows, which whole texts make any size.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def in_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, which go to Python in batches of few bytes however long their texts are.
+
+    A session setting, as Spark reads it when a query runs; one that the user has given stays.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
+    return rows
+
+
 def saved(rows: DataFrame, name: str) -> DataFrame:
     """``rows``, written once to the shared folder and read back.
 

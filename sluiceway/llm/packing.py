@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluiceway.llm.bpe import Recent, byte_of_letter
-from sluiceway.llm.common import saved
+from sluiceway.llm.common import in_batches, saved
 
 CAPACITY = 2048
 # A bin with no more room than this is final.
@@ -49,7 +49,7 @@ KEEP = FAN_IN
 SEPARATOR = 0
 # A bin that a node has packed, and where one is that moved.
 PACKED = "node long, bin long, into long, offset long, used long, open boolean"
-MOVES = "bin long, into long, moved_by long"
+MOVES = ("bin", "into", "moved_by")
 
 
 class Tokens:
@@ -250,7 +250,7 @@ def pack(
 
         return combine
 
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = in_batches(docs).select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     # Pieces are narrow; dealt out in turn, every task gets a mix of lengths, however the documents were sorted.
     spread = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.mapInArrow(cut, schema).repartition(spread).sortWithinPartitions(F.desc("length"))
@@ -263,8 +263,9 @@ def pack(
     bins = bins.withColumn("node", F.shiftright("bin", 32))
     place = F.row_number().over(Window.partitionBy("node", "length").orderBy("bin"))
     bins = bins.withColumn("place", place).filter(F.col("place") <= fan_in * levels).drop("place")
-    # Where bins have moved: at most one of each task, so this is a short list.
-    moved = docs.sparkSession.createDataFrame([], MOVES)
+    # Where bins have moved: at most one of each task, so this is a short list. A list given from Python would start
+    # Python workers of another kind on every executor, even an empty one.
+    moved = docs.sparkSession.range(0).select(*[F.col("id").alias(name) for name in MOVES])
     for above in reversed(range(levels)):
         items = bins.withColumn("node", F.expr(f"node div {fan_in}"))
         packed = saved(items.groupBy("node").applyInArrow(combiner(above), PACKED), f"pack-{levels - above}")

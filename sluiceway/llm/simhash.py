@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import saved
+from sluiceway.llm.common import in_batches, saved
 
 ERRORS = 4
 SHINGLE = 4
@@ -320,7 +320,7 @@ def _mark(edges: DataFrame) -> tuple:
 def _prints(docs: DataFrame, key: str, text: str, carry: bool) -> DataFrame:
     """``row`` (a number), ``key`` and ``fingerprint`` of each row; with ``carry`` also the whole row as ``doc``."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
-    prints = docs.select(
+    prints = in_batches(docs).select(
         F.monotonically_increasing_id().alias("row"),
         F.col(f"`{key}`").alias("key"),
         fingerprints(F.col(f"`{text}`")).alias("fingerprint"),

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluiceway.llm.bpe import Recent
-from sluiceway.llm.common import held_out, saved
+from sluiceway.llm.common import held_out, in_batches, saved
 
 SAMPLE = 10_000
 TERMS = 2048
@@ -157,7 +157,7 @@ def learn(
         .orderBy(F.xxhash64("k"), "k", "y")
         .limit(sample)
     )
-    own = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    own = in_batches(docs).select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
     # At most ``sample`` rows of two numbers, so the texts need not move.
     rows = own.join(F.broadcast(chosen), "k").select("k", "y", hashed_terms("t").alias("f"))
     # One text of each id, however many rows have it; then one document of those with equal terms.
